@@ -202,7 +202,7 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
                 yield pd.DataFrame({"id": q_ids[a : a + BATCH][r][keep], "other": block_ids[c][keep], "sim": np.minimum(exact[keep], 1.0)})
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 4, leaf_size: int = 1000, search_k: int = 10_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 4, leaf_size: int = 1500, search_k: int = 15_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
