@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rajut.llm import chunking, containment, format_duplicates, mixing, vector_forest
+from rajut.llm import chunking, containment, format_duplicates, linkage, mixing, vector_forest
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -133,3 +133,17 @@ SELECT DISTINCT least(a, b) AS concept_id_a, greatest(a, b) AS concept_id_b FROM
     "p3_groups": _COPIES + "SELECT src_table, keep_id, count(*) AS n_copies FROM g GROUP BY ALL",
     "p4_found": "SELECT DISTINCT text_id FROM book_texts WHERE len(regexp_extract_all(body, '[^ \\t\\r\\n]+')) > 800",
 }
+
+
+# 5: matching entities without keys --------------------------------------------
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(_table(spark, d, "concepts"), _table(spark, d, "concept_register"), ("concept_id", "name", "description", "grade"), ("register_id", "title", "summary", "level_text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_links(spark, d).select(F.col("left_id").alias("concept_id"), F.col("right_id").alias("register_id"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_links": p5_links}
