@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rajut.llm import chunking, containment, format_duplicates, linkage, mixing, vector_forest
+from rajut.llm import chunking, consensus, containment, format_duplicates, linkage, mixing, vector_forest
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -147,3 +147,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_links": p5_links}
+
+
+# 6: consensus of annotators ---------------------------------------------------
+
+
+def _consensus(spark, d):
+    triples = _table(spark, d, "triples").where(F.col("triple_id").isNotNull()).dropDuplicates(["triple_id"])
+    items = triples.select(F.col("triple_id").alias("item"), F.col("source").alias("grp"), consensus.label_of(F.col("final_consensus_label")).alias("known"))
+    cast = consensus.votes(_table(spark, d, "expert_validation"), triples).join(triples.select("triple_id"), "triple_id", "left_semi")
+    return consensus.infer(items, cast.select(F.col("triple_id").alias("item"), F.col("reviewer").alias("who"), "label"))
+
+
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Each triple with its label, confidence, number of votes and agreement of its votes."""
+    return _consensus(spark, d)[0].select(F.col("item").alias("triple_id"), F.col("label").alias("final_consensus_label"), "confidence", "n_votes", "agreement")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_consensus(spark, d).select("triple_id", "final_consensus_label")
+
+
+def p6_reviewers(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[1].select(F.col("who").alias("reviewer"), "n_votes", "reliability", "kind")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers}
