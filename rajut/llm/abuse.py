@@ -39,7 +39,7 @@ from rajut.llm.notebook import cells
 from rajut.session import cut
 
 MAX_LABELLED, MAX_FEATURES = 20_000, 30_000
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Words that are abusive or explicit in ordinary use; where labels are few, the
 #: weights are drawn towards them (Indonesian, English, Spanish).
 SEEDS = """goblok tolol bangsat bajingan brengsek keparat kontol memek ngentot bego kampret
@@ -161,6 +161,19 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, n_features: int, prior:
     return w, float(bias)
 
 
+def located(bags: list[list[list[int]]], labels: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """For each feature the share of the positive bags with it in which a passage with it is the highest or scores at least half."""
+    inside, blamed = np.zeros(len(w)), np.zeros(len(w))
+    for bag, y in zip(bags, labels):
+        if y != 1:
+            continue
+        z = np.array([bias + w[list(p)].sum() / len(p) ** 0.5 for p in bag])
+        guilty = (z >= 0) | (z == z.max())
+        inside[list({f for p in bag for f in p})] += 1
+        blamed[list({f for p, g in zip(bag, guilty) if g for f in p})] += 1
+    return blamed / np.maximum(1, inside)
+
+
 class Scorer:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -246,8 +259,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
     for f in SEED_FEATURES:
         prior[index[f]] = 3.0
     w, bias = fit(lists, y, len(index), prior)
+    # words that positive documents hold outside their offending passages are no evidence: drop them and fit again
+    for _ in range(2):
+        kept = (located(lists, y, w, bias) >= 0.6) | (prior > 0)
+        bags_left = [[q for q in ([f for f in p if kept[f]] for p in bag) if q] for bag in lists]
+        left = [i for i, bag in enumerate(bags_left) if bag]
+        w, bias = fit([bags_left[i] for i in left], y[left], len(index), prior)
+        lists, y = [bags_left[i] for i in left], y[left]
+        w[~kept] = 0.0
     # documents without any candidate feature cannot change the weights
-    return Scorer({f: float(w[i]) for f, i in index.items()}, bias)
+    return Scorer({f: float(w[i]) for f, i in index.items() if w[i] != 0}, bias)
 
 
 SCHEMA = "doc_id long, source string, score double, top_score double, passage string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rajut.llm import chunking, consensus, containment, format_duplicates, linkage, mixing, vector_forest
+from rajut.llm import abuse, chunking, consensus, containment, format_duplicates, linkage, mixing, vector_forest
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -173,3 +173,32 @@ def p6_reviewers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers}
+
+
+# 9: abusive, hateful or sexual content ----------------------------------------
+
+
+def _abuse_scores(spark, d):
+    docs = _table(spark, d, "documents")
+    scorer = abuse.train(docs, _table(spark, d, "doc_labels"), "doc_id", "text", "layout", "doc_id", "toxic")
+    return abuse.score(docs, scorer, "doc_id", "text", "layout", "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's score with its most offending passage."""
+    best = F.struct("score", "top_score", "source", "passage")
+    return _abuse_scores(spark, d).groupBy("doc_id").agg(F.max(best).alias("b")).select("doc_id", "b.source", "b.score", "b.top_score", F.when(F.col("b.score") >= abuse.THRESHOLD, F.col("b.passage")).alias("passage"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and share of offending documents per source."""
+    flagged = (F.col("score") >= abuse.THRESHOLD).cast("int")
+    per_doc = _abuse_scores(spark, d).groupBy("doc_id").agg(F.min("source").alias("source"), F.max(flagged).alias("flagged"), F.max("score").alias("score"))
+    return per_doc.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("flagged").alias("n_flagged"), F.avg("flagged").alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
