@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rajut.functions import vocab
-from rajut.functions.text import squeeze
+from rajut.functions.text import SPACE, squeeze
 
 
 def _c(c: Column | str) -> Column:
@@ -19,7 +19,7 @@ def mapping(values: dict[str, str]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def rating_label(c: Column | str) -> Column:

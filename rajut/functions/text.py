@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 WORD_BYTES = r"[^ \t\r\n]+"
+#: Unicode white space.
+SPACE = r"[\s\p{Z}]"
 
 
 def _col(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def alike_key(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Lower-case, trimmed, inner white space collapsed; null becomes ''."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\s+", " "))), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), SPACE + "+", " "))
 
 
 def n_words(c: Column | str) -> Column:

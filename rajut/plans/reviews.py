@@ -12,7 +12,7 @@ from rajut.functions import vocab
 from rajut.operators import agreement as g
 from rajut.operators import books, joins, models, upsert
 from rajut.plans.data import table
-from rajut.plans.views import once, relations, sql_case, sql_list, sql_strip
+from rajut.plans.views import once, relations, sql_case, sql_list, sql_squeeze, sql_strip
 
 QUERIES, ORACLE = {}, {}
 
@@ -63,11 +63,7 @@ _RAT = (
 )
 
 
-def _sq(c):
-    return f"trim(regexp_replace(lower(trim(coalesce({c}, ''))), '\\s+', ' ', 'g'))"
-
-
-_PROP = _SUBS + ", prop AS (SELECT CASE WHEN CAST(regexp_extract(reviewer, '([0-9]+)', 1) AS INTEGER) % 2 = 1 THEN 'r1' ELSE 'r2' END AS side, " + ", ".join(f"{_sq('m.' + c)} AS {c}" for c in g.KEYS) + " FROM (SELECT reviewer, unnest(missing_triples) AS m FROM subs)), m1 AS (SELECT " + ", ".join(g.KEYS) + " FROM prop WHERE side = 'r1' AND chapter <> '' AND subject <> '' AND relation <> '' AND target <> ''), m2 AS (SELECT " + ", ".join(g.KEYS) + " FROM prop WHERE side = 'r2' AND chapter <> '' AND subject <> '' AND relation <> '' AND target <> '')"
+_PROP = _SUBS + ", prop AS (SELECT CASE WHEN CAST(regexp_extract(reviewer, '([0-9]+)', 1) AS INTEGER) % 2 = 1 THEN 'r1' ELSE 'r2' END AS side, " + ", ".join(f"{sql_squeeze('m.' + c)} AS {c}" for c in g.KEYS) + " FROM (SELECT reviewer, unnest(missing_triples) AS m FROM subs)), m1 AS (SELECT " + ", ".join(g.KEYS) + " FROM prop WHERE side = 'r1' AND chapter <> '' AND subject <> '' AND relation <> '' AND target <> ''), m2 AS (SELECT " + ", ".join(g.KEYS) + " FROM prop WHERE side = 'r2' AND chapter <> '' AND subject <> '' AND relation <> '' AND target <> '')"
 
 _add("j1_align_raters", lambda s, d: g.align_raters(*sides(s, d)), _RAT + "SELECT * FROM al")
 _add("j2_common_ratings", lambda s, d: g.common_ratings(*sides(s, d)), _RAT + "SELECT * FROM com")
@@ -84,7 +80,7 @@ def _apply_gold(s, d):
     return g.apply_gold(rel, gold).select("ord", "gold_label")
 
 
-_add("j6_apply_gold", _apply_gold, f"WITH t AS (SELECT DISTINCT triple_id, {_sq('subject')} AS a, {_sq('relation')} AS b, {_sq('target')} AS c, final_consensus_label AS l FROM triples), f AS (SELECT a, b, c, min(triple_id) AS o FROM t GROUP BY ALL), g AS (SELECT a, b, c, arg_max(l, triple_id) AS gold_label FROM t WHERE l IS NOT NULL GROUP BY ALL) SELECT t.triple_id AS ord, CASE WHEN f.o = t.triple_id THEN g.gold_label END AS gold_label FROM t JOIN f USING (a, b, c) LEFT JOIN g USING (a, b, c)")
+_add("j6_apply_gold", _apply_gold, f"WITH t AS (SELECT DISTINCT triple_id, {sql_squeeze('subject')} AS a, {sql_squeeze('relation')} AS b, {sql_squeeze('target')} AS c, final_consensus_label AS l FROM triples), f AS (SELECT a, b, c, min(triple_id) AS o FROM t GROUP BY ALL), g AS (SELECT a, b, c, arg_max(l, triple_id) AS gold_label FROM t WHERE l IS NOT NULL GROUP BY ALL) SELECT t.triple_id AS ord, CASE WHEN f.o = t.triple_id THEN g.gold_label END AS gold_label FROM t JOIN f USING (a, b, c) LEFT JOIN g USING (a, b, c)")
 
 
 def _comments(s, d):
@@ -165,7 +161,7 @@ def _add_missing(s, d):
     return upsert.add_missing(t.select("chapter"), t.where(F.col("source") == "system_generated").select(*g.KEYS), a.unionByName(b)).select("subject", "relation", "target", "subtopic")
 
 
-_add("m9_add_missing", _add_missing, _PROP + f", t AS (SELECT DISTINCT triple_id, source, {', '.join(_sq(c) + ' AS ' + c for c in g.KEYS)} FROM triples), x AS (SELECT DISTINCT subject, relation, target, description FROM prop WHERE chapter IN (SELECT chapter FROM t)) SELECT subject, relation, target, CASE WHEN subject NOT IN (SELECT subject FROM t WHERE source = 'system_generated') THEN 'Expert Proposed Triples' END AS subtopic FROM x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source = 'system_generated' AND t.subject = x.subject AND t.relation = x.relation AND t.target = x.target AND t.description = x.description)")
+_add("m9_add_missing", _add_missing, _PROP + f", t AS (SELECT DISTINCT triple_id, source, {', '.join(sql_squeeze(c) + ' AS ' + c for c in g.KEYS)} FROM triples), x AS (SELECT DISTINCT subject, relation, target, description FROM prop WHERE chapter IN (SELECT chapter FROM t)) SELECT subject, relation, target, CASE WHEN subject NOT IN (SELECT subject FROM t WHERE source = 'system_generated') THEN 'Expert Proposed Triples' END AS subtopic FROM x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source = 'system_generated' AND t.subject = x.subject AND t.relation = x.relation AND t.target = x.target AND t.description = x.description)")
 
 
 def _judge_client(prompts: list[str]) -> list[str]:

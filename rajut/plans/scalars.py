@@ -9,7 +9,7 @@ from rajut.functions import scalars as x
 from rajut.functions import vocab
 from rajut.functions.text import squeeze
 from rajut.plans.data import table
-from rajut.plans.views import once, relations, sql_case, sql_key, sql_list, SQL_REL_TYPE, sql_strip
+from rajut.plans.views import once, relations, sql_case, sql_key, sql_list, SQL_REL_TYPE, sql_squeeze, sql_strip
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,11 +46,7 @@ _tk = f"regexp_replace({sql_strip('k')}, '\\.0$', '')"
 _add("f5_triple_key", lambda s, d: _ratings(s, d).select("validation_id", F.col("k").alias("raw"), n.triple_key("k").alias("triple_key")), f"SELECT validation_id, k AS raw, CASE WHEN regexp_full_match({_tk}, '0+') THEN '0' ELSE regexp_replace({_tk}, '^0+', '') END AS triple_key FROM {_RATINGS}")
 
 
-def _sq(c):
-    return f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
-
-
-_add("f6_content_key", lambda s, d: table(s, d, "triples").dropDuplicates(["triple_id"]).select("triple_id", n.content_key("subject", "relation", "target").alias("k")).select("triple_id", "k.k0", "k.k1", "k.k2"), f"SELECT DISTINCT triple_id, {_sq('subject')} AS k0, {_sq('relation')} AS k1, {_sq('target')} AS k2 FROM triples")
+_add("f6_content_key", lambda s, d: table(s, d, "triples").dropDuplicates(["triple_id"]).select("triple_id", n.content_key("subject", "relation", "target").alias("k")).select("triple_id", "k.k0", "k.k1", "k.k2"), f"SELECT DISTINCT triple_id, {sql_squeeze('subject')} AS k0, {sql_squeeze('relation')} AS k1, {sql_squeeze('target')} AS k2 FROM triples")
 _add("f7_relation_type", _rel(lambda: dict(rel=n.relation_type("rel_type"))), _rel_sql(rel=SQL_REL_TYPE))
 _up = "regexp_replace(regexp_replace(regexp_replace(upper(" + sql_strip("coalesce(rel_type, '')") + "), '[^A-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
 _add("f8_safe_relation", _rel(lambda: dict(rel=n.safe_relation("rel_type"))), _rel_sql(rel=f"CASE WHEN {_up} = '' THEN 'RELATED_TO' WHEN regexp_matches({_up}, '^[0-9]') THEN 'REL_' || {_up} ELSE {_up} END"))
@@ -75,7 +71,7 @@ _add("f17_refined_description", lambda s, d: table(s, d, "triples").dropDuplicat
 _add("f18_subject", lambda s, d: table(s, d, "books").select("book_id", n.subject_of("name").alias("subject")), "SELECT book_id, regexp_replace(name, ' Kelas (XII|XI|X)$', '') AS subject FROM books")
 _add("f19_title", lambda s, d: table(s, d, "source_weights").select("source", n.title_of("source").alias("title")), "SELECT source, list_aggregate(list_transform(string_split(replace(source, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM source_weights")
 _add("f20_plain_text", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", n.plain_text("name").alias("plain")), "SELECT DISTINCT konsep_id, trim(regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM konsep")
-_add("f21_same_pair", lambda s, d: relations(s, d).where(x.same_text("src_name", "target")).select("rel_id"), f"SELECT DISTINCT rel_id FROM relations WHERE {_sq('src_name')} = {_sq('target')}")
+_add("f21_same_pair", lambda s, d: relations(s, d).where(x.same_text("src_name", "target")).select("rel_id"), f"SELECT DISTINCT rel_id FROM relations WHERE {sql_squeeze('src_name')} = {sql_squeeze('target')}")
 _add("f22_json_safe", lambda s, d: table(s, d, "concepts").dropDuplicates(["concept_id"]).select("concept_id", F.coalesce(F.size(F.filter("embedding", lambda e: F.isnan(e) | e.isNull())), F.lit(0)).cast("bigint").alias("n_unusable")).withColumn("n_unusable", F.greatest("n_unusable", F.lit(0))), "SELECT concept_id, CAST(coalesce(len(list_filter(any_value(embedding), lambda e: e IS NULL OR isnan(e))), 0) AS BIGINT) AS n_unusable FROM concepts GROUP BY concept_id")
 _add("f23_checkpoint_key", lambda s, d: table(s, d, "triples").dropDuplicates(["triple_id"]).select("triple_id", n.checkpoint_key("triple_id", "chapter", "subject", "relation", "target").alias("key")), "SELECT DISTINCT triple_id, concat_ws('|', CAST(triple_id AS VARCHAR), " + ", ".join(f"lower({sql_strip('coalesce(' + c + ', ' + chr(39) * 2 + ')')})" for c in ("chapter", "subject", "relation", "target")) + ") AS key FROM triples")
 _add("f24_confidence_gate", lambda s, d: relations(s, d).where(n.passes_gate("rel_type", "confidence", {"MENGATUR": 0.85}, 0.7)).select("rel_id", "confidence"), "SELECT DISTINCT rel_id, confidence FROM relations WHERE confidence >= CASE WHEN rel_type = 'MENGATUR' THEN 0.85 ELSE 0.7 END")

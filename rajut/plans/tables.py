@@ -11,7 +11,7 @@ from rajut.functions.text import alike_key
 from rajut.operators import books, models, upsert
 from rajut.operators.agreement import first_by_content
 from rajut.plans.data import table
-from rajut.plans.views import concept_edges, concept_nodes, GRAPH, once, relations, sql_key
+from rajut.plans.views import concept_edges, concept_nodes, GRAPH, once, relations, sql_key, sql_squeeze
 from rajut.session import checkpoint_dir
 from rajut.sources import files
 
@@ -29,7 +29,7 @@ def _konsep(s, d):
 
 
 _K1 = f"k AS (SELECT DISTINCT konsep_id, book_id, {sql_key('name')} AS name, description FROM konsep)"
-_add("w5_first_seen", lambda s, d: first_by_content(_konsep(s, d), [F.col("konsep_id")], "name").select("konsep_id"), "WITH k AS (SELECT DISTINCT konsep_id, trim(regexp_replace(lower(coalesce(name, '')), '\\s+', ' ', 'g'), ' ') AS k FROM konsep) SELECT min(konsep_id) AS konsep_id FROM k GROUP BY k")
+_add("w5_first_seen", lambda s, d: first_by_content(_konsep(s, d), [F.col("konsep_id")], "name").select("konsep_id"), "WITH k AS (SELECT DISTINCT konsep_id, " + sql_squeeze('name') + " AS k FROM konsep) SELECT min(konsep_id) AS konsep_id FROM k GROUP BY k")
 _add("w6_last_writer", lambda s, d: upsert.last_writer(_konsep(s, d).select("book_id", alike_key("name").alias("name"), "konsep_id", "description"), ["book_id", "name"], "konsep_id"), f"WITH {_K1} SELECT book_id, name, max(konsep_id) AS konsep_id, arg_max(description, konsep_id) AS description FROM k GROUP BY ALL")
 
 

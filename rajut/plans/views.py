@@ -73,6 +73,10 @@ def ordered(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def sql_squeeze(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')"
+
+
 def sql_key(x: str) -> str:
     return f"lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
 
@@ -86,7 +90,7 @@ def sql_case(x: str, values: dict[str, str], other: str) -> str:
 
 
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
 SQL_REL_TYPE = f"CASE WHEN upper({sql_strip('rel_type')}) IN ({sql_list(vocab.RELATION_TYPES)}) THEN upper({sql_strip('rel_type')}) ELSE " + sql_case(f"upper({sql_strip('rel_type')})", vocab.RELATION_SYNONYMS, "NULL") + " END"
