@@ -13,18 +13,23 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rajut.functions import vocab
 from rajut.functions.normalize import rating_label, strip
-from rajut.functions.scalars import cache_key, chunk_score, context_terms, edges_text, fingerprint, pair_text, unfenced
+from rajut.functions.scalars import cache_key, context_terms, edges_text, fingerprint, pair_text, unfenced
 
 #: Signs of errors that pass (fixed values).
 TRANSIENT = ("429", "500", "502", "503", "504", "rate limit", "timeout", "timed out", "unavailable", "overloaded")
 
 
+#: Rows and chunks of one book that one task compares.
+RETRIEVAL_BLOCK = 2000
+
+
 def with_retry(client: Callable, attempts: int = 5, least: float = 10.0, most: float = 120.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """The client with exponential waits after errors that pass; others, and the last, are raised."""
 
@@ -144,15 +149,45 @@ def retrieve(rows: DataFrame, chunks: DataFrame, terms_from: list[str], least: i
     """Key and context - the best chunks of the row's own book within a budget of characters.
 
     rows: key, book, chapter and the fields of ``terms_from``. chunks: book, ord,
-    chapter, page, text. Candidates meet by shared term, the score counts terms
-    that occur anywhere in the chunk; the first chunk that does not fit is cut if
-    more than 200 characters are left, and ends the context.
+    chapter, page, text; ord is a number. The stated rows meet the chunks of their
+    book in blocks of at most about RETRIEVAL_BLOCK on either side; each block keeps its best chunks of a
+    row, the blocks' best are merged. The score counts terms that occur anywhere in
+    the chunk; the first chunk that does not fit is cut if more than 200 characters
+    are left, and ends the context.
     """
+    blocks = lambda df, n: df.groupBy("book").agg(F.ceil(F.count(F.lit(1)) / F.lit(RETRIEVAL_BLOCK)).cast("int").alias(n))
+    sizes = blocks(rows, "_nq").join(blocks(chunks, "_nc"), "book")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("long")).cast("int")
     asked = rows.select("key", "book", "chapter", context_terms(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in terms_from])).alias("terms"))
-    words = chunks.select("book", "ord", F.explode(context_terms(F.concat_ws(" ", F.coalesce("chapter", F.lit("")), F.coalesce("text", F.lit(""))))).alias("t"))
-    met = asked.select("key", "book", F.explode("terms").alias("t")).join(words, ["book", "t"]).select("key", "book", "ord").distinct()
-    full = met.join(asked, ["key", "book"]).join(chunks.select("book", "ord", F.col("chapter").alias("c_chapter"), "page", "text"), ["book", "ord"])
-    scored = full.withColumn("score", chunk_score("terms", "c_chapter", "text", "chapter")).where(F.col("score") >= least)
+    asked = asked.join(sizes, "book").select("book", mine("key", "_nq").alias("qb"), every("_nc").alias("cb"), "key", F.lower(F.trim(F.coalesce("chapter", F.lit("")))).alias("chapter"), "terms")
+    held = chunks.join(sizes, "book").select("book", every("_nq").alias("qb"), mine("ord", "_nc").alias("cb"), "ord", F.lower(F.trim(F.coalesce("chapter", F.lit("")))).alias("chapter"), F.lower(F.concat_ws(" ", F.coalesce("chapter", F.lit("")), F.coalesce("text", F.lit("")))).alias("body"))
+
+    def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        c = c.sort_values("ord", kind="stable")
+        bodies, chapters, ords = c["body"].to_numpy(), c["chapter"].to_numpy(), c["ord"].to_numpy()
+        where: dict[str, np.ndarray] = {}
+        keys, found, scores = [], [], []
+        for key, chapter, terms in zip(q["key"], q["chapter"], q["terms"]):
+            score = np.zeros(len(c), np.int64)
+            for t in terms:
+                if t not in where:
+                    where[t] = np.fromiter((t in x for x in bodies), np.int64, len(bodies))
+                score += where[t]
+            if chapter:
+                score += 3 * (chapters == chapter)
+            top = np.argsort(-score, kind="stable")[:most]
+            top = top[score[top] >= least]
+            keys += [key] * len(top)
+            found.append(ords[top])
+            scores.append(score[top])
+        return pd.DataFrame({"key": pd.Series(keys, dtype=q["key"].dtype), "ord": np.concatenate([*found, np.empty(0, np.int64)]), "score": np.concatenate([*scores, np.empty(0, np.int64)])})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("key", rows), ("ord", chunks))}
+    by = ["book", "qb", "cb"]
+    ranked = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(rank, f"key {kinds['key']}, ord {kinds['ord']}, score int")
+    of_book = rows.select("key", "book").join(ranked, "key")
+    scored = of_book.join(chunks.select("book", "ord", F.col("chapter").alias("c_chapter"), "page", "text"), ["book", "ord"])
     best = Window.partitionBy("key").orderBy(F.desc("score"), "ord")
     top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
     text = F.format_string("[%s, p.%s, score=%s] %s", F.coalesce("c_chapter", F.lit("")), F.coalesce("page", F.lit("?")), F.col("score").cast("string"), "text")
