@@ -186,5 +186,14 @@ def _retrieved(s, d):
     return models.retrieve(t, c, ["chapter", "subject", "target"])
 
 
-_add("l13_context", _retrieved)
+_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', coalesce(chapter, ''), coalesce(subject, ''), coalesce(target, ''))), '[0-9a-zà-öø-ÿ]+'), lambda t: length(t) >= 3 AND t NOT IN ({sql_list(vocab.CONTEXT_STOPWORDS)})))"
+_add(
+    "l13_context",
+    _retrieved,
+    f"""WITH t AS (SELECT DISTINCT triple_id AS key, book_id AS book, chapter, {_TERMS} AS terms FROM triples),
+c AS (SELECT DISTINCT konsep_id AS ord, book_id AS book, bab AS chapter, description AS text FROM konsep),
+s AS (SELECT t.key, c.ord, c.chapter, c.text, len(list_filter(t.terms, lambda x: contains(lower(concat_ws(' ', coalesce(c.chapter, ''), coalesce(c.text, ''))), x))) + CASE WHEN trim(coalesce(t.chapter, ''), ' ') <> '' AND lower(trim(coalesce(c.chapter, ''), ' ')) = lower(trim(t.chapter, ' ')) THEN 3 ELSE 0 END AS score FROM t JOIN c USING (book)),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord) AS n FROM s WHERE score >= 1)
+SELECT t.key, coalesce(string_agg('[' || coalesce(r.chapter, '') || ', p.1, score=' || CAST(r.score AS VARCHAR) || '] ' || r.text, chr(10) || chr(10) ORDER BY r.n), '') AS context FROM t LEFT JOIN r ON r.key = t.key AND r.n <= 3 GROUP BY t.key""",
+)
 _add("s9_running_triples", lambda s, d: books.running_triples(table(s, d, "konsep").dropDuplicates(["konsep_id"])).select("book_id", "triple_no", "konsep_id", "pos", "relation"), "WITH k AS (SELECT konsep_id, any_value(book_id) AS book_id, any_value(bab) AS bab, any_value(sub_bab) AS sub_bab, any_value(relations) AS r FROM konsep GROUP BY 1) SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY bab NULLS FIRST, sub_bab NULLS FIRST, konsep_id, i) - 1 AS triple_no, konsep_id, CAST(i - 1 AS INTEGER) AS pos, r[i].rel_type AS relation FROM k, range(1, 1000) x(i) WHERE i <= len(r)")
