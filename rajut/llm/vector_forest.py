@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector: a random-projection forest.
 
 A forest of binary trees is fitted on a bounded sample. Each node splits by the
-plane midway between two randomly chosen points of its sample. Every vector is
+plane between two randomly chosen points of its sample, moved apart by two-means. Every vector is
 put into one leaf of each tree. To search, all trees share one priority queue:
 the node whose worst margin is best is opened next, whichever tree it is in,
 until the opened leaves hold ``search_k`` vectors. The candidates in the opened
@@ -53,23 +53,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split(rng: np.random.Generator, sample: np.ndarray, rows: np.ndarray, tries: int = 4, even: float = 0.1) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """(sides, plane, offset) midway between two random points; the most even of a few tries, None if all rows fall on one side."""
-    best, found = 0.0, None
+def _split(rng: np.random.Generator, sample: np.ndarray, rows: np.ndarray, tries: int = 3, even: float = 0.1, rounds: int = 6, most: int = 256) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(sides, plane, offset) between two random points, drawn apart by a few rounds of two-means on the sphere.
+
+    Such planes pass between groups of similar vectors rather than through them.
+    None if all tries leave one side empty.
+    """
+    spare = None
     for _ in range(tries):
-        a, b = sample[rng.choice(rows, 2, replace=False)]
+        x = sample[rng.choice(rows, min(most, len(rows)), replace=False)]
+        a, b = x[0], x[1]
+        for _ in range(rounds):
+            side = x @ (a - b) > 0
+            if side.all() or not side.any():
+                break
+            a, b = x[side].mean(0), x[~side].mean(0)
+            a, b = a / max(np.linalg.norm(a), 1e-12), b / max(np.linalg.norm(b), 1e-12)
         norm = np.linalg.norm(a - b)
         if norm == 0:
             continue
         plane = (a - b) / norm
-        offset = -float(plane @ (a + b)) / 2
-        sides = sample[rows] @ plane + offset > 0
+        sides = sample[rows] @ plane > 0
         share = min(sides.mean(), 1 - sides.mean())
-        if share > best:
-            best, found = share, (sides, plane, offset)
-        if best >= even:
-            break
-    return found
+        if share >= even:
+            return sides, plane, 0.0
+        if share > 0:
+            spare = sides, plane, 0.0
+    return spare
 
 
 def fit_forest(sample: np.ndarray, total: int, trees: int, leaf_size: int, seed: int = 7) -> Forest:
@@ -202,7 +212,7 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
                 yield pd.DataFrame({"id": q_ids[a : a + BATCH][r][keep], "other": block_ids[c][keep], "sim": np.minimum(exact[keep], 1.0)})
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 4, leaf_size: int = 1500, search_k: int = 15_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 8, leaf_size: int = 400, search_k: int = 5_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
@@ -212,7 +222,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("id").cast("long").alias("id"), "vec").dropDuplicates(["id"])
-    groups = base.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    groups = cut(base.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
 
     def packed(batches):
         for b in batches:
@@ -271,25 +281,37 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     found = blocks.mapInPandas(lambda it: _rank_blocks(it, k, least), "id long, other long, sim double")
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.groupBy("id", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if reps.where(F.col("n") > 1).isEmpty():
-        return top.select("id", "other", "sim", F.col("rank").cast("int").alias("rank"))
-    return _expand(base, groups, top, k)
+    top = cut(top.select("id", "other", "sim", F.col("rank").cast("int").alias("rank")))
+    several = groups.where(F.col("n") > 1)
+    if several.isEmpty():
+        return top
+    members = cut(lookup(base, several, ["vec"], "n").select("rep", "id", "n"))
+    return _expand(members, top, k)
 
 
-def _expand(base: DataFrame, groups: DataFrame, top: DataFrame, k: int) -> DataFrame:
-    """From representatives to all ids of equal vectors."""
-    several = groups.where(F.col("n") > 1)
-    members = lookup(base, several, ["vec"], "n").select("rep", "id", "n")
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("id").alias("member"))
-    outer = top.select(F.col("id").alias("rep"), F.col("other").alias("to"), "sim").join(first, "to", "left").select("rep", F.coalesce("member", "to").alias("other"), "sim")
-    inner = several.select("rep", F.col("rep").alias("to")).join(first, "to").select("rep", F.col("member").alias("other"), F.lit(1.0).alias("sim"))
-    per_rep = outer.unionByName(inner).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k + 1).drop("r")
-    lists = per_rep.groupBy("rep").agg(F.collect_list(F.struct("other", "sim")).alias("near"))
-    to_many = lookup(members.select("rep", "id"), lists.join(several.select("rep", "n"), "rep"), ["rep"], "n").select("id", "near")
-    to_one = lists.join(several.select("rep"), "rep", "left_anti").select(F.col("rep").alias("id"), "near")
-    flat = to_one.unionByName(to_many).select("id", F.explode("near").alias("e")).select("id", "e.other", "e.sim").where(F.col("other") != F.col("id"))
+def _expand(members: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """From representatives to all ids of equal vectors. members: rep, id, n of the groups of more than one.
+
+    A neighbour that stands for a group brings the group's k + 1 smallest ids, which
+    is all that can be among the k best of anybody.
+    """
+    first = cut(members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("id").alias("member")))
+    many = first.select(F.col("to").alias("rep")).distinct()
+    # rows whose two ends stand for themselves alone, of queries without such a neighbour, stay as they are
+    touched = top.join(many.select(F.col("rep").alias("other")), "other", "left_semi").select("id").unionByName(many.select(F.col("rep").alias("id"))).distinct()
+    plain = top.join(touched, "id", "left_anti")
+    open_rows = top.join(touched, "id", "left_semi").select(F.col("id").alias("rep"), F.col("other").alias("to"), "sim")
+    outer = open_rows.join(first, "to", "left").select("rep", F.coalesce("member", "to").alias("other"), "sim")
+    inner = first.select(F.col("to").alias("rep"), F.col("member").alias("other"), F.lit(1.0).alias("sim"))
+    best = Window.partitionBy("rep").orderBy(F.desc("sim"), "other")
+    near = cut(outer.unionByName(inner).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
+    lists = near.groupBy("rep").agg(F.collect_list(F.struct("other", "sim")).alias("near"))  # at most k + 1 elements
+    sized = lists.join(members.groupBy("rep").agg(F.max("n").alias("n")), "rep", "left")
+    own = sized.where(F.col("n").isNull()).select(F.col("rep").alias("id"), "near")
+    shared = lookup(members.select("rep", "id"), sized.where(F.col("n").isNotNull()), ["rep"], "n").select("id", "near")
+    flat = own.unionByName(shared).select("id", F.explode("near").alias("e")).select("id", "e.other", "e.sim").where(F.col("other") != F.col("id"))
     ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other")))
-    return ranked.where(F.col("rank") <= k).select("id", "other", "sim", F.col("rank").cast("int").alias("rank"))
+    return plain.unionByName(ranked.where(F.col("rank") <= k).select("id", "other", "sim", F.col("rank").cast("int").alias("rank")))
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
