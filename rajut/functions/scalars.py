@@ -13,6 +13,8 @@ TOC_CHAPTER = r"(?i)(bab\s+(?:\d+|[IVXLCDM]+))\s+(.+?)\s*\.{2,}\s*(\d+)"
 TOC_SECTION = r"(?m)^[ \t]*([A-Z])\.\s+(.+?)\s*\.{2,}\s*(\d+)"
 #: Titles after the last chapter (fixed values).
 BACK_MATTER = ("glosarium", "indeks", "daftar pustaka", "profil")
+#: What stands for an empty list in prompts (fixed value).
+NOTHING = "(tidak ada)"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -100,13 +102,15 @@ def chunk_score(terms: Column | str, chapter: Column | str, text: Column | str,
 
 
 def list_text(c: Column | str) -> Column:
-    """A list as text, '-' if empty."""
-    return F.when(F.coalesce(F.size(_c(c)), F.lit(0)) <= 0, "-").otherwise(F.array_join(_c(c), "; "))
+    """A list as text, with a note if it is empty."""
+    return F.when(F.coalesce(F.size(_c(c)), F.lit(0)) <= 0, NOTHING).otherwise(F.array_join(_c(c), ", "))
 
 
 def edges_text(edges: Column | str) -> Column:
-    """Out-edges (rel_type, target, confidence) as lines with two decimals."""
-    return F.array_join(F.transform(_c(edges), lambda e: F.format_string("%s -> %s (%.2f)", e["rel_type"], e["target"], F.coalesce(e["confidence"], F.lit(0.0)))), "\n")
+    """Out-edges (rel_type, target, confidence) as lines, known confidences with two decimals."""
+    conf = lambda e: F.when(e["confidence"].isNull(), "").otherwise(F.format_string(" (conf: %.2f)", e["confidence"]))
+    lines = F.transform(_c(edges), lambda e: F.concat(F.lit("  - "), F.coalesce(e["rel_type"], F.lit("")), F.lit(' → "'), F.coalesce(e["target"], F.lit("")), F.lit('"'), conf(e)))
+    return F.when(F.coalesce(F.size(_c(edges)), F.lit(0)) <= 0, "  " + NOTHING).otherwise(F.array_join(lines, "\n"))
 
 
 def fingerprint(*cols: Column | str) -> Column:

@@ -40,6 +40,68 @@ def glossary_pages(pages: DataFrame) -> DataFrame:
     return ends.where((F.col("_open") == 1) & (F.col("_close") == 0)).drop("_open", "_close")
 
 
+def _cleaned(pairs: list[tuple[str, str]], longest: int) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for term, text in pairs:
+        term, text = " ".join(term.split()).rstrip(":").strip(), " ".join(text.split()).lstrip(":").strip()
+        if term and text and len(term) <= longest and term.lower() != "glosarium":
+            out.setdefault(term, text)
+    return out
+
+
+def glossary_entries(spans: pd.DataFrame) -> dict[str, str]:
+    """Term -> definition by the one of three readings that finds most: bold terms, blocks, or lines up to a full stop.
+
+    spans in reading order: block, line, text, bold, size.
+    """
+    spans = spans[spans["text"].str.strip() != ""]
+    bold: list[tuple[str, str]] = []
+    term, body = "", ""
+    for text, is_bold, size in zip(spans["text"], spans["bold"], spans["size"]):
+        if is_bold and size < 13:
+            if body:
+                bold.append((term, body))
+                term, body = text, ""
+            else:
+                term = f"{term} {text}"
+        elif term and not (size >= 13 and text.strip().lower() == "glosarium"):
+            body = f"{body} {text}"
+    bold.append((term, body))
+
+    lines = [(b, " ".join(g["text"]).strip()) for (b, _), g in spans.groupby(["block", "line"], sort=True)]
+    by_block: dict[int, list[str]] = {}
+    for b, text in lines:
+        by_block.setdefault(b, []).append(text)
+    blocks = [(x[0], " ".join(x[1:])) for x in by_block.values() if len(x) > 1 and not x[0].isdigit() and x[0].lower() not in ("glosarium", "daftar pustaka")]
+
+    stops: list[tuple[str, str]] = []
+    term, body = "", ""
+    for _, text in lines:
+        if text.isdigit() or text.lower() == "glosarium" or "untuk SMA" in text or "Kelas XII" in text:
+            continue
+        if not term:
+            term = text
+            continue
+        body = f"{body} {text}"
+        if text.endswith("."):
+            stops.append((term, body))
+            term, body = "", ""
+    stops.append((term, body))
+    return max((_cleaned(bold, 60), _cleaned(blocks, 60), _cleaned(stops, 45)), key=len)
+
+
+def glossaries(spans: DataFrame) -> DataFrame:
+    """Book, term, definition of glossary pages. spans: book, page, block, line, pos, text, bold, size; a glossary is a few pages of one book."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["page", "block", "line", "pos"], kind="stable")
+        part = part.assign(block=part["page"].astype("int64") * 100_000 + part["block"])
+        found = glossary_entries(part)
+        return pd.DataFrame({"book": [part["book"].iloc[0]] * len(found), "term": list(found), "definition": list(found.values())})
+
+    return spans.groupBy("book").applyInPandas(run, "book long, term string, definition string")
+
+
 def flat_context(books: DataFrame) -> DataFrame:
     """Chapter, page and text of the chunks of nested book documents; blank texts dropped."""
     chunk = books.select("book", F.posexplode("chapters").alias("ci", "c")).select("book", "ci", F.col("c.chapter").alias("chapter"), F.posexplode("c.chunks").alias("ki", "k"))
@@ -54,18 +116,17 @@ def running_triples(konsep: DataFrame) -> DataFrame:
     return flat.select("book_id", (F.row_number().over(w) - 1).alias("triple_no"), "konsep_id", "pos", F.col("name").alias("subject"), F.col("r.rel_type").alias("relation"), F.col("r.target").alias("target"))
 
 
-def token_links(concepts: DataFrame, least: int = 2, most: int = 2, hot_share: float = 0.01) -> DataFrame:
+def token_links(concepts: DataFrame, least: int = 2, most: int = 2, most_holders: int = 200) -> DataFrame:
     """Links between concepts of different books that share at least ``least`` meaningful tokens, ``most`` per concept.
 
-    concepts: id, book, text. Pairs meet by the pairs of their rare tokens and by a
-    rare with a common one; tokens that more than ``hot_share`` of the concepts hold
-    count, but two common tokens alone make no link.
+    concepts: id, book, text. Candidates meet by a token that at most
+    ``most_holders`` concepts hold, so their number grows with the concepts; all
+    tokens count, but common ones alone make no link.
     """
     toks = concepts.select("id", "book", meaningful_tokens("text").alias("tokens"))
-    n = concepts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     flat = toks.select("id", "book", F.explode("tokens").alias("t"))
     counts = flat.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    rare = flat.join(counts.where(F.col("c") <= max(20, int(n * hot_share))), "t").drop("c")
+    rare = flat.join(counts.where(F.col("c") <= most_holders), "t").drop("c")
     a, b = rare.select("t", F.col("id").alias("a"), F.col("book").alias("ba")), rare.select("t", F.col("id").alias("b"), F.col("book").alias("bb"))
     met = a.join(b, "t").where((F.col("ba") != F.col("bb")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     full = met.join(toks.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(toks.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")

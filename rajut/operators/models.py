@@ -80,11 +80,21 @@ def valid_answer(answer: Column, types: tuple[str, ...]) -> Column:
     return F.struct(known.alias("rel_type"), F.when(known == vocab.NO_TYPE, 0.0).otherwise(conf).alias("confidence"), F.coalesce(parsed["description"], F.lit("")).alias("description"))
 
 
+def aligned(got: list, n: int) -> list[str | None]:
+    """L4: one answer per question, by index where the answers say it, else in order; None where there is none."""
+    if got and all(isinstance(x, tuple) for x in got):
+        by = dict(got)
+        return [by.get(i) for i in range(n)]
+    return (list(got) + [None] * n)[:n]
+
+
 def classify(pairs: DataFrame, cache: DataFrame, client: Callable[[list[str]], list[str | None]], types: tuple[str, ...] = vocab.CROSS_TYPES, batch: int = 10) -> tuple[DataFrame, DataFrame]:
     """(classified pairs, new cache entries).
 
-    pairs: source, target, key, prompt. cache: key, answer. What the client leaves
-    out or fails on becomes none with confidence 0 and is not cached.
+    pairs: source, target, key, prompt. cache: key, answer. The client gets up to
+    ``batch`` prompts and returns their answers in order, or (index, answer) pairs in
+    any order. What it leaves out or fails on becomes none with confidence 0 and is
+    not cached.
     """
     hits = pairs.join(cache.select("key", "answer"), "key")
     misses = pairs.join(cache.select("key"), "key", "left_anti")
@@ -98,7 +108,7 @@ def classify(pairs: DataFrame, cache: DataFrame, client: Callable[[list[str]], l
                     got = list(client(asked))
                 except Exception:  # a failed batch is none, and stays out of the cache
                     got = []
-                answers += (got + [None] * len(asked))[: len(asked)]
+                answers += aligned(got, len(asked))
             yield pd.DataFrame({"key": b["key"], "answer": pd.Series(answers, dtype=object)})
 
     fresh = misses.groupBy("key").agg(F.min("prompt").alias("prompt")).mapInPandas(run, "key string, answer string")

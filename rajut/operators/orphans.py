@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rajut.operators.skew import lookup
+
 FOREVER = (1 << 62)
 #: Width of the buckets by which runs are merged first: a quarter of a year in
 #: microseconds. A namespace's intervals are merged bucket by bucket before
@@ -62,25 +64,24 @@ def orphans(refs: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     each reference takes the end of the last run before it. A namespace with
     many references is cut into blocks that each get a copy of its few runs.
     """
-    cols = refs.columns
-    valid = refs.where(F.col("ns").isNotNull() & F.col("point").isNotNull())
-    counted = runs.groupBy("ns").agg(F.count(F.lit(1)).alias("_runs"), F.min("start").alias("_start"), F.min("end").alias("_end"))
-    met = valid.join(counted, "ns", "left")
-    single = met.where(F.col("_runs").isNull() | (F.col("_runs") == 1))
-    out = single.where(F.col("_runs").isNull() | (F.col("point") < F.col("_start")) | (F.col("point") >= F.col("_end"))).select(*cols)
-
-    several = met.where(F.col("_runs") > 1).select(*cols)
-    sized = several.groupBy("ns").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sized.select("ns", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"))
-    ref_rows = several.join(blocks, "ns").select(
-        "ns", F.pmod(F.xxhash64(*[c for c in cols if c != "ns"]), F.col("_blocks").cast("long")).cast("int").alias("_block"), "point", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.struct(*cols).alias("_row")
-    )
-    empty_row = F.lit(None).cast(ref_rows.schema["_row"].dataType)
-    run_rows = runs.join(blocks, "ns").select("ns", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("start").alias("point"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), empty_row.alias("_row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in refs.columns]).alias("_row")
+    valid = refs.where(F.col("ns").isNotNull() & F.col("point").isNotNull()).select("ns", F.col("point").cast("long").alias("point"), row)
+    spans = runs.groupBy("ns").agg(F.count(F.lit(1)).alias("_runs"), F.min("start").alias("_start"), F.min("end").alias("_end"))
+    sized = valid.groupBy("ns").agg(F.count(F.lit(1)).alias("_n")).join(spans, "ns", "left")
+    met = lookup(valid, sized, ["ns"], "_n")
+    single = met.where(F.coalesce("_runs", F.lit(0)) <= 1)
+    out = single.where(F.col("_runs").isNull() | (F.col("point") < F.col("_start")) | (F.col("point") >= F.col("_end"))).select("_row")
+
+    n_blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    own = F.pmod(F.xxhash64("point", F.to_json("_row")), n_blocks.cast("long")).cast("int")
+    ref_rows = met.where(F.col("_runs") > 1).select("ns", own.alias("_block"), "point", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), "_row")
+    several = sized.where(F.col("_runs") > 1).select("ns", n_blocks.alias("_blocks"))
+    no_row = F.lit(None).cast(ref_rows.schema["_row"].dataType).alias("_row")
+    run_rows = runs.join(several, "ns").select("ns", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("start").alias("point"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), no_row)
     asof = Window.partitionBy("ns", "_block").orderBy("point", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last = ref_rows.unionByName(run_rows).withColumn("_last", F.last("_end", ignorenulls=True).over(asof))
-    late = last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select("_row.*")
-    return out.unionByName(late.select(*cols))
+    late = last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select("_row")
+    return out.unionByName(late).select("_row.*")
 
 
 def integer_orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key: str) -> DataFrame:

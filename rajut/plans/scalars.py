@@ -118,7 +118,7 @@ _desc = "any_value(description)"
 _add("x10_context_terms", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", F.array_join(F.array_sort(x.context_terms("description")), " ").alias("terms")), f"SELECT konsep_id, array_to_string(list_sort({_tok_sql(_desc, '[0-9a-zà-öø-ÿ]+', 3, vocab.CONTEXT_STOPWORDS)}), ' ') AS terms FROM konsep GROUP BY konsep_id")
 _add("x11_meaningful_tokens", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", F.array_join(F.array_sort(x.meaningful_tokens("description")), " ").alias("terms")), f"SELECT konsep_id, array_to_string(list_sort({_tok_sql(_desc, '[a-z0-9]+', 4, vocab.TOKEN_STOPWORDS)}), ' ') AS terms FROM konsep GROUP BY konsep_id")
 _add("x12_chunk_score", lambda s, d: table(s, d, "triples").dropDuplicates(["triple_id"]).select("triple_id", x.chunk_score(x.context_terms("subject"), F.col("chapter"), F.concat_ws(" ", "subject", "target"), F.col("chapter")).cast("bigint").alias("score")), f"SELECT DISTINCT triple_id, CAST(len(list_filter({_tok_sql('subject', '[0-9a-zà-öø-ÿ]+', 3, vocab.CONTEXT_STOPWORDS)}, lambda t: contains(lower(concat_ws(' ', coalesce(chapter, ''), concat_ws(' ', subject, target))), t))) + CASE WHEN trim(coalesce(chapter, '')) <> '' THEN 3 ELSE 0 END AS BIGINT) AS score FROM triples")
-_add("x14_list_text", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", x.list_text("formula").alias("formulas"), x.edges_text(F.transform("relations", lambda r: F.struct(r["rel_type"].alias("rel_type"), r["target"].alias("target"), F.lit(0.5).alias("confidence")))).alias("edges")), "SELECT konsep_id, CASE WHEN coalesce(len(any_value(formula)), 0) = 0 THEN '-' ELSE array_to_string(any_value(formula), '; ') END AS formulas, array_to_string(list_transform(any_value(relations), lambda r: coalesce(r.rel_type, 'null') || ' -> ' || coalesce(r.target, 'null') || ' (0.50)'), chr(10)) AS edges FROM konsep GROUP BY konsep_id")
+_add("x14_list_text", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", x.list_text("formula").alias("formulas"), x.edges_text(F.transform("relations", lambda r: F.struct(r["rel_type"].alias("rel_type"), r["target"].alias("target"), F.when(r["description"].isNotNull(), 0.5).alias("confidence")))).alias("edges")), "SELECT konsep_id, CASE WHEN coalesce(len(any_value(formula)), 0) = 0 THEN '(tidak ada)' ELSE array_to_string(any_value(formula), ', ') END AS formulas, CASE WHEN coalesce(len(any_value(relations)), 0) = 0 THEN '  (tidak ada)' ELSE array_to_string(list_transform(any_value(relations), lambda r: '  - ' || coalesce(r.rel_type, '') || ' → ' || chr(34) || coalesce(r.target, '') || chr(34) || CASE WHEN r.description IS NULL THEN '' ELSE ' (conf: 0.50)' END), chr(10)) END AS edges FROM konsep GROUP BY konsep_id")
 _add("x15_fingerprint", lambda s, d: table(s, d, "books").select("book_id", x.fingerprint("name", "book_id").alias("fp")), """SELECT book_id, md5('{"p0":"' || name || '","p1":' || CAST(book_id AS VARCHAR) || '}')[1:12] AS fp FROM books""")
 _add("x16_cache_key", _rel(lambda: dict(key=x.cache_key("description", F.lit("model-a"), F.lit("v1"), sep="||"))), _rel_sql(key="sha256(concat_ws('||', coalesce(description, ''), 'model-a', 'v1'))"))
 _add("x17_pair_text", _rel(lambda: dict(pair=x.pair_text(F.coalesce("src_name", F.lit("")), F.coalesce("target", F.lit("")), F.lit("schema:yhg".replace("yhg", "kg"))))), _rel_sql(pair="CASE WHEN coalesce(src_name, '') <= coalesce(target, '') THEN concat_ws('||', coalesce(src_name, ''), coalesce(target, ''), 'schema:kg') ELSE concat_ws('||', coalesce(target, ''), coalesce(src_name, ''), 'schema:kg') END"))

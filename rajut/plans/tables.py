@@ -193,3 +193,13 @@ def _binary(s, d):
 
     raw = s.read.format("binaryFile").load(f"{d}/books.parquet").select("path", "content")
     return books.pages_of(raw, parser).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def _glossaries(s, d):
+    """The glossary as lines of a page: the term in bold, then its definition."""
+    g = table(s, d, "glosarium").select((F.col("term_id") % 5).cast("long").alias("book"), F.lit(1).alias("page"), F.col("term_id").alias("block"), "term", "definition")
+    rows = g.select("book", "page", "block", F.posexplode(F.array("term", "definition")).alias("pos", "text"))
+    return books.glossaries(rows.select("book", "page", "block", F.col("pos").alias("line"), "pos", "text", (F.col("pos") == 0).alias("bold"), F.lit(10.0).alias("size")))
+
+
+_add("x5_glossaries", _glossaries, "SELECT term_id % 5 AS book, term, definition FROM glosarium")

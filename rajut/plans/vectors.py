@@ -45,7 +45,7 @@ def _sum(x):
     return F.round(x, 5)
 
 
-_add("v1_cosine", lambda s, d: _vectors(s, d).join(F.broadcast(table(s, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))), F.lit(True)).select("q", "id", F.round(vector.cosine("qv", "vec"), 6).alias("sim")).where(F.col("sim") >= 0.3), _V + " SELECT q, id, sim FROM s WHERE q % 50 = 0 AND sim >= 0.3")
+_add("v1_cosine", lambda s, d: _vectors(s, d).join(_vectors(s, d).select((F.col("id") + 1).alias("id"), F.col("vec").alias("before")), "id").select("id", F.round(vector.cosine("before", "vec"), 6).alias("sim")), "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1")
 _add("v2_knn_topk", lambda s, d: _ranked(s, d).select("q", "rank", "sim"), _V + f" SELECT q, rank, sim FROM r WHERE rank <= {K}")
 _add("v3_candidate_pairs", _pairs, _P + " SELECT * FROM p")
 _add("v3_normalized_score", lambda s, d: vector.candidate_pairs(_ranked(s, d), _vectors(s, d), 0.65, "normalized", cross_group=False).select("source", "target"), _V + f" SELECT min(q) AS source, arg_min(id, q) AS target FROM r WHERE rank <= {K} AND (1 + sim) / 2 >= 0.65 AND q <> id GROUP BY least(q, id), greatest(q, id)")

@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from rajut.session import local_session
+    from rajut.session import local_session, ship
 
     s = local_session("4", "tests")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
