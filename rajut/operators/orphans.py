@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rajut.operators.skew import lookup
+from rajut.session import cut
 
 FOREVER = (1 << 62)
 #: Width of the buckets by which runs are merged first: a quarter of a year in
@@ -64,13 +65,15 @@ def orphans(refs: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     each reference takes the end of the last run before it. A namespace with
     many references is cut into blocks that each get a copy of its few runs.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in refs.columns]).alias("_row")
+    others = [c for c in refs.columns if c not in ("ns", "point")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_given")).alias("_row")
+    whole = [F.col(c) if c in ("ns", "point") else F.col(f"_row.`{c}`").alias(c) for c in refs.columns]
     valid = refs.where(F.col("ns").isNotNull() & F.col("point").isNotNull()).select("ns", F.col("point").cast("long").alias("point"), row)
     spans = runs.groupBy("ns").agg(F.count(F.lit(1)).alias("_runs"), F.min("start").alias("_start"), F.min("end").alias("_end"))
-    sized = valid.groupBy("ns").agg(F.count(F.lit(1)).alias("_n")).join(spans, "ns", "left")
-    met = lookup(valid, sized, ["ns"], "_n")
+    sized = cut(valid.groupBy("ns").agg(F.count(F.lit(1)).alias("_n")).join(spans, "ns", "left"))
+    met = cut(lookup(valid, sized, ["ns"], "_n"))
     single = met.where(F.coalesce("_runs", F.lit(0)) <= 1)
-    out = single.where(F.col("_runs").isNull() | (F.col("point") < F.col("_start")) | (F.col("point") >= F.col("_end"))).select("_row")
+    out = single.where(F.col("_runs").isNull() | (F.col("point") < F.col("_start")) | (F.col("point") >= F.col("_end"))).select(*whole)
 
     n_blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64("point", F.to_json("_row")), n_blocks.cast("long")).cast("int")
@@ -80,8 +83,8 @@ def orphans(refs: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     run_rows = runs.join(several, "ns").select("ns", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("start").alias("point"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), no_row)
     asof = Window.partitionBy("ns", "_block").orderBy("point", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last = ref_rows.unionByName(run_rows).withColumn("_last", F.last("_end", ignorenulls=True).over(asof))
-    late = last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select("_row")
-    return out.unionByName(late).select("_row.*")
+    late = last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select(*whole)
+    return out.unionByName(late)
 
 
 def integer_orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key: str) -> DataFrame:
