@@ -26,6 +26,7 @@ decide; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,12 +40,12 @@ from rajut.llm.notebook import cells
 from rajut.session import cut
 
 MAX_LABELLED, MAX_FEATURES = 20_000, 30_000
-THRESHOLD = 0.4
+THRESHOLD = 0.35
 #: Words that are abusive or explicit in ordinary use; where labels are few, the
 #: weights are drawn towards them (Indonesian, English, Spanish).
-SEEDS = """goblok tolol bangsat bajingan brengsek keparat kontol memek ngentot bego kampret
+SEEDS = """goblok tolol bangsat bajingan brengsek keparat kontol memek ngentot bego kampret bokep mesum lonte pelacur
 idiot moron bastard asshole bitch scumbag imbecile dumbass retard whore slut loser fuck shit cunt vermin subhuman porn horny nudes threesome
-puta mierda cabron gilipollas imbecil pendejo escoria alimana zorra""".split()
+idiota puta mierda cabron gilipollas imbecil pendejo escoria alimana zorra""".split()
 
 _ZERO = re.compile("[​-‏⁠﻿­]")
 _LOOKS = str.maketrans("@$!013457€", "asioieaste")
@@ -58,10 +59,12 @@ _VOWELS = re.compile(r"[aeiouáéíóúü*]")
 
 
 def word(raw: str) -> str:
-    """One word without disguise: look-alikes replaced, repeated letters once; '' for numbers and long codes."""
+    """One word without disguise: look-alikes and accents replaced, repeated letters once; '' for numbers and long codes."""
     if len(raw) > 40 or not any(c.isalpha() for c in raw):
         return ""
     raw = raw.rstrip("!")
+    if not raw.isascii():
+        raw = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c)).lower()
     return _RUN.sub(r"\1", raw.translate(_LOOKS))
 
 
@@ -235,7 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
     least = 1 if pos < 30 else 2
     lift = (F.col("p") / F.lit(float(pos))) / ((F.col("n") + 0.5) / F.lit(float(neg)))
     wanted = seen.where((F.col("p") >= least) & (lift > 2)).withColumn("s", F.col("p") * F.log(lift)).orderBy(F.desc("s"), "f").limit(max_features)
-    names = [r["f"] for r in wanted.select("f").collect()]
+    found = wanted.select("f", "p", "n").collect()
+    names = [r["f"] for r in found]
+    # what many positive and hardly any negative documents hold is no chance find
+    sure = {r["f"] for r in found if r["p"] >= 6 and r["n"] * 10 <= r["p"]}
     index = {f: i for i, f in enumerate(sorted({*names, *SEED_FEATURES}))}
     known = spark.sparkContext.broadcast(index)
 
@@ -260,8 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
         prior[index[f]] = 3.0
     w, bias = fit(lists, y, len(index), prior)
     # words that positive documents hold outside their offending passages are no evidence: drop them and fit again
+    strong = np.array([f in sure for f in sorted(index)]) | (prior > 0)
     for _ in range(2):
-        kept = (located(lists, y, w, bias) >= 0.6) | (prior > 0)
+        kept = (located(lists, y, w, bias) >= 0.6) | strong
         bags_left = [[q for q in ([f for f in p if kept[f]] for p in bag) if q] for bag in lists]
         left = [i for i, bag in enumerate(bags_left) if bag]
         w, bias = fit([bags_left[i] for i in left], y[left], len(index), prior)
