@@ -240,15 +240,13 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     forest = fit_forest(_stack(rows).astype(np.float64), total, trees, leaf_size, seed)
     shared = spark.sparkContext.broadcast(forest)
 
-    def placed(batches):
+    def held(batches):
         for b in batches:
             if len(b):
-                leaves = assign(shared.value, _stack(b["vec"]))
-                t = leaves.shape[1]
-                yield pd.DataFrame({"leaf": leaves.ravel(), "id": np.repeat(b["id"].to_numpy(), t), "vec": np.repeat(b["vec"].to_numpy(), t)})
+                leaf, n = np.unique(assign(shared.value, _stack(b["vec"])), return_counts=True)
+                yield pd.DataFrame({"leaf": leaf, "n": n.astype(np.int64)})
 
-    index = reps.select("id", "vec").mapInPandas(placed, "leaf int, id long, vec binary")
-    counted = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counted = reps.select("vec").mapInPandas(held, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
     sizes = np.zeros(max(1, forest.n_leaves), np.int64)
     sizes[counted["leaf"]] = counted["n"]
     parts = np.maximum(1, -(-sizes // block))
