@@ -9,6 +9,7 @@ from rajut.functions import vocab
 from rajut.functions.normalize import strip
 from rajut.functions.text import squeeze
 
+# fixed values: what a contents line and a section line look like
 TOC_CHAPTER = r"(?i)(bab\s+(?:\d+|[IVXLCDM]+))\s+(.+?)\s*\.{2,}\s*(\d+)"
 TOC_SECTION = r"(?m)^[ \t]*([A-Z])\.\s+(.+?)\s*\.{2,}\s*(\d+)"
 #: Titles after the last chapter (fixed values).
@@ -73,6 +74,7 @@ def page_number(label: Column | str) -> Column:
 def variable(c: Column | str) -> Column:
     """Name, label and unit of 'v (label, unit)'; what does not fit is the name."""
     t = strip(c)
+    # fixed value
     pattern = r"^([^\s(]+)\s*\(([^,)]+)(?:,\s*([^)]+))?\)"
     fits = t.rlike(pattern)
     part = lambda i: F.nullif(F.trim(F.regexp_extract(t, pattern, i)), F.lit(""))

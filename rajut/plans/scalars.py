@@ -121,7 +121,7 @@ _add("x12_chunk_score", lambda s, d: table(s, d, "triples").dropDuplicates(["tri
 _add("x14_list_text", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", x.list_text("formula").alias("formulas"), x.edges_text(F.transform("relations", lambda r: F.struct(r["rel_type"].alias("rel_type"), r["target"].alias("target"), F.when(r["description"].isNotNull(), 0.5).alias("confidence")))).alias("edges")), "SELECT konsep_id, CASE WHEN coalesce(len(any_value(formula)), 0) = 0 THEN '(tidak ada)' ELSE array_to_string(any_value(formula), ', ') END AS formulas, CASE WHEN coalesce(len(any_value(relations)), 0) = 0 THEN '  (tidak ada)' ELSE array_to_string(list_transform(any_value(relations), lambda r: '  - ' || coalesce(r.rel_type, '') || ' → ' || chr(34) || coalesce(r.target, '') || chr(34) || CASE WHEN r.description IS NULL THEN '' ELSE ' (conf: 0.50)' END), chr(10)) END AS edges FROM konsep GROUP BY konsep_id")
 _add("x15_fingerprint", lambda s, d: table(s, d, "books").select("book_id", x.fingerprint("name", "book_id").alias("fp")), """SELECT book_id, md5('{"p0":"' || name || '","p1":' || CAST(book_id AS VARCHAR) || '}')[1:12] AS fp FROM books""")
 _add("x16_cache_key", _rel(lambda: dict(key=x.cache_key("description", F.lit("model-a"), F.lit("v1"), sep="||"))), _rel_sql(key="sha256(concat_ws('||', coalesce(description, ''), 'model-a', 'v1'))"))
-_add("x17_pair_text", _rel(lambda: dict(pair=x.pair_text(F.coalesce("src_name", F.lit("")), F.coalesce("target", F.lit("")), F.lit("schema:yhg".replace("yhg", "kg"))))), _rel_sql(pair="CASE WHEN coalesce(src_name, '') <= coalesce(target, '') THEN concat_ws('||', coalesce(src_name, ''), coalesce(target, ''), 'schema:kg') ELSE concat_ws('||', coalesce(target, ''), coalesce(src_name, ''), 'schema:kg') END"))
+_add("x17_pair_text", _rel(lambda: dict(pair=x.pair_text(F.coalesce("src_name", F.lit("")), F.coalesce("target", F.lit("")), F.lit("schema:kg")))), _rel_sql(pair="CASE WHEN coalesce(src_name, '') <= coalesce(target, '') THEN concat_ws('||', coalesce(src_name, ''), coalesce(target, ''), 'schema:kg') ELSE concat_ws('||', coalesce(target, ''), coalesce(src_name, ''), 'schema:kg') END"))
 _add("x18_relation_key", _rel(lambda: dict(key=x.relation_key("src_grade", "src_name", "rel_type", "tgt_grade", "target"))), _rel_sql(key="coalesce(src_grade, '') || '|' || coalesce(src_name, '') || '|' || coalesce(rel_type, '') || '|' || coalesce(tgt_grade, '') || '|' || coalesce(target, '')"))
 _dims = "CASE " + " ".join(f"WHEN contains(lower(coalesce(embedding_model, '')), '{k}') THEN {v}" for k, v in vocab.EMBEDDING_DIMS.items()) + f" ELSE {vocab.DEFAULT_DIM} END"
 _add("x19_embedding_dims", lambda s, d: table(s, d, "concepts").groupBy("embedding_model").agg(F.first(x.embedding_dims("embedding_model")).alias("dims")), f"SELECT DISTINCT embedding_model, CAST({_dims} AS INTEGER) AS dims FROM concepts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rajut.functions import vocab
@@ -116,6 +117,22 @@ def _enriched(s, d):
     return models.enrich(e, c).where(F.length("key") == 64).select("source", "target")
 
 
+_add("o2_similar_order", lambda s, d: vector.similar_edges(_pairs(s, d)).orderBy(F.desc("score"), "source", "target").select("source", "target", "score"), _P + " SELECT least(source, target) AS source, greatest(source, target) AS target, max(similarity) AS score FROM p GROUP BY 1, 2 ORDER BY score DESC, 1, 2")
+
+
+def _two_indexes(s, d):
+    """U4: results of two indexes merged: an id once with its best score, ranked again, cut at k."""
+    v = _vectors(s, d)
+    even = F.col("id") % 2 == 0
+    both = vector.block_knn(v, v.where(even), K).unionByName(vector.block_knn(v, v.where(~even), K))
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
+    one = both.groupBy("q", "id").agg(F.max("sim").alias("sim"))
+    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("q", "rank", "sim")
+
+
+_add("u4_two_index_merge", _two_indexes, _V + f" SELECT q, rank, sim FROM r WHERE rank <= {K}")
+
+
 def _flagship(s, d):
     """Cross-group candidate pairs of the nearest neighbours, counted per pair of groups."""
     return _pairs(s, d).groupBy("source_grade", "target_grade").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
