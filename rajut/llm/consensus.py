@@ -34,6 +34,8 @@ LABELS = ("correct", "partial", "wrong", "missing", "abaikan")
 #: Spellings of the label for "to be ignored" (fixed values).
 IGNORE = ("ignore", "ignored", "skip", "skipped")
 MAX_ANNOTATORS, MAX_VOTES = 50_000, 10_000
+#: Groups with label shares of their own; all smaller ones together are one more.
+MAX_GROUPS, POOLED = 1000, "\x00pooled"
 TYPES, STRENGTH, ROUNDS = 5, 20.0, 25
 K = len(LABELS)
 
@@ -147,7 +149,10 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
     its = items.select("item", F.coalesce("grp", F.lit("")).alias("grp"), _index(F.coalesce("known", F.lit(""))).alias("known")).where(F.col("item").isNotNull()).dropDuplicates(["item"])
     valid = cast.select("item", "who", _index("label").alias("lab")).where((F.col("lab") >= 0) & F.col("who").isNotNull()).dropDuplicates(["item", "who"])
     names = cut(valid.groupBy("who").agg(F.count(F.lit(1)).alias("n")))
-    groups = [r["grp"] for r in its.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(1000).collect()]
+    groups = [r["grp"] for r in its.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:  # the smallest groups share their label shares
+        groups = [*groups[: MAX_GROUPS - 1], POOLED]
+        its = its.withColumn("grp", F.when(F.col("grp").isin(*groups), F.col("grp")).otherwise(POOLED))
     model = Model(groups or [""])
     n_who = names.count()
     most = (valid.groupBy("item").count().agg(F.max("count")).first()[0] or 0) if n_who else 0

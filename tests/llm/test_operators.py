@@ -404,3 +404,12 @@ def test_abuse_edge_cases(spark):
     assert set(got) == {1, 2, 3, 4} and got[4] > 0.5 and max(got[i] for i in (1, 2, 3)) == 0
     one_class = spark.createDataFrame([(4, 1), (4, None), (77, 0), (None, 1)], "doc long, toxic int")
     assert abuse.train(df, one_class, "doc", "score", "layout", "doc", "toxic").weights
+
+
+def test_small_groups_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "MAX_GROUPS", 2)
+    items = spark.createDataFrame([(i, f"g{i % 5}" if i % 2 else "big", None) for i in range(40)], "item long, grp string, known string")
+    votes = spark.createDataFrame([(i, w, "wrong") for i in range(40) for w in ("a", "b")], "item long, who string, label string")
+    for kw in ({}, {"max_annotators": 0, "rounds": 2}):
+        out, _ = consensus.infer(items, votes, **kw)
+        assert {r["label"] for r in out.collect()} == {"wrong"} and out.count() == 40
