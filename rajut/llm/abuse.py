@@ -25,6 +25,7 @@ decide; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -49,6 +50,7 @@ idiota puta mierda cabron gilipollas imbecil pendejo escoria alimana zorra""".sp
 
 _ZERO = re.compile("[​-‏⁠﻿­]")
 _LOOKS = str.maketrans("@$!013457€", "asioieaste")
+_LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1+")
 _PARTS = re.compile(r"[^\w@$!*À-ɏ]+|_+")
 _EDGE = "!?.,;:\"'`()[]{}<>=|#%&~^/\\+-–—…“”‘’«»¡¿"
@@ -60,7 +62,7 @@ _VOWELS = re.compile(r"[aeiouáéíóúü*]")
 
 def word(raw: str) -> str:
     """One word without disguise: look-alikes and accents replaced, repeated letters once; '' for numbers and long codes."""
-    if len(raw) > 40 or not any(c.isalpha() for c in raw):
+    if len(raw) > 40 or not _LETTER.search(raw):
         return ""
     raw = raw.rstrip("!")
     if not raw.isascii():
@@ -68,12 +70,15 @@ def word(raw: str) -> str:
     return _RUN.sub(r"\1", raw.translate(_LOOKS))
 
 
-@lru_cache(maxsize=200_000)
 def token_words(token: str) -> tuple[str, ...]:
     """The words in a run of characters between white space."""
     if len(token) > 400:
         return ()
+    if token.isalpha() and token.isascii():
+        return (_RUN.sub(r"\1", token),) if len(token) <= 40 else ()
     token = token.strip(_EDGE)
+    if not _LETTER.search(token):
+        return ()
     if _SPELLED.fullmatch(token):
         return (word(re.sub(r"[-._]", "", token)),)
     out = []
@@ -95,6 +100,8 @@ def passages(text: str | None, layout: str | None) -> list[str]:
     """Sentences and lines of all cells; lines of one comment block are one passage."""
     out = []
     for cell in cells(text, layout):
+        if _ZERO.search(cell):
+            cell = _ZERO.sub("", cell)
         for p in _BREAK.split(_COMMENT.sub(" ", "\n" + cell)):
             if p and not p.isspace():
                 out.append(p)
@@ -107,9 +114,13 @@ def words_of(passage: str) -> list[str]:
         passage = _ZERO.sub("", passage)
     for token in passage.lower().split():
         flat += token_words(token)
-    if sum(len(w) == 1 for w in flat) < 3:
-        return flat
-    out, run = [], []
+    return flat if sum(len(w) == 1 for w in flat) < 3 else _joined(flat)
+
+
+def _joined(flat: list[str]) -> list[str]:
+    """Three or more single letters in a row are one word."""
+    out: list[str] = []
+    run: list[str] = []
     for w in [*flat, ""]:
         if len(w) == 1:
             run.append(w)
@@ -177,26 +188,51 @@ def located(bags: list[list[list[int]]], labels: np.ndarray, w: np.ndarray, bias
     return blamed / np.maximum(1, inside)
 
 
+_NUMBERS = "0123456789" + _EDGE
+_NO_WORDS: tuple[tuple[str, ...], bool, int] = ((), False, 0)
+
+
 class Scorer:
+    """Scores passages; most have no word that any feature needs and are passed over quickly."""
+
+    MOST_TOKENS = 150_000
+
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.starts = frozenset(f.split(" ", 1)[0] for f in weights if " " in f)
         self.single = frozenset(f for f in weights if " " not in f)
+        # a sequence needs all its words, so its longest one stands for it
+        self.needed = frozenset(max(f.split(" "), key=len) for f in weights if " " in f)
+        self.tokens: dict[str, tuple[tuple[str, ...], bool, int]] = {}
+
+    def _learn(self, token: str) -> tuple[tuple[str, ...], bool, int]:
+        """Words of a token, whether a feature may need one, how many are single letters."""
+        if not token.strip(_NUMBERS):
+            return _NO_WORDS
+        ws = token_words(token)
+        if len(self.tokens) > self.MOST_TOKENS:
+            self.tokens.clear()
+        entry = self.tokens[token] = ws, any(w in self.single or skeleton(w) in self.needed for w in ws), sum(len(w) == 1 for w in ws)
+        return entry
 
     def passage(self, text: str) -> float:
-        ws = words_of(text)
-        sk = [skeleton(w) for w in ws]
-        if self.single.isdisjoint(ws) and self.starts.isdisjoint(sk):
+        known, learn = self.tokens.get, self._learn
+        entries = [known(t) or learn(t) for t in text.lower().split()]
+        ones = sum([e[2] for e in entries])
+        if ones < 3 and not any([e[1] for e in entries]):
             return 0.0
+        ws = [w for e in entries for w in e[0]]
+        if ones >= 3:
+            ws = _joined(ws)
+        sk = [skeleton(w) for w in ws]
         get = self.weights.get
-        hits = [x for x in (get(w) for w in set(ws) if len(w) > 1) if x is not None]
-        if not self.starts.isdisjoint(sk):
+        hits = [x for x in map(get, {w for w in ws if len(w) > 1}) if x is not None]
+        if not self.needed.isdisjoint(sk):
             grams = {f"{a} {b}" for a, b in zip(sk, sk[1:])}
-            grams.update(f"{a} {b} {c}" for a, b, c in zip(sk, sk[1:], sk[2:]))
+            grams.update([f"{a} {b} {c}" for a, b, c in zip(sk, sk[1:], sk[2:])])
             hits += [x for x in map(get, grams) if x is not None]
         if not hits:
             return 0.0
-        return 1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(hits) / len(hits) ** 0.5))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(hits) / len(hits) ** 0.5))))
 
     def document(self, text: str | None, layout: str | None) -> tuple[float, float, str | None]:
         """(noisy-or score, highest passage score, that passage)."""
