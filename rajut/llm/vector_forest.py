@@ -234,10 +234,11 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     schema = "id long, other long, sim double, rank int"
     if total == 0:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.2 * sample_rows / total)
-    picked = reps.select("vec") if share >= 1 else reps.select("vec").sample(False, share, seed)
-    rows = picked.limit(sample_rows).toPandas()["vec"]
-    forest = fit_forest(_stack(rows).astype(np.float64), total, trees, leaf_size, seed)
+    # about sample_rows rows, the same ones whatever the partitioning
+    parts_of = 1 << 20
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts_of)) < int(parts_of * min(1.0, sample_rows / total))
+    rows = reps.where(drawn).select("id", "vec").toPandas().sort_values("id")["vec"]
+    forest = fit_forest(_stack(rows).astype(np.float64) if len(rows) else np.empty((0, 1)), total, trees, leaf_size, seed)
     shared = spark.sparkContext.broadcast(forest)
 
     def held(batches):
