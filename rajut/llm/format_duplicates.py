@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rajut.functions.text import alike_key
 from rajut.operators.skew import lookup
+from rajut.session import cut
 
 
 def canonical(texts: list[Column], lists: list[Column]) -> Column:
@@ -37,20 +38,19 @@ def collapse(df: DataFrame, id_col: str, raw: list[str], texts: list[Column], li
     ``raw`` names the columns whose bytes make up a record; ``texts`` and
     ``lists`` are expressions over them.
     """
-    cols = [f"_raw{i}" for i in range(len(raw))]
-    named = {f"`{c}`": n for c, n in zip(raw, cols)}
-    base = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.to_json(F.struct(*[F.col(c).alias(n) for c, n in named.items()])).alias("_bytes"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(named)])
+    given = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`") for c in raw])
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(raw)]))
     # a row delivered again has the same id and the same bytes
-    once = base.groupBy("_bytes", "_id").agg(*[F.first(f"_c{i}").alias(c) for i, c in enumerate(raw)])
-    survivors = once.groupBy("_bytes").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in raw])
-    canon = survivors.select("_bytes", "_first", "_n", canonical(texts, list(lists)).alias("canon"))
+    survivors = given.distinct().groupBy(*[f"`{c}`" for c in raw]).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # the bytes are kept only where rows share them
+    canon = cut(survivors.select(F.when(F.col("_n") > 1, whole).alias("_bytes"), "_first", "_n", canonical(texts, list(lists)).alias("canon")))
     groups = canon.groupBy("canon").agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("n_copies"), F.count(F.lit(1)).alias("_forms"))
-    several = groups.where(F.col("n_copies") > 1).select("canon", "keep_id", "_forms")
-    placed = lookup(canon, several, ["canon"], "_forms").select("_bytes", "_first", "_n", "keep_id")
+    several = cut(groups.where(F.col("n_copies") > 1).select("canon", "keep_id", "_forms"))
+    placed = cut(lookup(canon, several, ["canon"], "_forms").select("_bytes", "_first", "_n", "keep_id"))
     alone = placed.where(F.col("_n") == 1).select("keep_id", F.col("_first").alias("copy_id"))
     shared = placed.where(F.col("_n") > 1).select("_bytes", "_n", "keep_id")
-    copies = lookup(once.select("_bytes", "_id"), shared, ["_bytes"], "_n").select("keep_id", F.col("_id").alias("copy_id"))
-    members = alone.unionByName(copies).where(F.col("copy_id") != F.col("keep_id"))
+    copies = lookup(given.select(whole.alias("_bytes"), "_id"), shared, ["_bytes"], "_n").select("keep_id", F.col("_id").alias("copy_id")).where(F.col("copy_id") != F.col("keep_id")).distinct()
+    members = alone.where(F.col("copy_id") != F.col("keep_id")).unionByName(copies)
     return groups.select("keep_id", "n_copies", "canon"), members
 
 
