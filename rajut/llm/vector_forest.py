@@ -216,28 +216,28 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
-    finite and not all zero). An id given twice counts once. Equal vectors are
-    each other's nearest with similarity 1; ties rank by the smaller id. An empty
+    finite and not all zero). An id given twice counts once. Vectors of equal
+    direction are each other's nearest with similarity 1; ties rank by the smaller id. An empty
     table gives an empty result.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col("id").cast("long").alias("id"), "vec").dropDuplicates(["id"])
-    groups = cut(base.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
 
     def packed(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"id": b["rep"], "n": b["n"], "vec": _pack(unit(np.stack(b["vec"].to_numpy())))})
+                yield pd.DataFrame({"id": b["id"], "vec": _pack(unit(np.stack(b["vec"].to_numpy())))})
 
-    reps = cut(groups.mapInPandas(packed, "id long, n long, vec binary"))
+    # unit vectors in single precision; from here on equal vectors are those of equal direction
+    base = vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInPandas(packed, "id long, vec binary").dropDuplicates(["id"])
+    reps = cut(base.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = reps.count()
     schema = "id long, other long, sim double, rank int"
     if total == 0:
         return spark.createDataFrame([], schema)
     # about sample_rows rows, the same ones whatever the partitioning
     parts_of = 1 << 20
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts_of)) < int(parts_of * min(1.0, sample_rows / total))
-    rows = reps.where(drawn).select("id", "vec").toPandas().sort_values("id")["vec"]
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(parts_of)) < int(parts_of * min(1.0, sample_rows / total))
+    rows = reps.where(drawn).select(F.col("rep").alias("id"), "vec").toPandas().sort_values("id")["vec"]
     forest = fit_forest(_stack(rows).astype(np.float64) if len(rows) else np.empty((0, 1)), total, trees, leaf_size, seed)
     shared = spark.sparkContext.broadcast(forest)
 
@@ -275,13 +275,14 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
                 yield pd.DataFrame({"leaf": flat, "part": (spread % parts[flat]).astype(np.int32), "kind": np.int8(0), "id": ids, "vec": np.repeat(b["vec"].to_numpy(), t)})
 
     rows_schema = "leaf int, part int, kind byte, id long, vec binary"
-    both = reps.select("id", "vec").mapInPandas(cut_up, rows_schema).unionByName(reps.select("id", "vec").mapInPandas(opened, rows_schema))
+    rows_of = reps.select(F.col("rep").alias("id"), "vec")
+    both = rows_of.mapInPandas(cut_up, rows_schema).unionByName(rows_of.mapInPandas(opened, rows_schema))
     blocks = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
     found = blocks.mapInPandas(lambda it: _rank_blocks(it, k, least), "id long, other long, sim double")
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.groupBy("id", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     top = cut(top.select("id", "other", "sim", F.col("rank").cast("int").alias("rank")))
-    several = groups.where(F.col("n") > 1)
+    several = reps.where(F.col("n") > 1)
     if several.isEmpty():
         return top
     members = cut(lookup(base, several, ["vec"], "n").select("rep", "id", "n"))
