@@ -176,40 +176,52 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
+def _nearest(q_ids: np.ndarray, q: np.ndarray, block_ids: np.ndarray, block: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+    for a in range(0, len(q), BATCH):
+        sim = q[a : a + BATCH] @ block.T
+        sim[q_ids[a : a + BATCH, None] == block_ids[None, :]] = -2.0
+        take = min(k, sim.shape[1])
+        top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
+        r, c = np.nonzero(np.take_along_axis(sim, top, 1) >= least - 1e-5)
+        c = top[r, c]
+        exact = np.einsum("ij,ij->i", q[a : a + BATCH][r].astype(np.float64), block[c].astype(np.float64))
+        keep = (exact >= least) & (q_ids[a : a + BATCH][r] != block_ids[c])
+        yield pd.DataFrame({"id": q_ids[a : a + BATCH][r][keep], "other": block_ids[c][keep], "sim": np.minimum(exact[keep], 1.0)})
+
+
 def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Iterator[pd.DataFrame]:
-    """Sorted by (leaf, part, kind): first the vectors of a block (kind 0), then its queries (kind 1)."""
-    key, ids, vecs, block = None, [], [], None
+    """Sorted by (leaf, part, kind): first the vectors of a block (kind 0, or 1 if they ask it too), then queries from elsewhere (kind 2)."""
+    key, held, block = None, [], None
+
+    def complete() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, vecs, asks = (np.concatenate(x) for x in zip(*held))
+        return ids, vecs, asks
+
     for batch in batches:
         if not len(batch):
             continue
-        where = batch["leaf"].to_numpy(np.int64) * (1 << 20) + batch["part"].to_numpy(np.int64)
-        edges = np.flatnonzero(np.diff(where)) + 1
-        for rows in np.split(np.arange(len(batch)), edges):
+        where = batch["leaf"].to_numpy(np.int64) * (1 << 24) + batch["part"].to_numpy(np.int64)
+        for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(where)) + 1):
             if where[rows[0]] != key:
-                key, ids, vecs, block = where[rows[0]], [], [], None
+                if held and block is None:
+                    ids, vecs, asks = complete()
+                    yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
+                key, held, block = where[rows[0]], [], None
             chunk = batch.iloc[rows]
             kind = chunk["kind"].to_numpy()
-            if (kind == 0).any():
-                own = chunk[kind == 0]
-                ids.append(own["id"].to_numpy())
-                vecs.append(_stack(own["vec"]))
-            asked = chunk[kind == 1]
-            if not len(asked) or not ids:
+            if (kind < 2).any():
+                own = chunk[kind < 2]
+                held.append((own["id"].to_numpy(), _stack(own["vec"]), kind[kind < 2] == 1))
+            away = chunk[kind == 2]
+            if not len(away) or not held:
                 continue
             if block is None:
-                block, block_ids = np.concatenate(vecs), np.concatenate(ids)
-                vecs, ids = [block], [block_ids]
-            q_ids, q = asked["id"].to_numpy(), _stack(asked["vec"])
-            for a in range(0, len(q), BATCH):
-                sim = q[a : a + BATCH] @ block.T
-                sim[q_ids[a : a + BATCH, None] == block_ids[None, :]] = -2.0
-                take = min(k, sim.shape[1])
-                top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                r, c = np.nonzero(np.take_along_axis(sim, top, 1) >= least - 1e-5)
-                c = top[r, c]
-                exact = np.einsum("ij,ij->i", q[a : a + BATCH][r].astype(np.float64), block[c].astype(np.float64))
-                keep = (exact >= least) & (q_ids[a : a + BATCH][r] != block_ids[c])
-                yield pd.DataFrame({"id": q_ids[a : a + BATCH][r][keep], "other": block_ids[c][keep], "sim": np.minimum(exact[keep], 1.0)})
+                block = complete()
+                yield from _nearest(block[0][block[2]], block[1][block[2]], block[0], block[1], k, least)
+            yield from _nearest(away["id"].to_numpy(), _stack(away["vec"]), block[0], block[1], k, least)
+    if held and block is None:
+        ids, vecs, asks = complete()
+        yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
 
 
 def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 8, leaf_size: int = 400, search_k: int = 5_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
@@ -253,31 +265,34 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     parts = np.maximum(1, -(-sizes // block))
     known = spark.sparkContext.broadcast((sizes, parts))
 
-    def opened(batches):
+    def spread(batches):
+        """Each vector once per tree in its own leaf (kind 0, or 1 if it also asks there), and as a query in the other leaves it opens (kind 2)."""
         sizes, parts = known.value
         for b in batches:
-            x = _stack(b["vec"]) if len(b) else None
             for a in range(0, len(b), BATCH):
-                row, leaf = search_leaves(shared.value, sizes, x[a : a + BATCH], search_k)
+                ids, vecs = b["id"].to_numpy()[a : a + BATCH], b["vec"].to_numpy()[a : a + BATCH]
+                x = _stack(pd.Series(vecs))
+                own = assign(shared.value, x)
+                t = own.shape[1]
+                own_row, own_leaf = np.repeat(np.arange(len(x)), t), own.ravel().astype(np.int64)
+                own_part = (ids.astype(np.uint64)[own_row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[own_leaf]
+                row, leaf = search_leaves(shared.value, sizes, x, search_k)
                 times = parts[leaf]
                 part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, leaf = np.repeat(row, times) + a, np.repeat(leaf, times)
-                yield pd.DataFrame({"leaf": leaf.astype(np.int32), "part": part.astype(np.int32), "kind": np.int8(1), "id": b["id"].to_numpy()[row], "vec": b["vec"].to_numpy()[row]})
-
-    def cut_up(batches):
-        parts = known.value[1]
-        for b in batches:
-            if len(b):
-                leaves = assign(shared.value, _stack(b["vec"]))
-                t = leaves.shape[1]
-                flat, ids = leaves.ravel(), np.repeat(b["id"].to_numpy(), t)
-                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                yield pd.DataFrame({"leaf": flat, "part": (spread % parts[flat]).astype(np.int32), "kind": np.int8(0), "id": ids, "vec": np.repeat(b["vec"].to_numpy(), t)})
-
-    rows_schema = "leaf int, part int, kind byte, id long, vec binary"
-    rows_of = reps.select(F.col("rep").alias("id"), "vec")
-    both = rows_of.mapInPandas(cut_up, rows_schema).unionByName(rows_of.mapInPandas(opened, rows_schema))
-    blocks = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+                row, leaf = np.repeat(row, times), np.repeat(leaf, times).astype(np.int64)
+                code = lambda r, f, p: (r * len(sizes) + f) * (parts.max() + 1) + p
+                mine, asks = code(own_row, own_leaf, own_part), code(row, leaf, part)
+                away = ~np.isin(asks, mine)
+                yield pd.DataFrame({
+                    "leaf": np.concatenate([own_leaf, leaf[away]]).astype(np.int32),
+                    "part": np.concatenate([own_part, part[away]]).astype(np.int32),
+                    "kind": np.concatenate([np.isin(mine, asks).astype(np.int8), np.full(away.sum(), 2, np.int8)]),
+                    "id": ids[np.concatenate([own_row, row[away]])],
+                    "vec": vecs[np.concatenate([own_row, row[away]])],
+                })
+
+    rows_of = reps.select(F.col("rep").alias("id"), "vec").mapInPandas(spread, "leaf int, part int, kind byte, id long, vec binary")
+    blocks = rows_of.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
     found = blocks.mapInPandas(lambda it: _rank_blocks(it, k, least), "id long, other long, sim double")
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.groupBy("id", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
