@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rajut.functions.scalars import meaningful_tokens
+from rajut.session import cut
 
 LAST_PAGE = 10_000
+#: Rows of a block of token_links; rows and tokens that are compared at a time.
+LINK_BLOCK, LINK_STEP, LINK_WORDS = 4096, 512, 2048
 
 
 def chapter_order(chapters: DataFrame) -> DataFrame:
@@ -119,20 +125,112 @@ def running_triples(konsep: DataFrame) -> DataFrame:
 def token_links(concepts: DataFrame, least: int = 2, most: int = 2, most_holders: int = 200) -> DataFrame:
     """Links between concepts of different books that share at least ``least`` meaningful tokens, ``most`` per concept.
 
-    concepts: id, book, text. Candidates meet by a token that at most
-    ``most_holders`` concepts hold, so their number grows with the concepts; all
-    tokens count, but common ones alone make no link.
+    concepts: id, book, text; one row an id. All tokens count. Pairs that share a
+    token which at most ``most_holders`` concepts hold meet by it and are scored in
+    full. Any other pair shares commoner tokens only, so it is among the links
+    only if it is among the best by common tokens, which are found for each
+    different set of them (``_common_links``). ``most_holders`` sets the cost, not
+    the result.
     """
-    toks = concepts.select("id", "book", meaningful_tokens("text").alias("tokens"))
+    toks = cut(concepts.select("id", "book", meaningful_tokens("text").alias("tokens")).where(F.col("book").isNotNull()))
     flat = toks.select("id", "book", F.explode("tokens").alias("t"))
-    counts = flat.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(flat.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1))
     rare = flat.join(counts.where(F.col("c") <= most_holders), "t").drop("c")
     a, b = rare.select("t", F.col("id").alias("a"), F.col("book").alias("ba")), rare.select("t", F.col("id").alias("b"), F.col("book").alias("bb"))
     met = a.join(b, "t").where((F.col("ba") != F.col("bb")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     full = met.join(toks.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(toks.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    scored = full.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n_shared")).where(F.col("n_shared") >= least)
+    scored = full.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n_shared"))
+    common = flat.join(counts.where(F.col("c") > most_holders), "t").groupBy("id", "book").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+    both = scored.unionByName(_common_links(common, least, most)).where(F.col("n_shared") >= least)
+    once = both.groupBy("a", "b").agg(F.max("n_shared").alias("n_shared"))
     w = Window.partitionBy("a").orderBy(F.desc("n_shared"), "b")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def _common_links(held: DataFrame, least: int, most: int) -> DataFrame:
+    """a, b, n_shared: for each concept the ``most`` of other books that share the most of ``tokens``, ties to the smaller id.
+
+    held: id, book, tokens. Concepts of one book with equal tokens are asked once,
+    and of a set of tokens only the ids that can be among the ``most`` of any other
+    book answer. Askers and answers are compared exactly, block by block.
+    """
+    same = Window.partitionBy("tokens", "book")
+    ranked = held.where(F.size("tokens") >= least).withColumn("asker", F.min("id").over(same)).withColumn("_n", F.row_number().over(same.orderBy("id")))
+    ranked = cut(ranked)
+    answers = ranked.where(F.col("_n") <= most).withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).where(F.col("_n") <= 2 * most)
+    asked, given = (_blocks(x) for x in (ranked.where(F.col("_n") == 1), answers))
+    pairs = asked.select(F.col("rows").alias("q")).crossJoin(given.select(F.col("rows").alias("r")))
+    id_type = held.schema["id"].dataType.simpleString()
+    best = pairs.mapInArrow(_best_of_blocks(least, most), f"asker {id_type}, b {id_type}, n_shared int")
+    w = Window.partitionBy("asker").orderBy(F.desc("n_shared"), "b")
+    top = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    return ranked.select(F.col("id").alias("a"), "asker").join(top, "asker").select("a", "b", "n_shared")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of about LINK_BLOCK rows, each an array of (id, book, tokens) in the order of id; a partition each."""
+    n = max(1, math.ceil(rows.count() / LINK_BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "book", "tokens"))).alias("rows"))
+    return cut(packed.repartition(n, "block"))
+
+
+def _best_of_blocks(least: int, most: int):
+    """Function for mapInArrow: rows of two blocks (q, r) to the best of r for each of q."""
+
+    def coded(rows: pa.Array, books: dict, words: dict) -> tuple:
+        tokens = rows.field("tokens")
+        known = tokens.flatten().dictionary_encode()
+        code = np.array([words.setdefault(t, len(words)) for t in known.dictionary.to_pylist()], dtype=np.int64)
+        book = np.array([books.setdefault(x, len(books)) for x in rows.field("book").to_pylist()], dtype=np.int64)
+        sizes = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        return rows.field("id"), book, np.repeat(np.arange(len(rows)), sizes), code[known.indices.to_numpy(zero_copy_only=False)], int(sizes.max())
+
+    def compare(q: pa.Array, r: pa.Array) -> pa.RecordBatch:
+        books, words = {}, {}
+        q_id, q_book, q_row, q_tok, longest = coded(q, books, words)
+        r_id, r_book, r_row, r_tok, _ = coded(r, books, words)
+        n = len(r)
+        kind = np.float32 if (longest + 1) * n < 2**24 else np.float64  # whole numbers up to there are exact
+        columns = {k: np.flatnonzero(r_book == k) for k in np.unique(q_book).tolist()}
+        place = np.arange(n, 0, -1, dtype=kind)  # the smaller id first
+        order = np.argsort(q_book, kind="stable")
+        at = np.empty(len(q), np.int64)
+        at[order] = np.arange(len(q))
+        q_row, q_book = at[q_row], q_book[order]
+        askers, found, shared = [], [], []
+        for start in range(0, len(q), LINK_STEP):
+            stop = min(start + LINK_STEP, len(q))
+            mine = (q_row >= start) & (q_row < stop)
+            keys = np.zeros((stop - start, n), kind)
+            for low in range(0, len(words), LINK_WORDS):
+                width = min(LINK_WORDS, len(words) - low)
+                x, y = np.zeros((stop - start, width), kind), np.zeros((n, width), kind)
+                use = mine & (q_tok >= low) & (q_tok < low + width)
+                x[q_row[use] - start, q_tok[use] - low] = n
+                use = (r_tok >= low) & (r_tok < low + width)
+                y[r_row[use], r_tok[use] - low] = 1
+                keys += x @ y.T
+            keys += place
+            for k in np.unique(q_book[start:stop]).tolist():
+                of = np.flatnonzero(q_book[start:stop] == k)
+                keys[np.ix_(of, columns[k])] = 0
+            lines = np.arange(stop - start)
+            for _ in range(min(most, n)):
+                j = keys.argmax(axis=1)
+                count = -(-keys[lines, j].astype(np.int64) // n) - 1  # key = shared * n + (1 to n), 0 in the own book
+                keep = count >= least
+                askers.append(order[start:stop][keep])
+                found.append(j[keep])
+                shared.append(count[keep])
+                keys[lines, j] = 0
+        return pa.RecordBatch.from_arrays([q_id.take(pa.array(np.concatenate(askers))), r_id.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(shared).astype(np.int32))], names=["asker", "b", "n_shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield compare(batch.column("q")[i].values, batch.column("r")[i].values)
+
+    return run
 
 
 def pages_of(files: DataFrame, parser) -> DataFrame:
