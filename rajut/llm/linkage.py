@@ -6,10 +6,9 @@
 2. Multi-pass blocking. Candidates share (a) a core token or one of its
    one-deletion variants, which any single typing error leaves intact, (b) two
    rare description tokens, or, for titles without a core, (c) all title tokens.
-   Keys that would pair more than HOT_PAIRS records are made specific by
-   combining them with each other key and the level of the record; a pair that
-   shares one such common key and nothing else cannot reach an accepted
-   posterior.
+   All pairs of a key are compared. The records of a key that pairs more than
+   HOT_PAIRS of them are cut to parts on both sides, so no task gets more than
+   about HOT_PAIRS of its pairs at a time.
 3. Comparison. Five attributes, each with levels of agreement (see LEVELS).
 4. Expectation-maximisation of the match share and of each level's probability
    among matches and non-matches, over the counts of level patterns (a table of
@@ -88,24 +87,22 @@ def _keys() -> Column:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs (l, r) of ids that share a blocking key."""
-    level = F.xxhash64(F.lit("g"), "subject", "klass")
-    a, b = (s.select("id", _keys().alias("keys"), level.alias("lv")) for s in (left, right))
-    ka, kb = (s.select("id", F.explode("keys").alias("key")) for s in (a, b))
+    ka, kb = (s.select("id", F.explode(_keys()).alias("key")) for s in (left, right))
     na, nb = (k.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for k, n in ((ka, "na"), (kb, "nb")))
     met = na.join(nb, "key")
-    hot = cut(met.where(F.col("na") * F.col("nb") > HOT_PAIRS).select("key"))
+    hot = cut(met.where(F.col("na") * F.col("nb") > HOT_PAIRS))
+    pairs = lambda x, y, *on: x.join(y.withColumnRenamed("id", "rid"), list(on)).select(F.col("id").alias("l"), F.col("rid").alias("r"))
     if hot.isEmpty():
-        return ka.join(kb.withColumnRenamed("id", "rid"), "key").select(F.col("id").alias("l"), F.col("rid").alias("r")).distinct()
-
-    def specific(s: DataFrame, k: DataFrame) -> tuple[DataFrame, DataFrame]:
-        cold = k.join(hot, "key", "left_anti")
-        warm = k.join(hot, "key").join(s, "id")
-        other = F.explode(F.array_distinct(F.concat(F.array_remove("keys", F.col("key")), F.array("lv")))).alias("other")
-        return cold, warm.select("id", "key", other).select("id", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-
-    (ca, wa), (cb, wb) = specific(a, ka), specific(b, kb)
-    pairs = [x.join(y.withColumnRenamed("id", "rid"), "key").select(F.col("id").alias("l"), F.col("rid").alias("r")) for x, y in ((ca, cb), (wa, wb))]
-    return pairs[0].unionByName(pairs[1]).distinct()
+        return pairs(ka, kb, "key").distinct()
+
+    # a hot key's rows are cut to parts on both sides, and each part of one meets each of the other
+    parts = lambda n: F.ceil(F.col(n) / int(HOT_PAIRS**0.5))
+    part = lambda n: F.pmod(F.xxhash64("id"), parts(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    wa = ka.join(hot, "key").select("id", "key", part("na").alias("pa"), every("nb").alias("pb"))
+    wb = kb.join(hot, "key").select("id", "key", every("na").alias("pa"), part("nb").alias("pb"))
+    cold = pairs(*(k.join(hot, "key", "left_anti") for k in (ka, kb)), "key")
+    return cold.unionByName(pairs(wa, wb, "key", "pa", "pb")).distinct()
 
 
 def _compare() -> list[Column]:

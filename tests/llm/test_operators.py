@@ -205,6 +205,15 @@ def test_hot_blocking_keys_are_made_specific(spark, monkeypatch):
     assert {(i, i) for i in range(20)} <= got
 
 
+def test_bare_titles_of_a_hot_key_meet_without_a_common_level(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 50)
+    cols = "id long, core array<string>, kind array<string>, facts array<string>, subject string, klass int"
+    left = [(i, [], ["gaya", "medan"], ["langka"], "fis", 10) for i in range(3)]
+    right = [(100 + i, [], ["medan", "gaya"], ["langka"] if i % 2 else [], *((None, None), ("kim", 11), ("fis", None))[i % 3]) for i in range(60)]
+    got = [tuple(r) for r in linkage.candidates(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols)).collect()]
+    assert sorted(got) == [(i, 100 + j) for i in range(3) for j in range(60)]
+
+
 # 6: consensus -----------------------------------------------------------------
 
 
