@@ -15,7 +15,8 @@ Fitting reads the labels of at most ``max_labelled`` documents, a bounded,
 documented sample (all positives come first); candidate features are counted over
 all passages of those documents on the executors, and what comes to the driver is
 at most MAX_FEATURES features and the passages that have one. Scoring covers every
-passage of every document, in one pass without a shuffle.
+passage of every document, in one pass without a shuffle; of long runs without
+white space only base64 and hexadecimal codes are not read.
 
 Defined results: null or blank texts score 0; a document given twice counts once;
 a document labelled several times counts as positive if any label says so; labels
@@ -57,30 +58,42 @@ _EDGE = "!?.,;:\"'`()[]{}<>=|#%&~^/\\+-–—…“”‘’«»¡¿"
 _SPELLED = re.compile(r"(?:[^\W_][-._*]){2,}[^\W_][-._]?")
 _BREAK = re.compile(r"(?<=[.?!])\s+|\n")
 _COMMENT = re.compile(r"\n[ \t]*#[ \t]*(?=\S)")
+LONG_TOKEN = 400
+#: Only in runs of over LONG_TOKEN of these characters can a code be that is not read.
+_CODE = re.compile(rf"[a-z0-9+/=]{{{LONG_TOKEN + 1},}}")
 _VOWELS = re.compile(r"[aeiouáéíóúü*]")
 
 
 def word(raw: str) -> str:
-    """One word without disguise: look-alikes and accents replaced, repeated letters once; '' for numbers and long codes."""
-    if len(raw) > 40 or not _LETTER.search(raw):
+    """One word without disguise: look-alikes and accents replaced, repeated letters once; '' for numbers and what is then over 40 letters."""
+    if not _LETTER.search(raw):
         return ""
     raw = raw.rstrip("!")
     if not raw.isascii():
         raw = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c)).lower()
-    return _RUN.sub(r"\1", raw.translate(_LOOKS))
+    plain = _RUN.sub(r"\1", raw.translate(_LOOKS))
+    return plain if len(plain) <= 40 else ""
+
+
+def _not_code(run: re.Match) -> str:
+    """Nothing for base64 and hexadecimal codes, which have many digits and long parts; else the run."""
+    text = run[0]
+    return " " if sum(map(text.count, "0123456789")) * 16 >= len(text) >= (text.count("+") + text.count("/")) * 16 else text
 
 
 def token_words(token: str) -> tuple[str, ...]:
     """The words in a run of characters between white space."""
-    if len(token) > 400:
-        return ()
+    if len(token) > LONG_TOKEN:
+        token = _CODE.sub(_not_code, token)
     if token.isalpha() and token.isascii():
-        return (_RUN.sub(r"\1", token),) if len(token) <= 40 else ()
+        plain = _RUN.sub(r"\1", token)
+        return (plain,) if len(plain) <= 40 else ()
     token = token.strip(_EDGE)
     if not _LETTER.search(token):
         return ()
     if _SPELLED.fullmatch(token):
-        return (word(re.sub(r"[-._]", "", token)),)
+        w = word(re.sub(r"[-._]", "", token))
+        return (w,) if w else ()
     out = []
     for part in _PARTS.split(token):
         if part:
@@ -211,7 +224,9 @@ class Scorer:
         ws = token_words(token)
         if len(self.tokens) > self.MOST_TOKENS:
             self.tokens.clear()
-        entry = self.tokens[token] = ws, any(w in self.single or skeleton(w) in self.needed for w in ws), sum(len(w) == 1 for w in ws)
+        entry = ws, any(w in self.single or skeleton(w) in self.needed for w in ws), sum(len(w) == 1 for w in ws)
+        if len(token) <= LONG_TOKEN:
+            self.tokens[token] = entry
         return entry
 
     def passage(self, text: str) -> float:

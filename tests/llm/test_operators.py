@@ -1,5 +1,6 @@
 """The training-data operators against brute force and on edge cases."""
 
+import base64
 import itertools
 import json
 import math
@@ -375,6 +376,18 @@ def test_disguised_words(raw, want):
     assert abuse.words_of(raw) == want.split()
 
 
+def test_long_runs_without_white_space_are_read():
+    cells = "".join(f"<td>kata{chr(97 + i % 26)}</td>" for i in range(60))
+    found = abuse.words_of(f"kamu goblok<table>{cells}<td>tolol</td></table>")
+    assert found[:3] == ["kamu", "goblok", "table"] and "tolol" in found and found.count("td") == 122
+    assert "idiot" in abuse.words_of("/".join(["jalan", "idiot"] * 60))
+    assert abuse.words_of("go" + "b" * 60 + "lok b" + "@" * 60 + "stard") == ["goblok", "bastard"]
+    coded = base64.b64encode(random.Random(1).randbytes(3000)).decode()
+    assert abuse.words_of(f"data:image/png;base64,{coded}") == ["data", "image", "png", "base6a"]
+    scorer = abuse.Scorer({"tolol": 6.0}, -4.0)
+    assert scorer.passage(f"<table>{cells}<td>tolol</td></table>") > 0.5
+
+
 def test_masked_vowels_share_a_skeleton():
     assert [abuse.skeleton(w) for w in ("f*lthy", "filthy")] == ["flthy"] * 2
     assert abuse.skeleton("aku") == "k" and abuse.skeleton("a") == "a"
