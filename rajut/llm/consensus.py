@@ -9,8 +9,9 @@ source of a triple) has its own label shares.
 
 Each round is one pass over the items: the matrices are broadcast (annotators x
 labels^2 numbers, used only up to MAX_ANNOTATORS) and what returns is summed per
-annotator and label on the executors. Beyond that bound, or where an item has
-more than MAX_VOTES votes, the same round is done with joins.
+annotator and label on the executors. Beyond that bound, with more than
+MAX_GROUPS groups or where an item has more than MAX_VOTES votes, the same round
+is done with joins.
 
 Defined results: labels outside the label set and votes for unknown items are
 ignored; of several votes of one annotator for an item the latest counts; an item
@@ -34,8 +35,8 @@ LABELS = ("correct", "partial", "wrong", "missing", "abaikan")
 #: Spellings of the label for "to be ignored" (fixed values).
 IGNORE = ("ignore", "ignored", "skip", "skipped")
 MAX_ANNOTATORS, MAX_VOTES = 50_000, 10_000
-#: Groups with label shares of their own; all smaller ones together are one more.
-MAX_GROUPS, POOLED = 1000, "\x00pooled"
+#: Groups whose label shares come to the driver; those of more groups stay a table.
+MAX_GROUPS = 1000
 TYPES, STRENGTH, ROUNDS = 5, 20.0, 25
 K = len(LABELS)
 
@@ -150,14 +151,12 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
     valid = cast.select("item", "who", _index("label").alias("lab")).where((F.col("lab") >= 0) & F.col("who").isNotNull()).dropDuplicates(["item", "who"])
     names = cut(valid.groupBy("who").agg(F.count(F.lit(1)).alias("n")))
     groups = [r["grp"] for r in its.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:  # the smallest groups share their label shares
-        groups = [*groups[: MAX_GROUPS - 1], POOLED]
-        its = its.withColumn("grp", F.when(F.col("grp").isin(*groups), F.col("grp")).otherwise(POOLED))
+    many = len(groups) > MAX_GROUPS
     model = Model(groups or [""])
     n_who = names.count()
     most = (valid.groupBy("item").count().agg(F.max("count")).first()[0] or 0) if n_who else 0
-    if n_who > max_annotators or most > MAX_VOTES:
-        return _infer_joined(its, valid, names, model, rounds)
+    if many or n_who > max_annotators or most > MAX_VOTES:
+        return _infer_joined(its, valid, names, model, rounds, many)
 
     who = {r["who"]: i for i, r in enumerate(names.orderBy("who").collect())}
     table = spark.createDataFrame(list(who.items()) or [("", -1)], "who string, w int")
@@ -223,14 +222,15 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
     return out, people
 
 
-def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Model, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The same rounds with joins, for any number of annotators and of votes for an item."""
+def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Model, rounds: int, many: bool) -> tuple[DataFrame, DataFrame]:
+    """The same rounds with joins, for any number of annotators, of groups (``many``: not to be broadcast) and of votes for an item."""
     spark = its.sparkSession
     cells = [f"c{k}_{lab}" for k in range(K) for lab in range(K)]
     qs = [f"q{k}" for k in range(K)]
     data, cast = cut(its), cut(valid)
     people = names.select("who", *[F.lit(0.0).alias(c) for c in cells])
     post = None
+    share = cut(data.select("grp").distinct().select("grp", *[F.lit(float(np.log(1 / K))).alias(f"p{k}") for k in range(K)]))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.types, model.weights))
         logs_schema = "who string, " + ", ".join(f"l{c} double" for c in cells) + ", " + ", ".join(f"m{m} double" for m in range(len(model.types))) + ", " + ", ".join(f"{c} double" for c in cells)
@@ -249,8 +249,7 @@ def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Mod
         for lab in range(1, K):
             logw = [w.when(F.col("lab") == lab, F.col(f"lc{k}_{lab}")) for k, w in enumerate(logw)]
         summed = cast.join(known.select("who", *[f"l{c}" for c in cells]), "who").groupBy("item").agg(*[F.sum(w).alias(f"s{k}") for k, w in enumerate(logw)])
-        share = spark.createDataFrame([(g, *map(float, np.log(s))) for g, s in zip(model.groups, model.shares)], "grp string, " + ", ".join(f"p{k} double" for k in range(K)))
-        full = data.join(F.broadcast(share), "grp", "left").join(summed, "item", "left").fillna(0.0)
+        full = data.join(share if many else F.broadcast(share), "grp", "left").join(summed, "item", "left").fillna(0.0)
         logits = [F.col(f"p{k}") + F.col(f"s{k}") for k in range(K)]
         top = F.greatest(*logits)
         raw = [F.exp(x - top) for x in logits]
@@ -260,21 +259,20 @@ def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Mod
         people = names.select("who").join(by, "who", "left").fillna(0.0)
         pooled = known.select(*[f"m{m}" for m in range(len(model.types))], "who").join(people, "who")
         sums = pooled.agg(*[F.sum(F.col(f"m{m}") * F.col(c)).alias(f"t{m}{c}") for m in range(len(model.types)) for c in cells], *[F.sum(f"m{m}").alias(f"m{m}") for m in range(len(model.types))]).first()
-        shares = {r["grp"]: [r[q] for q in qs] for r in post.groupBy("grp").agg(*[F.sum(q).alias(q) for q in qs]).collect()}
+        held = post.groupBy("grp").agg(*[F.sum(q).alias(q) for q in qs])
+        share = cut(held.select("grp", *[F.log((F.col(q) + 0.2) / (sum((F.col(x) for x in qs), F.lit(0.0)) + 0.2 * K)).alias(f"p{k}") for k, q in enumerate(qs)]))
         m = len(model.types)
         typed = np.array([[sums[f"t{i}{c}"] or 0.0 for c in cells] for i in range(m)]).reshape(m, K, K) + 2.0 * model.types
         model.types = typed / typed.sum(2, keepdims=True)
         size = np.array([sums[f"m{i}"] or 0.0 for i in range(m)])
         model.weights = (size + 1) / (size.sum() + m)
-        s = np.array([shares.get(g, [0.0] * K) for g in model.groups]) + 0.2
-        model.shares = s / s.sum(1, keepdims=True)
     seen = cast.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("lab") == lab).cast("long")).alias(f"n{lab}") for lab in range(K)])
     pairs = sum((F.col(f"n{lab}") * (F.col(f"n{lab}") - 1) for lab in range(K)), F.lit(0))
     best = F.greatest(*qs)
     label = F.coalesce(*[F.when(F.col(q) == best, lab) for q, lab in zip(qs, LABELS)])
     out = post.join(seen, "item", "left").select("item", label.alias("label"), best.alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_votes"), F.when(F.col("n") > 1, pairs / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
-    share = model.shares.mean(0)
-    right = sum((F.lit(float(share[k])) * F.exp(F.col(f"lc{k}_{k}")) / sum((F.exp(F.col(f"lc{k}_{x}")) for x in range(K)), F.lit(0.0)) for k in range(K)), F.lit(0.0))
+    overall = [x if x is not None else 1 / K for x in share.agg(*[F.avg(F.exp(f"p{k}")) for k in range(K)]).first()]
+    right = sum((F.lit(float(overall[k])) * F.exp(F.col(f"lc{k}_{k}")) / sum((F.exp(F.col(f"lc{k}_{x}")) for x in range(K)), F.lit(0.0)) for k in range(K)), F.lit(0.0))
     top = F.greatest(*[f"m{i}" for i in range(len(model.types))])
     kind = F.coalesce(*[F.when(F.col(f"m{i}") == top, F.lit(i)) for i in range(len(model.types))])
     return out, known.join(names, "who").select("who", F.col("n").cast("int").alias("n_votes"), right.alias("reliability"), kind.alias("kind"))

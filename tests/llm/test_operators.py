@@ -428,6 +428,15 @@ def test_abuse_edge_cases(spark):
     assert abuse.train(df, one_class, "doc", "score", "layout", "doc", "toxic").weights
 
 
+def test_each_of_many_groups_has_its_own_label_shares(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "MAX_GROUPS", 2)
+    rows = [(i, f"g{i % 5}", consensus.LABELS[i % 5] if i < 60 else None) for i in range(70)]
+    items = spark.createDataFrame(rows, "item long, grp string, known string")
+    votes = spark.createDataFrame([(i, w, consensus.LABELS[i % 5]) for i in range(20) for w in ("a", "b")], "item long, who string, label string")
+    out, _ = consensus.infer(items, votes, rounds=3)
+    assert {r["item"]: r["label"] for r in out.collect()} == {i: consensus.LABELS[i % 5] for i in range(70)}
+
+
 def test_small_groups_are_pooled(spark, monkeypatch):
     monkeypatch.setattr(consensus, "MAX_GROUPS", 2)
     items = spark.createDataFrame([(i, f"g{i % 5}" if i % 2 else "big", None) for i in range(40)], "item long, grp string, known string")
