@@ -96,10 +96,8 @@ def totals_by(df: DataFrame, row: str, column: str, values: list[str]) -> DataFr
 
 
 def collected(df: DataFrame, by: list[str], *fields: str, most: int = 100) -> DataFrame:
-    """Different field combinations per group, sorted, the first ``most`` of them and their number."""
+    """All different field combinations per group, sorted, and their number; in parts (from 1) of ``most`` items, a row each."""
     once = df.select(*by, *fields).distinct()
-    w = Window.partitionBy(*by).orderBy(*fields)
-    numbered = once.withColumn("_n", F.row_number().over(w))
-    n = once.groupBy(*by).agg(F.count(F.lit(1)).alias("n_items"))
-    lists = numbered.where(F.col("_n") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
-    return lists.join(n, by)
+    w = Window.partitionBy(*by)
+    numbered = once.withColumn("part", F.ceil(F.row_number().over(w.orderBy(*fields)) / most).cast("int")).withColumn("n_items", F.count(F.lit(1)).over(w))
+    return numbered.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"), F.max("n_items").alias("n_items"))

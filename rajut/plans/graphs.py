@@ -171,10 +171,16 @@ _add("a18_direction_by_type", lambda s, d: _round(a.survey_rates(_survey(s, d),
 _add("a19_confidence_bands", lambda s, d: _round(a.survey_rates(_survey(s, d).withColumn("band", confidence_band("confidence")), ["band"]), *_rounded), _SURVEY + f"SELECT CASE WHEN confidence < 0.5 THEN '<0.5' WHEN confidence < 0.7 THEN '[0.5,0.7)' WHEN confidence < 0.85 THEN '[0.7,0.85)' WHEN confidence < 1 THEN '[0.85,1)' WHEN confidence = 1 THEN '=1' END AS band, {_RATES} FROM s GROUP BY 1")
 _add("a21_totals_by_book", lambda s, d: a.totals_by(relations(s, d), "book_id", "status", ["correct", "wrong", "partial"]), "SELECT book_id, " + ", ".join(f"count(DISTINCT CASE WHEN status = '{x}' THEN rel_id END) AS {x}" for x in ("correct", "wrong", "partial")) + " FROM relations GROUP BY book_id")
 _add("a22_counters", lambda s, d: a.count_where(relations(s, d), ["book_id"], blank_target=F.coalesce(F.trim("target"), F.lit("")) == "", late=F.col("ingested_at") > F.col("created_at") + F.expr("interval 7 days")), "SELECT book_id, count(*) AS n, count(CASE WHEN coalesce(trim(target), '') = '' THEN 1 END) AS blank_target, count(CASE WHEN ingested_at > created_at + INTERVAL 7 DAY THEN 1 END) AS late FROM (SELECT DISTINCT rel_id, book_id, target, ingested_at, created_at FROM relations) GROUP BY book_id")
-_add("a23_collected_types", lambda s, d: a.collected(table(s, d, "relations").where(F.col("rel_type").isNotNull()), ["src_grade"], "rel_type").select("src_grade", "n_items", F.array_join(F.transform("items", lambda x: x["rel_type"]), ";").alias("types")), "SELECT src_grade, count(*) AS n_items, string_agg(rel_type, ';' ORDER BY rel_type) AS types FROM (SELECT DISTINCT src_grade, rel_type FROM relations WHERE rel_type IS NOT NULL) GROUP BY src_grade")
+_add("a23_collected_types", lambda s, d: _types(a.collected(table(s, d, "relations").where(F.col("rel_type").isNotNull()), ["src_grade"], "rel_type")), "SELECT src_grade, count(*) AS n_items, string_agg(rel_type, ';' ORDER BY rel_type) AS types FROM (SELECT DISTINCT src_grade, rel_type FROM relations WHERE rel_type IS NOT NULL) GROUP BY src_grade")
 _add("s16_labelled_nodes", lambda s, d: concept_nodes(s, d).select("label", "grade", "name"), GRAPH + "SELECT 'Concept' AS label, grade, name FROM nodes")
 
 
+def _types(parts):
+    """One row per grade, as its SQL has it: the parts one after the other."""
+    whole = parts.groupBy("src_grade").agg(F.max("n_items").alias("n_items"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "items"))), lambda x: x["items"])).alias("items"))
+    return whole.select("src_grade", "n_items", F.array_join(F.transform("items", lambda x: x["rel_type"]), ";").alias("types"))
+
+
 def _neighbourhood(s, d):
     both = linked_edges(s, d).select("src_grade", "src", "tgt_grade", "tgt")
     turned = both.select(F.col("tgt_grade").alias("src_grade"), F.col("tgt").alias("src"), F.col("src_grade").alias("tgt_grade"), F.col("src").alias("tgt"))
