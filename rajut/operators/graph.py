@@ -300,10 +300,16 @@ def propagated(simple: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def communities(edges: DataFrame, method: str = "louvain", local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """U, community. Graphs of up to ``local_edges`` edges are solved in one task."""
+    """U, community and the method used. Graphs of up to ``local_edges`` edges are solved in one task.
+
+    Beyond it greedy agglomeration is refused, and for Louvain stands label
+    propagation, which ``method`` says.
+    """
     simple = cut(simple_edges(edges))
-    if simple.count() > local_edges:
-        return propagated(simple)
+    if (n := simple.count()) > local_edges:
+        if method != "louvain":
+            raise ValueError(f"{method}: {n} edges are more than the {local_edges} that one task may hold")
+        return propagated(simple).withColumn("method", F.lit("label propagation"))
     solve = {"louvain": louvain_local, "greedy": greedy_local}[method]
 
     def run(batches):
@@ -311,7 +317,13 @@ def communities(edges: DataFrame, method: str = "louvain", local_edges: int = LO
         found = solve(pairs) if pairs else {}
         yield pd.DataFrame({"u": list(found), "community": list(found.values())}, dtype=object)
 
-    return simple.coalesce(1).mapInPandas(run, "u string, community string")
+    return simple.coalesce(1).mapInPandas(run, "u string, community string").withColumn("method", F.lit(method))
+
+
+def community_quality(edges: DataFrame, method: str) -> DataFrame:
+    """Number and modularity of the communities and the method that found them."""
+    found = cut(communities(edges, method))
+    return _one_row(undirected_modularity(edges, found), found.agg(F.max("method").alias("method")))
 
 
 def undirected_modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

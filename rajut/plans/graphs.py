@@ -43,8 +43,8 @@ _KEY = "coalesce({g}, '') || chr(31) || {n}"
 _SIMPLE = ", ends2 AS (SELECT " + _KEY.format(g="src_grade", n="src") + " AS u, " + _KEY.format(g="tgt_grade", n="tgt") + " AS v FROM linked), simple AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM ends2 WHERE u <> v)"
 _CC = ", both_ AS (SELECT a AS u, b AS v FROM simple UNION SELECT b, a FROM simple), reach AS (SELECT " + _KEY.format(g="grade", n="name") + " AS u, " + _KEY.format(g="grade", n="name") + " AS c FROM nodes UNION SELECT b.v, r.c FROM reach r JOIN both_ b ON b.u = r.u), comp AS (SELECT u, min(c) AS component FROM reach GROUP BY u)"
 _add("g5_simple_stats", _g(graph.simple_graph_stats), GRAPH.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLE + _CC + "SELECT n AS n_nodes, m AS n_edges, c AS n_components, round(2 * m / (CAST(n AS DOUBLE) * (n - 1)), 3) AS degree_centrality, round(2 * m / (CAST(n AS DOUBLE) * (n - 1)), 3) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM simple) AS m, (SELECT count(DISTINCT component) FROM comp) AS c)")
-_add("g5_greedy_communities", lambda s, d: graph.undirected_modularity(linked_edges(s, d), graph.communities(linked_edges(s, d), "greedy")))
-_add("g6_louvain_communities", lambda s, d: graph.undirected_modularity(linked_edges(s, d), graph.communities(linked_edges(s, d), "louvain")))
+_add("g5_greedy_communities", lambda s, d: graph.community_quality(linked_edges(s, d), "greedy"))
+_add("g6_louvain_communities", lambda s, d: graph.community_quality(linked_edges(s, d), "louvain"))
 _add("g7_completeness", lambda s, d: graph.completeness(concept_nodes(s, d), "description").withColumn("completeness", F.round("completeness", 6)), GRAPH + f"SELECT count(*) AS n, count(CASE WHEN {sql_strip('coalesce(description, chr(32))')} <> '' THEN 1 END) AS n_described, round(avg(CASE WHEN {sql_strip('coalesce(description, chr(32))')} <> '' THEN 1 ELSE 0 END), 6) AS completeness FROM nodes")
 _add("g8_components", lambda s, d: graph.components(concept_nodes(s, d), linked_edges(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")), GRAPH.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLE + _CC + "SELECT component, count(*) AS n_nodes FROM comp GROUP BY component")
 
