@@ -12,16 +12,19 @@ identifiers and masked letters. Features are single words and sequences of two a
 three words; sequences use consonant skeletons, which masked vowels do not change.
 
 Fitting reads the labels of at most ``max_labelled`` documents, a bounded,
-documented sample (all positives come first); candidate features are counted over
-all passages of those documents on the executors, and what comes to the driver is
-at most MAX_FEATURES features and the passages that have one. Scoring covers every
+documented sample drawn by hash: each class may use half of the bound and what the
+other class leaves of its half, so no class crowds out the other. Candidate features
+are counted over all passages of those documents on the executors, and what comes
+to the driver is at most MAX_FEATURES features and, once a document, the different
+sets of them that its passages have. Scoring covers every
 passage of every document, in one pass without a shuffle; of long runs without
 white space only base64 and hexadecimal codes are not read.
 
 Defined results: null or blank texts score 0; a document given twice counts once;
 a document labelled several times counts as positive if any label says so; labels
-of unknown documents are ignored; without a usable label the seed words alone
-decide; extra columns are ignored.
+of unknown documents are ignored; where one of the two classes has no labelled
+document there is nothing to fit: the seed words alone decide, a warning is given
+and the column ``fitted`` of every score says false; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -210,8 +214,8 @@ class Scorer:
 
     MOST_TOKENS = 150_000
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, fitted: bool = True):
+        self.weights, self.bias, self.fitted = weights, bias, fitted
         self.single = frozenset(f for f in weights if " " not in f)
         # a sequence needs all its words, so its longest one stands for it
         self.needed = frozenset(max(f.split(" "), key=len) for f in weights if " " in f)
@@ -261,12 +265,26 @@ class Scorer:
         return 1 - none, top, where
 
 
+def _unfitted(why: str) -> Scorer:
+    warnings.warn(f"abuse scorer not fitted: {why}; only the seed words count", stacklevel=3)
+    return Scorer({w: 6.0 for w in SEED_FEATURES}, -4.0, fitted=False)
+
+
+def _drawn(labels: DataFrame, doc_id: str, label: str, bound: int) -> DataFrame:
+    """doc and y (0 or 1) of at most ``bound`` labelled documents, by hash: half of it for each class and what the other leaves."""
+    ys = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), (F.col(f"`{label}`").cast("int") > 0).cast("int").alias("y")).where(F.col("doc").isNotNull() & F.col("y").isNotNull()).groupBy("doc").agg(F.max("y").alias("y"))
+    n = {r["y"]: r["count"] for r in ys.groupBy("y").count().collect()}
+    if n.get(0, 0) + n.get(1, 0) <= bound:
+        return ys
+    pos = min(n.get(1, 0), max(bound // 2, bound - n.get(0, 0)))
+    part = lambda y, size: ys.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(size)
+    return part(1, pos).unionByName(part(0, bound - pos))
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: str, label_id: str, label: str, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Scorer:
     """Fit the scorer on at most ``max_labelled`` labelled documents."""
     spark = docs.sparkSession
-    prior_only = Scorer({w: 6.0 for w in SEED_FEATURES}, -4.0)
-    ys = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("doc").isNotNull() & F.col("y").isNotNull()).groupBy("doc").agg(F.max("y").alias("y"))
-    ys = ys.orderBy(F.desc("y"), F.xxhash64("doc"), "doc").limit(max_labelled)
+    ys = _drawn(labels, label_id, label, max_labelled)
     asked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{layout}`").alias("layout"))
     both = asked.join(F.broadcast(ys), "doc")  # at most max_labelled rows of two numbers
 
@@ -278,13 +296,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
                     f = features(words_of(p))
                     if f:
                         rows.append((doc, y, sorted(f)))
-            yield pd.DataFrame(rows, columns=["doc", "y", "f"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "y", "f"])
 
     bagged = cut(both.mapInPandas(bags, "doc long, y int, f array<string>"))
     totals = {r["y"]: r["n"] for r in bagged.groupBy("y").agg(F.countDistinct("doc").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return prior_only
+        return _unfitted("no labelled document of class " + ("1" if not pos else "0") + " has words")
     seen = bagged.select("doc", "y", F.explode("f").alias("f")).distinct().groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     least = 1 if pos < 30 else 2
     lift = (F.col("p") / F.lit(float(pos))) / ((F.col("n") + 0.5) / F.lit(float(neg)))
@@ -299,16 +318,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
     def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = known.value.get
         for b in batches:
-            hits = [[i for i in map(get, f) if i is not None] for f in b["f"]]
+            hits = [sorted(i for i in map(get, f) if i is not None) for f in b["f"]]
             keep = [bool(h) for h in hits]
-            yield pd.DataFrame({"doc": b["doc"][keep], "y": b["y"][keep], "f": [h for h in hits if h]})
+            if any(keep):
+                yield pd.DataFrame({"doc": b["doc"][keep], "y": b["y"][keep], "f": [h for h in hits if h]})
 
-    small = bagged.select("doc", "y", "f").mapInPandas(compact, "doc long, y int, f array<int>").toPandas()
-    if not len(small):
-        return prior_only
     # equal passages of one document count once
-    small["f"] = [tuple(sorted(f)) for f in small["f"]]
-    small = small.drop_duplicates(["doc", "f"]).sort_values(["doc"], kind="stable")
+    small = bagged.select("doc", "y", "f").mapInPandas(compact, "doc long, y int, f array<int>").distinct().toPandas()
+    if not len(small):
+        return _unfitted("no feature tells the classes apart")
+    small["f"] = [tuple(f) for f in small["f"]]
+    small = small.sort_values(["doc", "f"], kind="stable")
     grouped = small.groupby("doc", sort=True)
     lists = [list(g) for _, g in grouped["f"]]
     y = grouped["y"].first().to_numpy()
@@ -329,11 +349,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, layout: st
     return Scorer({f: float(w[i]) for f, i in index.items() if w[i] != 0}, bias)
 
 
-SCHEMA = "doc_id long, source string, score double, top_score double, passage string"
+SCHEMA = "doc_id long, source string, score double, top_score double, passage string, fitted boolean"
 
 
 def score(docs: DataFrame, scorer: Scorer, doc_id: str, text: str, layout: str, source: str) -> DataFrame:
-    """doc_id, source, score (noisy-or), top_score and passage (the highest passage)."""
+    """doc_id, source, score (noisy-or), top_score, passage (the highest passage) and fitted (false: seed words only)."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), F.col(f"`{layout}`").alias("layout")).where(F.col("doc_id").isNotNull())
 
@@ -342,6 +362,6 @@ def score(docs: DataFrame, scorer: Scorer, doc_id: str, text: str, layout: str,
         for b in batches:
             rows = [s.document(t, k) for t, k in zip(b["text"].to_pylist(), b["layout"].to_pylist())]
             cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], names=["doc_id", "source", "score", "top_score", "passage"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string()), pa.array([s.fitted] * b.num_rows, pa.bool_())], names=["doc_id", "source", "score", "top_score", "passage", "fitted"])
 
     return picked.mapInArrow(run, SCHEMA)

@@ -190,8 +190,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every document's score with its most offending passage."""
-    best = F.struct("score", "top_score", "source", "passage")
-    return _abuse_scores(spark, d).groupBy("doc_id").agg(F.max(best).alias("b")).select("doc_id", "b.source", "b.score", "b.top_score", F.when(F.col("b.score") >= abuse.THRESHOLD, F.col("b.passage")).alias("passage"))
+    best = F.struct("score", "top_score", "source", "passage", "fitted")
+    return _abuse_scores(spark, d).groupBy("doc_id").agg(F.max(best).alias("b")).select("doc_id", "b.source", "b.score", "b.top_score", F.when(F.col("b.score") >= abuse.THRESHOLD, F.col("b.passage")).alias("passage"), "b.fitted")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:

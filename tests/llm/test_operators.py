@@ -421,11 +421,29 @@ def test_abuse_edge_cases(spark):
     rows = [(1, None, "json", None), (2, "", None, "s"), (3, "x" * 100_000, "percent", "s"), (4, "kamu goblok", "percent", "s"), (4, "kamu goblok", "percent", "s"), (None, "goblok", "percent", "s")]
     df = spark.createDataFrame(rows, "doc long, score string, layout string, source string")
     none = spark.createDataFrame([], "doc long, toxic int")
-    scorer = abuse.train(df, none, "doc", "score", "layout", "doc", "toxic")
+    with pytest.warns(UserWarning, match="not fitted"):
+        scorer = abuse.train(df, none, "doc", "score", "layout", "doc", "toxic")
+    assert not any(r["fitted"] for r in abuse.score(df, scorer, "doc", "score", "layout", "source").collect())
     got = {r["doc_id"]: r["score"] for r in abuse.score(df, scorer, "doc", "score", "layout", "source").collect()}
     assert set(got) == {1, 2, 3, 4} and got[4] > 0.5 and max(got[i] for i in (1, 2, 3)) == 0
     one_class = spark.createDataFrame([(4, 1), (4, None), (77, 0), (None, 1)], "doc long, toxic int")
-    assert abuse.train(df, one_class, "doc", "score", "layout", "doc", "toxic").weights
+    with pytest.warns(UserWarning, match="class 0"):
+        assert not abuse.train(df, one_class, "doc", "score", "layout", "doc", "toxic").fitted
+
+
+def test_positives_beyond_the_bound_leave_room_for_negatives(spark):
+    rows = [(i, "# %%\nkata satu dua\n" + ("kamu zorblim sekali" if i < 120 else "kamu rajin sekali"), "percent", "s", int(i < 120)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc long, text string, layout string, source string, toxic int")
+    scorer = abuse.train(df, df.select("doc", "toxic"), "doc", "text", "layout", "doc", "toxic", max_labelled=60)
+    got = abuse.score(df, scorer, "doc", "text", "layout", "source").where(F.col("score") >= abuse.THRESHOLD)
+    assert scorer.fitted and {r["doc_id"] for r in got.collect()} == set(range(120))
+
+
+def test_labels_in_many_partitions(spark):
+    rows = [(i, "# %%\n" + ("kamu zorblim sekali" if i < 40 else f"k{i} l{i} m{i}"), "percent", "s", int(i < 40)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc long, text string, layout string, source string, toxic int").repartitionByRange(200, "doc")
+    scorer = abuse.train(df, df.select("doc", "toxic"), "doc", "text", "layout", "doc", "toxic")
+    assert abuse.score(df, scorer, "doc", "text", "layout", "source").where(F.col("score") >= abuse.THRESHOLD).count() == 40
 
 
 def test_each_of_many_groups_has_its_own_label_shares(spark, monkeypatch):
