@@ -3,25 +3,36 @@
 1. Features. Tokens are runs of letters and digits. What is common (in more than
    a share of one side's records) and what is rare is counted over all records.
    A title's rare tokens are its core; the common ones say which kind it is.
-2. Multi-pass blocking. Candidates share (a) a core token or one of its
-   one-deletion variants, which any single typing error leaves intact, (b) two
-   rare description tokens, or, for titles without a core, (c) all title tokens.
-   All pairs of a key are compared. The records of a key that pairs more than
-   HOT_PAIRS of them are cut to parts on both sides, so no task gets more than
-   about HOT_PAIRS of its pairs at a time.
+2. Multi-pass blocking. Records of one side with equal features are one class.
+   Candidates share (a) a core token, or core tokens within one deletion of each
+   other on both sides (any single typing error), (b) for titles without a core, all
+   title tokens, (c) two rare description tokens. Which tokens are near each other is
+   found on the distinct tokens, so a pair of records meets once a token. Each right
+   record meets the left classes of a key (of (c): of one of the two tokens) where
+   these are at most FEW. Beyond that a
+   key is *crowded* and is made specific. Two crowded keys that a record has, at
+   least one of them of (c), are a key of their own, again for at most FEW. And under
+   a crowded key of (a) or (b), or of two, each right record meets one
+   representative of each *kind* of left record - equal title words and level - with
+   the number it stands for. All that only such a representative says of several
+   records is that they are equally likely, so none of them can reach a confidence
+   of 0.5; a kind of one record is an ordinary candidate. Work is a few rows for each
+   right record and key, whatever the size of the key, and the rule is the same at
+   every size. What it can miss is a pair under crowded keys that is set apart from
+   others of its kind by common description words alone.
 3. Comparison. Five attributes, each with levels of agreement (see LEVELS).
 4. Expectation-maximisation of the match share and of each level's probability
    among matches and non-matches, over the counts of level patterns (a table of
    at most a few thousand rows, whatever the input).
 5. Confidence. A record of the right side describes at most one of the left, so
    its candidates share one unit of probability with "none":
-   odds / (1 + sum of odds).
+   odds / (1 + sum of odds). A class of several left records counts that often.
 
 Defined results: null and blank attributes are "missing" and say nothing; a row
 delivered again under its id counts once; records without id are ignored; empty
-tables give no pairs; ties go to the smaller left id; very long descriptions take
-part with all their tokens, blocking combines those at most PAIR_REACH rare tokens
-apart. Extra columns are ignored.
+tables give no pairs; left records with equal features are indistinguishable and
+get no pair, right ones all get theirs; very long descriptions take part with all
+their tokens. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +41,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rajut.operators.skew import lookup
 from rajut.session import cut
 
-HOT_PAIRS = 20_000
-PAIR_REACH = 40
+FEW, PART = 20, 100_000
 COMMON_TITLE, COMMON_TEXT, DECORATION = 0.002, 0.01, 0.01
 CLASSES = {"x": 10, "xi": 11, "xii": 12, "10": 10, "11": 11, "12": 12}
 #: Words of a level that name neither subject nor class (fixed values).
@@ -77,32 +88,67 @@ def _side(df: DataFrame, id_col: str, title: str, text: str, level: str) -> Data
     return named.select("id", "title", F.array_except("body", "title").alias("body"), F.substring(subject, 1, 3).alias("subject"), klass.alias("klass"))
 
 
-def _keys() -> Column:
-    deleted = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-    variants = F.flatten(F.transform("core", lambda t: F.when(F.length(t).between(5, 64), F.concat(F.array(t), deleted(t))).otherwise(F.array(t))))
-    title = F.when(F.size("core") > 0, F.transform(variants, lambda v: F.xxhash64(F.lit("t"), v))).otherwise(F.when(F.size("kind") > 0, F.array(F.xxhash64(F.lit("k"), F.array_sort("kind")))).otherwise(F.array().cast("array<long>")))
-    pair = lambda a, i: F.transform(F.slice("facts", i + 2, PAIR_REACH), lambda b: F.xxhash64(F.lit("d"), F.least(a, b), F.greatest(a, b)))
-    return F.array_distinct(F.concat(title, F.flatten(F.transform("facts", pair))))
+def _near(left: DataFrame, right: DataFrame) -> DataFrame:
+    """tl, tr: different core tokens of the two sides that share a one-deletion variant; found on the distinct tokens."""
+    deleted = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t"))))
+    variants = lambda s, n: s.select(F.explode("core").alias("t")).distinct().where(F.length("t").between(5, 64)).select(F.col("t").alias(n), F.explode(F.array_distinct(F.concat(F.array("t"), deleted))).alias("v"))
+    return variants(left, "tl").join(variants(right, "tr"), "v").where(F.col("tl") != F.col("tr")).select("tl", "tr").distinct()
+
+
+def _keyed(side: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """id, key, fact: the blocking keys of each record (``fact``: of a description token); with ``near`` also those of the other side's near tokens."""
+    titles = side.select("id", F.explode("core").alias("t"))
+    if near is not None:
+        titles = titles.unionByName(titles.join(near, F.col("t") == F.col("tr")).select("id", F.col("tl").alias("t"))).distinct()
+    core = titles.select("id", F.xxhash64(F.lit("t"), "t").alias("key"), F.lit(False).alias("fact"))
+    bare = side.where((F.size("core") == 0) & (F.size("kind") > 0)).select("id", F.xxhash64(F.lit("k"), F.array_sort("kind")).alias("key"), F.lit(False).alias("fact"))
+    facts = side.select("id", F.explode("facts").alias("f")).select("id", F.xxhash64(F.lit("d"), "f").alias("key"), F.lit(True).alias("fact"))
+    return core.unionByName(bare).unionByName(facts)
+
+
+def _meet(left: DataFrame, right: DataFrame, *extra: str) -> DataFrame:
+    """Pairs l, r (and ``extra`` of the left rows) of equal key, where each key has few left rows.
+
+    The right rows of a key are cut to parts of about PART, each with its own copy of
+    the left rows, so a key with a third of all rows is spread over tasks.
+    """
+    heavy = right.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).where(F.col("nb") > PART)
+    heavy = F.broadcast(heavy.select("key", F.ceil(F.col("nb") / PART).alias("parts")))  # at most right rows / PART keys
+    n = F.coalesce("parts", F.lit(1).cast("long"))
+    a = left.join(heavy, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), F.col("id").alias("l"), *extra)
+    b = right.join(heavy, "key", "left").select("key", F.pmod(F.xxhash64("id"), n).alias("part"), F.col("id").alias("r"))
+    return a.join(b, ["key", "part"]).select("l", "r", *extra)
+
+
+def _round(ka: DataFrame, kb: DataFrame, kind: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs l, r, times of the keys of one level, the crowded keys' rows on the left, on the right)."""
+    counts = ka.groupBy("key").agg(F.count(F.lit(1)).alias("na")).where(F.col("na") > FEW)
+    crowded = cut(counts.join(kb.select("key").distinct(), "key", "left_semi"))
+    la, lb = lookup(ka, crowded, ["key"], "na", "left"), lookup(kb, crowded, ["key"], "na", "left")
+    la, lb = cut(la), cut(lb)
+    hot_a, hot_b = la.where(F.col("na").isNotNull()).drop("na"), lb.where(F.col("na").isNotNull()).drop("na")
+    few = _meet(la.where(F.col("na").isNull()), lb.where(F.col("na").isNull())).withColumn("times", F.lit(1).cast("long"))
+    kinds = hot_a.where(~F.col("fact")).join(kind, "id").groupBy("key", "kind").agg(F.min("id").alias("id"), F.sum("m").alias("times"))
+    return few.unionByName(_meet(kinds, hot_b.where(~F.col("fact")), "times")), hot_a, hot_b
+
+
+def _twos(hot: DataFrame) -> DataFrame:
+    """id, key, fact: keys of two crowded keys of a record, at least one of them of a description token."""
+    held = hot.groupBy("id").agg(F.collect_list(F.when(F.col("fact"), F.col("key"))).alias("fs"), F.collect_list(F.when(~F.col("fact"), F.col("key"))).alias("ts"))
+    one = held.select("id", "fs", "ts", F.explode("fs").alias("f"))
+    others = F.concat(F.filter("fs", lambda g: g > F.col("f")), F.col("ts"))
+    return one.select("id", F.explode(F.transform(others, lambda g: F.xxhash64("f", g))).alias("key"), F.lit(False).alias("fact"))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs (l, r) of ids that share a blocking key."""
-    ka, kb = (s.select("id", F.explode(_keys()).alias("key")) for s in (left, right))
-    na, nb = (k.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for k, n in ((ka, "na"), (kb, "nb")))
-    met = na.join(nb, "key")
-    hot = cut(met.where(F.col("na") * F.col("nb") > HOT_PAIRS))
-    pairs = lambda x, y, *on: x.join(y.withColumnRenamed("id", "rid"), list(on)).select(F.col("id").alias("l"), F.col("rid").alias("r"))
-    if hot.isEmpty():
-        return pairs(ka, kb, "key").distinct()
-
-    # a hot key's rows are cut to parts on both sides, and each part of one meets each of the other
-    parts = lambda n: F.ceil(F.col(n) / int(HOT_PAIRS**0.5))
-    part = lambda n: F.pmod(F.xxhash64("id"), parts(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
-    wa = ka.join(hot, "key").select("id", "key", part("na").alias("pa"), every("nb").alias("pb"))
-    wb = kb.join(hot, "key").select("id", "key", every("na").alias("pa"), part("nb").alias("pb"))
-    cold = pairs(*(k.join(hot, "key", "left_anti") for k in (ka, kb)), "key")
-    return cold.unionByName(pairs(wa, wb, "key", "pa", "pb")).distinct()
+    """l, r, times: pairs of ids that share a blocking key, each once; ``times`` > 1 stands for that many left records that only look alike."""
+    alike = F.xxhash64(F.to_json(F.struct(F.array_sort("kind").alias("kind"), "subject", "klass", (F.size("facts") == 0).alias("silent"))))
+    kind = left.select("id", F.col("n").alias("m") if "n" in left.columns else F.lit(1).cast("long").alias("m"), alike.alias("kind"))
+    ka, kb = cut(_keyed(left)), cut(_keyed(right, _near(left, right)))
+    first, hot_a, hot_b = _round(ka, kb, kind)
+    second, _, _ = _round(cut(_twos(hot_a)), cut(_twos(hot_b)), kind)
+    # a record met in person no longer hides among its kind
+    return first.unionByName(second).groupBy("l", "r").agg(F.min("times").alias("times"))
 
 
 def _compare() -> list[Column]:
@@ -120,7 +166,7 @@ def _compare() -> list[Column]:
     words = F.when(silent | (wn == 0), 0).when(w * 3 < wn * 2, 1).when(w < wn, 2).otherwise(3)
     s, c = F.col("l.subject") == F.col("r.subject"), F.col("l.klass") == F.col("r.klass")
     level = F.when(s.isNull() | c.isNull(), 0).when(s & c, 1).when(s, 2).when(c, 3).otherwise(4)
-    return [core.alias("core"), kind.alias("kind"), facts.alias("facts"), words.alias("words"), level.alias("level")]
+    return [core.alias("core"), kind.alias("kind"), facts.alias("facts"), words.alias("words"), level.alias("level"), shared.alias("shared")]
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 1.0) -> np.ndarray:
@@ -170,17 +216,46 @@ def link(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str, str]
         return s.select("id", core.alias("core"), _among("title", title_a).alias("kind"), unknown.alias("unknown"), _without("body", text_any).alias("facts"), _among("body", text_both).alias("words"), "subject", "klass")
 
     fa, fb = cut(features(a)), cut(features(b))
-    pairs = candidates(fa, fb)
-    joined = pairs.join(fa.select(F.col("id").alias("l"), F.struct("*").alias("lf")), "l").join(fb.select(F.col("id").alias("r"), F.struct("*").alias("rf")), "r")
-    compared = cut(joined.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.col("lf").alias("l"), F.col("rf").alias("r")).select("left_id", "right_id", *_compare()))
-    names = list(LEVELS)
-    table = compared.groupBy(*names).count().orderBy(*names).collect()
-    if not table:
+    la, lb = cut(_classes(fa)), cut(_classes(fb))
+    pairs = candidates(la, lb)
+    best = decide(compare(pairs, la, lb), least)
+    if best is None:
         return spark.createDataFrame([], schema)
+    # every right record of a class gets the class's pair
+    lone = best.where(F.col("n_right") == 1).drop("n_right")
+    members = lookup(fb.select(*_hash(), F.col("id").alias("other")), lb.where(F.col("n") > 1).select(*_hash(), F.col("id").alias("right_id"), "n"), ["h1", "h2"], "n").select("right_id", "other")
+    several = best.where(F.col("n_right") > 1).drop("n_right").join(members, "right_id").drop("right_id").withColumnRenamed("other", "right_id")
+    return lone.unionByName(several).select("left_id", "right_id", "confidence", *LEVELS)
+
+
+def _hash() -> list[Column]:
+    """A record's features as 128 bits."""
+    whole = F.to_json(F.struct(*[F.array_sort(c).alias(c) for c in ("core", "kind", "unknown", "facts", "words")], "subject", "klass"))
+    return [F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")]
+
+
+def _classes(side: DataFrame) -> DataFrame:
+    """One row, the smallest id, for all records of one side with equal features, and their number n."""
+    rest = ["core", "kind", "unknown", "facts", "words", "subject", "klass"]
+    return side.groupBy(*_hash()).agg(F.min_by(F.struct("id", *rest), "id").alias("v"), F.count(F.lit(1)).alias("n")).select("v.*", "n")
+
+
+def compare(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The levels of agreement of the pairs l, r, times that share a title key or two rare description tokens."""
+    joined = pairs.join(left.select(F.col("id").alias("l"), F.struct("*").alias("lf")), "l").join(right.select(F.col("id").alias("r"), F.struct("*").alias("rf")), "r")
+    return cut(joined.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.greatest("times", "lf.n").alias("times"), F.col("rf.n").alias("n_right"), F.col("lf").alias("l"), F.col("rf").alias("r")).select("left_id", "right_id", "times", "n_right", *_compare()).where((F.col("core") < 2) | (F.col("shared") > 1)).drop("shared"))
+
+
+def decide(compared: DataFrame, least: float) -> DataFrame | None:
+    """The best left record of each right one with its confidence, where that is at least ``least``."""
+    spark, names = compared.sparkSession, list(LEVELS)
+    table = compared.groupBy(*names).agg(F.sum(F.col("times") * F.col("n_right")).alias("count")).orderBy(*names).collect()
+    if not table:
+        return None
     patterns, counts = np.array([[r[c] for c in names] for r in table]), np.array([r["count"] for r in table], float)
     post = estimate(patterns, counts)
     scored = spark.createDataFrame([(*map(int, p), float(x / max(1e-12, 1 - x))) for p, x in zip(patterns, post)], ", ".join(f"{c} int" for c in names) + ", odds double")
     withal = compared.join(F.broadcast(scored), names)  # one row per pattern: at most the product of the levels
     mine = Window.partitionBy("right_id")
-    ranked = withal.withColumn("confidence", F.col("odds") / (1 + F.sum("odds").over(mine))).withColumn("_n", F.row_number().over(mine.orderBy(F.desc("odds"), "left_id")))
-    return ranked.where((F.col("_n") == 1) & (F.col("confidence") >= least)).select("left_id", "right_id", "confidence", *names)
+    ranked = withal.withColumn("confidence", F.col("odds") / (1 + F.sum(F.col("odds") * F.col("times")).over(mine))).withColumn("_n", F.row_number().over(mine.orderBy(F.desc("odds"), "left_id")))
+    return ranked.where((F.col("_n") == 1) & (F.col("times") == 1) & (F.col("confidence") >= least)).select("left_id", "right_id", "n_right", "confidence", *names)

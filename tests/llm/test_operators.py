@@ -198,23 +198,58 @@ def test_linkage_edge_cases(spark):
     linkage.link(some, some, names, names).collect()
 
 
-def test_hot_blocking_keys_are_made_specific(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "HOT_PAIRS", 50)
-    rows = [(i, [f"hot{1}"], ["gaya"], [f"f{i}", f"g{i}"], "fis", 10) for i in range(40)]
-    side = spark.createDataFrame(rows, "id long, core array<string>, kind array<string>, facts array<string>, subject string, klass int")
-    got = {tuple(r) for r in linkage.candidates(side, side.where("id < 20")).collect()}
-    assert {(i, i) for i in range(20)} <= got
+SIDE = "id long, core array<string>, kind array<string>, facts array<string>, subject string, klass int"
 
 
-def test_bare_titles_of_a_hot_key_meet_without_a_common_level(spark, monkeypatch):
-    monkeypatch.setattr(linkage, "HOT_PAIRS", 50)
-    cols = "id long, core array<string>, kind array<string>, facts array<string>, subject string, klass int"
+def test_crowded_keys_stay_linear_and_keep_the_pairs_that_can_be_told_apart(spark):
+    n = 2000  # one core token in all records of both sides; each record shares a description token with its like
+    left = [(i, ["energi"], ["gaya"], [f"f{i}", f"g{i % 40}"], "fis", 10 + i % 3) for i in range(n)]
+    right = [(10_000 + i, ["energi" if i % 2 else "enrgi"], ["gaya"], [f"f{i}", f"g{i % 40}"] if i % 3 else [f"g{i % 40}"], None, None) for i in range(n)]
+    got = [tuple(r) for r in linkage.candidates(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)).collect()]
+    assert {(i, 10_000 + i, 1) for i in range(n) if i % 3} <= set(got)
+    assert len(got) < 20 * n and len({g[:2] for g in got}) == len(got)
+
+
+def test_bare_records_of_a_crowded_key_cost_no_product(spark):
+    side = spark.createDataFrame([(i, ["energi"], ["gaya"], [], "fis", 10) for i in range(400)], SIDE)
+    got = [tuple(r) for r in linkage.candidates(side, side).collect()]
+    assert got and {g[0] for g in got} == {0} and {g[2] for g in got} == {400} and len(got) == 400
+
+
+def test_few_left_records_meet_all_right_records_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "PART", 25)
     left = [(i, [], ["gaya", "medan"], ["langka"], "fis", 10) for i in range(3)]
     right = [(100 + i, [], ["medan", "gaya"], ["langka"] if i % 2 else [], *((None, None), ("kim", 11), ("fis", None))[i % 3]) for i in range(60)]
-    got = [tuple(r) for r in linkage.candidates(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols)).collect()]
+    got = [tuple(r)[:2] for r in linkage.candidates(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)).collect()]
     assert sorted(got) == [(i, 100 + j) for i in range(3) for j in range(60)]
 
 
+@pytest.mark.parametrize("few", [1, 4])
+def test_links_against_all_pairs(spark, monkeypatch, few):
+    """Blocking with keys that are soon crowded finds the links that a comparison of all pairs finds."""
+    monkeypatch.setattr(linkage, "FEW", few)
+    rng = random.Random(few)
+    words = [f"istilah{chr(97 + i)}" for i in range(12)]
+    rows = [(i, [rng.choice(words)], [rng.choice(("gaya", "medan", "sel"))], [], [f"f{x}" for x in sorted(rng.sample(range(60), 3))], ["kata"], rng.choice(("fis", "kim")), rng.choice((10, 11, 12))) for i in range(150)]
+    cols = "id long, core array<string>, kind array<string>, unknown array<string>, facts array<string>, words array<string>, subject string, klass int"
+    a = linkage._classes(spark.createDataFrame(rows, cols))
+    other = [(1000 + i, c, k, u, f if i % 4 else f[:2], w, s if i % 3 else None, x if i % 5 else 10) for i, c, k, u, f, w, s, x in rows[:100]]
+    b = linkage._classes(spark.createDataFrame(other, cols))
+    pairs = lambda df: {(r["left_id"], r["right_id"]) for r in linkage.decide(df, 0.5).collect()}
+    every = a.select(F.col("id").alias("l")).crossJoin(b.select(F.col("id").alias("r"))).withColumn("times", F.lit(1).cast("long"))
+    want, got = pairs(linkage.compare(every, a, b)), pairs(linkage.compare(linkage.candidates(a, b), a, b))
+    assert len(want) > 60 and len(got & want) >= 0.95 * len(want)
+
+
+def test_equal_right_records_all_get_their_pair(spark):
+    cols = "id long, title string, body string, grade string"
+    left = [(i, f"Gaya nama{chr(97 + i)}", f"isi{i} dan itu{i} lalu nol{i}", "Fisika Kelas X") for i in range(20)]
+    right = [(100 + 20 * k + i, *r[1:]) for k in range(2) for i, r in enumerate(left)]
+    names = ("id", "title", "body", "grade")
+    got = linkage.link(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), names, names)
+    assert {(r["left_id"], r["right_id"]) for r in got.collect()} == {(i, 100 + 20 * k + i) for k in range(2) for i in range(20)}
+
+
 # 6: consensus -----------------------------------------------------------------
 
 
