@@ -10,14 +10,15 @@ source of a triple) has its own label shares.
 Each round is one pass over the items: the matrices are broadcast (annotators x
 labels^2 numbers, used only up to MAX_ANNOTATORS) and what returns is summed per
 annotator and label on the executors. Beyond that bound, with more than
-MAX_GROUPS groups or where an item has more than MAX_VOTES votes, the same round
-is done with joins.
+MAX_GROUPS groups or where an item has more than MAX_VOTES votes, the same rounds
+with the same formulas and the same stop are done with joins; the results are equal.
+Annotators or items with a large share of the votes are joined by broadcast there.
 
 Defined results: labels outside the label set and votes for unknown items are
 ignored; of several votes of one annotator for an item the latest counts; an item
 without votes gets the likeliest label of its group, agreement null; a known label
 is kept; ties go to the earlier label of the set; without any item the result is
-empty. Extra columns are ignored.
+empty; a proposal without any content is no vote. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MAX_ANNOTATORS, MAX_VOTES = 50_000, 10_000
 #: Groups whose label shares come to the driver; those of more groups stay a table.
 MAX_GROUPS = 1000
 TYPES, STRENGTH, ROUNDS = 5, 20.0, 25
+#: Rounds end when no expected probability of an annotator's matrix moves by this much.
+STOP = 1e-4
 K = len(LABELS)
 
 
@@ -59,6 +62,9 @@ def content(*cols: str) -> Column:
     return F.to_json(F.array(*[F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\s\p{Z}]+", " "), r"^ | $", "")) for c in cols]))
 
 
+NO_CONTENT = '["","","",""]'
+
+
 def votes(validations: DataFrame, triples: DataFrame) -> DataFrame:
     """triple_id, reviewer, label, at: ratings of each reviewer's latest submission per batch, and proposals as votes for missing."""
     once = validations.select("validation_id", "reviewer", "batch_id", "ratings", "missing_triples", "updated_at").where(F.col("reviewer").isNotNull()).dropDuplicates(["validation_id"])
@@ -67,7 +73,7 @@ def votes(validations: DataFrame, triples: DataFrame) -> DataFrame:
     rated = latest.select("reviewer", F.col("updated_at").alias("at"), F.explode("ratings").alias("k", "v")).select(id_of(F.col("k")).alias("triple_id"), "reviewer", label_of(F.col("v")).alias("label"), "at")
     proposed = latest.select("reviewer", F.col("updated_at").alias("at"), F.explode("missing_triples").alias("m")).select("reviewer", "at", "m.*")
     keyed = triples.select("triple_id", content("chapter", "subject", "relation", "target").alias("key"))
-    found = proposed.select("reviewer", "at", content("chapter", "subject", "relation", "target").alias("key")).join(keyed, "key").select("triple_id", "reviewer", F.lit("missing").alias("label"), "at")
+    found = proposed.select("reviewer", "at", content("chapter", "subject", "relation", "target").alias("key")).where(F.col("key") != NO_CONTENT).join(keyed, "key").select("triple_id", "reviewer", F.lit("missing").alias("label"), "at")
     every = rated.unionByName(found).where(F.col("triple_id").isNotNull() & F.col("label").isNotNull())
     return every.groupBy("triple_id", "reviewer").agg(F.max_by("label", F.struct("at", "label")).alias("label"), F.max("at").alias("at"))
 
@@ -198,7 +204,7 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
         model.update(counts, member, shares)
         before = logs
         logs, member = model.annotators(counts)
-        if np.abs(np.exp(logs) - np.exp(before)).max() < 1e-4:
+        if np.abs(np.exp(logs) - np.exp(before)).max() < STOP:
             break
     final = spark.sparkContext.broadcast((logs, model.shares))
 
@@ -222,18 +228,40 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
     return out, people
 
 
+HOT_VOTES = 100_000
+
+
+def _hot(cast: DataFrame, key: str) -> DataFrame | None:
+    """The keys with over a thousandth of the votes and over HOT_VOTES of them, at most a thousand; None without any."""
+    n = cast.count()
+    hot = cast.groupBy(key).count().where(F.col("count") > max(HOT_VOTES, n // 1000)).select(key, F.lit(True).alias(f"hot_{key}"))
+    return None if n <= HOT_VOTES or hot.isEmpty() else cut(hot)
+
+
+def _with(cast: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``cast`` joined to one row a key; the rows of hot keys stay where they are."""
+    if hot is None:
+        return cast.join(right, key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most a thousand rows
+    return cast.where(F.col(f"hot_{key}")).join(few, key).unionByName(cast.where(~F.col(f"hot_{key}")).join(right, key))
+
+
 def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Model, rounds: int, many: bool) -> tuple[DataFrame, DataFrame]:
     """The same rounds with joins, for any number of annotators, of groups (``many``: not to be broadcast) and of votes for an item."""
     spark = its.sparkSession
     cells = [f"c{k}_{lab}" for k in range(K) for lab in range(K)]
     qs = [f"q{k}" for k in range(K)]
+    types = range(len(model.types))
     data, cast = cut(its), cut(valid)
-    people = names.select("who", *[F.lit(0.0).alias(c) for c in cells])
-    post = None
-    share = cut(data.select("grp").distinct().select("grp", *[F.lit(float(np.log(1 / K))).alias(f"p{k}") for k in range(K)]))
-    for _ in range(rounds):
+    hot = {key: _hot(cast, key) for key in ("who", "item")}
+    for key, keys in hot.items():
+        if keys is not None:
+            cast = cast.join(F.broadcast(keys), key, "left").withColumn(f"hot_{key}", F.coalesce(f"hot_{key}", F.lit(False)))
+    cast = cut(cast)
+    logs_schema = "who string, " + ", ".join(f"l{c} double" for c in cells) + ", " + ", ".join(f"m{m} double" for m in types) + ", " + ", ".join(f"{c} double" for c in cells)
+
+    def annotators(people: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast((model.types, model.weights))
-        logs_schema = "who string, " + ", ".join(f"l{c} double" for c in cells) + ", " + ", ".join(f"m{m} double" for m in range(len(model.types))) + ", " + ", ".join(f"{c} double" for c in cells)
 
         def each(batches, shared=shared):
             local = Model([""])
@@ -244,35 +272,50 @@ def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Mod
                     logs, member = local.annotators(counts)
                     yield pd.DataFrame({"who": b["who"], **{f"l{c}": logs.reshape(len(b), -1)[:, i] for i, c in enumerate(cells)}, **{f"m{m}": member[:, m] for m in range(member.shape[1])}, **{c: b[c] for c in cells}})
 
-        known = cut(people.mapInPandas(each, logs_schema))
+        return cut(people.mapInPandas(each, logs_schema))
+
+    def posteriors(known: DataFrame, share: DataFrame) -> DataFrame:
         logw = [F.when(F.col("lab") == 0, F.col(f"lc{k}_0")) for k in range(K)]
         for lab in range(1, K):
             logw = [w.when(F.col("lab") == lab, F.col(f"lc{k}_{lab}")) for k, w in enumerate(logw)]
-        summed = cast.join(known.select("who", *[f"l{c}" for c in cells]), "who").groupBy("item").agg(*[F.sum(w).alias(f"s{k}") for k, w in enumerate(logw)])
+        summed = _with(cast, known.select("who", *[f"l{c}" for c in cells]), "who", hot["who"]).groupBy("item").agg(*[F.sum(w).alias(f"s{k}") for k, w in enumerate(logw)])
         full = data.join(share if many else F.broadcast(share), "grp", "left").join(summed, "item", "left").fillna(0.0)
         logits = [F.col(f"p{k}") + F.col(f"s{k}") for k in range(K)]
         top = F.greatest(*logits)
         raw = [F.exp(x - top) for x in logits]
         total = sum(raw[1:], raw[0])
-        post = cut(full.select("item", "grp", *[F.when(F.col("known") >= 0, (F.col("known") == k).cast("double")).otherwise(raw[k] / total).alias(q) for k, q in enumerate(qs)]))
-        by = cast.join(post, "item").groupBy("who").agg(*[F.sum(F.when(F.col("lab") == lab, F.col(f"q{k}")).otherwise(0.0)).alias(f"c{k}_{lab}") for k in range(K) for lab in range(K)])
-        people = names.select("who").join(by, "who", "left").fillna(0.0)
-        pooled = known.select(*[f"m{m}" for m in range(len(model.types))], "who").join(people, "who")
-        sums = pooled.agg(*[F.sum(F.col(f"m{m}") * F.col(c)).alias(f"t{m}{c}") for m in range(len(model.types)) for c in cells], *[F.sum(f"m{m}").alias(f"m{m}") for m in range(len(model.types))]).first()
+        return cut(full.select("item", "grp", *[F.when(F.col("known") >= 0, (F.col("known") == k).cast("double")).otherwise(raw[k] / total).alias(q) for k, q in enumerate(qs)]))
+
+    share = cut(data.select("grp").distinct().select("grp", *[F.lit(float(np.log(1 / K))).alias(f"p{k}") for k in range(K)]))
+    known = annotators(names.select("who", *[F.lit(0.0).alias(c) for c in cells]))
+    for _ in range(rounds):
+        post = posteriors(known, share)
+        by = _with(cast, post.drop("grp"), "item", hot["item"]).groupBy("who").agg(*[F.sum(F.when(F.col("lab") == lab, F.col(f"q{k}")).otherwise(0.0)).alias(f"c{k}_{lab}") for k in range(K) for lab in range(K)])
+        people = cut(names.select("who").join(by, "who", "left").fillna(0.0))
+        pooled = known.select(*[f"m{m}" for m in types], "who").join(people, "who")
+        sums = pooled.agg(*[F.sum(F.col(f"m{m}") * F.col(c)).alias(f"t{m}{c}") for m in types for c in cells], *[F.sum(f"m{m}").alias(f"m{m}") for m in types]).first()
         held = post.groupBy("grp").agg(*[F.sum(q).alias(q) for q in qs])
         share = cut(held.select("grp", *[F.log((F.col(q) + 0.2) / (sum((F.col(x) for x in qs), F.lit(0.0)) + 0.2 * K)).alias(f"p{k}") for k, q in enumerate(qs)]))
-        m = len(model.types)
-        typed = np.array([[sums[f"t{i}{c}"] or 0.0 for c in cells] for i in range(m)]).reshape(m, K, K) + 2.0 * model.types
+        typed = np.array([[sums[f"t{i}{c}"] or 0.0 for c in cells] for i in types]).reshape(-1, K, K) + 2.0 * model.types
         model.types = typed / typed.sum(2, keepdims=True)
-        size = np.array([sums[f"m{i}"] or 0.0 for i in range(m)])
-        model.weights = (size + 1) / (size.sum() + m)
+        size = np.array([sums[f"m{i}"] or 0.0 for i in types])
+        model.weights = (size + 1) / (size.sum() + len(size))
+        before, known = known, annotators(people)
+        moved = F.greatest(*[F.abs(F.exp(F.col(f"l{c}")) - F.col(f"b{c}")) for c in cells])
+        if (known.join(before.select("who", *[F.exp(f"l{c}").alias(f"b{c}") for c in cells]), "who").agg(F.max(moved)).first()[0] or 0.0) < STOP:
+            break
+    post = posteriors(known, share)
     seen = cast.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("lab") == lab).cast("long")).alias(f"n{lab}") for lab in range(K)])
     pairs = sum((F.col(f"n{lab}") * (F.col(f"n{lab}") - 1) for lab in range(K)), F.lit(0))
     best = F.greatest(*qs)
     label = F.coalesce(*[F.when(F.col(q) == best, lab) for q, lab in zip(qs, LABELS)])
     out = post.join(seen, "item", "left").select("item", label.alias("label"), best.alias("confidence"), F.coalesce("n", F.lit(0)).cast("int").alias("n_votes"), F.when(F.col("n") > 1, pairs / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
-    overall = [x if x is not None else 1 / K for x in share.agg(*[F.avg(F.exp(f"p{k}")) for k in range(K)]).first()]
+    # each label's share among the votes, as in the other form
+    totals = known.agg(*[F.sum(F.col(f"c{k}_{lab}")).alias(f"c{k}_{lab}") for k in range(K) for lab in range(K)]).first()
+    overall = np.array([sum(totals[f"c{k}_{lab}"] or 0.0 for lab in range(K)) for k in range(K)])
+    overall /= max(1e-9, overall.sum())
     right = sum((F.lit(float(overall[k])) * F.exp(F.col(f"lc{k}_{k}")) / sum((F.exp(F.col(f"lc{k}_{x}")) for x in range(K)), F.lit(0.0)) for k in range(K)), F.lit(0.0))
-    top = F.greatest(*[f"m{i}" for i in range(len(model.types))])
-    kind = F.coalesce(*[F.when(F.col(f"m{i}") == top, F.lit(i)) for i in range(len(model.types))])
-    return out, known.join(names, "who").select("who", F.col("n").cast("int").alias("n_votes"), right.alias("reliability"), kind.alias("kind"))
+    top = F.greatest(*[f"m{i}" for i in types])
+    kind = F.coalesce(*[F.when(F.col(f"m{i}") == top, F.lit(i)) for i in types])
+    n_votes = F.round(sum((F.col(c) for c in cells), F.lit(0.0))).cast("int")
+    return out, known.select("who", n_votes.alias("n_votes"), right.alias("reliability"), kind.alias("kind"))
