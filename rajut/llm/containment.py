@@ -1,25 +1,27 @@
-"""Evaluation passages inside training documents: MinHash containment search.
-
-A passage is a window of ``width`` consecutive words of a test item; its set is
-its shingles of SHINGLE words. Whole documents are far larger sets than
-passages, so document text is cut into the same windows, which makes contained
-and containing sets equally large and the containment of a leaked passage 1: one
-band of MinHashes then finds every leaked passage. Windows come from *stretches*,
-runs of words that all occur in test items; stretches are partitioned by size,
-and the longer the stretch, the more MinHash rows its band has, so that the
-expected number of chance candidates stays as small in long stretches as in
-short ones.
-
-Every candidate is verified exactly: the shingles of the window must be those of
-the item's passage in order, that is, the ``width`` words must be equal.
-
-What is broadcast is the items' windows. Items come in blocks of ``item_block``,
-each searched against all documents, so the size of a broadcast is bounded. Texts
+"""Evaluation passages inside training documents: size-partitioned MinHash containment search.
+
+Sets are of shingles of SHINGLE words (a repeated shingle is several elements). Items are short sets; they are cut to parts of
+at most SIZES[-1] shingles, and parts are partitioned by size. A document is a far
+larger set than an item, so it is searched piece by piece: a *stretch* is a run of
+words that all occur in items, and stretches are cut to pieces of PIECE shingles.
+Both kinds of cuts overlap by ``width`` - 1 words, so a run of ``width`` words lies
+whole in a piece and whole in a part.
+
+A case is an item of which a document holds ``width`` consecutive words, that is at
+least ``width`` - SHINGLE + 1 shingles in common. In a partition of parts of at most u
+shingles this containment means a Jaccard similarity of at least
+common / (u + PIECE - common), and the partition has as many MinHash bands as it
+takes to miss a pair of that similarity with a chance of at most MISS. Pairs that
+agree in a band are candidates. Candidates are verified exactly: the common shingles
+are counted, and pairs with enough of them are read for the run of ``width`` words.
+
+What is broadcast is the items' index. Items come in blocks of ``item_block``, each
+searched in its own pass over the documents, so a broadcast is of bounded size. Texts
 of documents are never shuffled.
 
-Defined results: null or blank texts and items of fewer than ``width`` words
-match nothing; a document given twice counts once; equal texts under several ids
-all match; no items or no documents give an empty result.
+Defined results: null or blank texts and items of fewer than ``width`` words match
+nothing; a document given twice counts once; equal texts under several ids all match;
+no items or no documents give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ from rajut.llm.notebook import cells
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
-#: Size partitions of stretches: words below the bound, MinHash rows of the band.
-PARTITIONS = ((64, 1), (1024, 2), (1 << 62, 3))
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Bounds of the size partitions of item parts and size of a document's pieces, in multiples of the shingles of a run.
+SIZES, PIECE = (2, 4, 8), 3.5
+MISS = 1e-6
+#: Characters of documents and pieces of text that are handled at a time.
+CHARS, PIECES = 1 << 20, 1024
 
 
 def words(text: str) -> list[str]:
@@ -53,79 +57,152 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_keys(ids: np.ndarray, width: int, rows: int) -> np.ndarray:
-    """The band of MinHashes of each window of ``width`` word ids, as one 64-bit key."""
+def _grams(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every ``size`` consecutive words."""
     base = _mix(ids.astype(np.uint64) + np.uint64(1))
-    n = len(ids) - SHINGLE + 1
-    shingle = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        shingle = shingle * np.uint64(0x100000001B3) + base[j : j + n]
-    out = np.zeros(len(ids) - width + 1, np.uint64)
-    for r in range(rows):
-        low = np.lib.stride_tricks.sliding_window_view(_mix(shingle ^ _SEEDS[r]), width - SHINGLE + 1).min(axis=1)
-        out = _mix(out ^ low)
-    return out
+    n = len(ids) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for j in range(size if n > 0 else 0):
+        out = out * np.uint64(0x100000001B3) + base[j : j + n]
+    return _mix(out)
+
+
+def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets laid end to end, a shingle's second and later occurrences in one of them as elements of their own, and each one's set."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    order = np.lexsort((flat, owner))
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (np.diff(flat[order]) != 0) | (np.diff(owner[order]) != 0)
+    first = np.flatnonzero(fresh)
+    again = np.arange(len(flat)) - np.repeat(first, np.diff([*first, len(flat)]))
+    out = flat.copy()
+    out[order] ^= np.where(again > 0, _mix(again.astype(np.uint64)), np.uint64(0))
+    return out, owner
+
+
+def cuts(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Starts and ends of pieces of at most ``size`` of n words, each sharing ``overlap`` words with the one before."""
+    step = size - overlap
+    return [(a, min(n, a + size)) for a in range(0, max(1, n - overlap), step)]
+
+
+def signatures(shingles: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """MinHashes [len(factors), pieces] of pieces laid end to end in ``shingles``."""
+    return np.minimum.reduceat(_mix(shingles)[None, :] * factors[:, None] ^ (shingles >> np.uint64(32))[None, :], starts, axis=1)
 
 
 class Index:
-    """Windows of the items by their band key, for each number of rows."""
+    """The items' parts: their shingles, and the keys of their bands by size partition."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        self.width, self.vocabulary, self.items = width, {}, []
-        keys: dict[int, list[np.ndarray]] = {rows: [] for _, rows in PARTITIONS}
-        owner, start = [], []
+        self.width, self.common = width, width - SHINGLE + 1
+        self.vocabulary: dict[str, int] = {}
+        self.items: list[tuple[int, np.ndarray]] = []
+        self.parts: list[tuple[int, int, np.ndarray]] = []  # item number, first word, word ids
+        bounds = [self.common * x for x in SIZES]
+        self.piece = int(self.common * PIECE)
         for item, text in items:
             found = words(text or "")
             if len(found) < width:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found])
-            n = len(ids) - width + 1
-            owner.append(np.full(n, len(self.items)))
-            start.append(np.arange(n))
-            for rows, at in keys.items():
-                at.append(window_keys(ids, width, rows))
-            self.items.append((item, ids))
-        self.sorted = {}
-        if self.items:
-            owner, start = np.concatenate(owner), np.concatenate(start)
-            for rows, at in keys.items():
-                flat = np.concatenate(at)
-                order = np.argsort(flat, kind="stable")
-                self.sorted[rows] = flat[order], owner[order], start[order]
-
-    def search(self, parts: list[str]) -> dict[int, set[int]]:
-        """item number -> starts of its passages that occur in one of the parts."""
-        hits: dict[int, set[int]] = {}
-        if not self.items:
-            return hits
+            self.parts += [(len(self.items), a, ids[a:b]) for a, b in cuts(len(ids), bounds[-1] + SHINGLE - 1, width - 1)]
+            self.items.append((item, _grams(ids, SHINGLE)))
+        flat, holder = _numbered([_grams(ids, SHINGLE) for _, _, ids in self.parts])
+        sizes = np.bincount(holder, minlength=len(self.parts))
+        jaccard = [self.common / (u + self.piece - self.common) for u in bounds]
+        self.bands = [int(np.ceil(np.log(MISS) / np.log1p(-j))) if j < 1 else 1 for j in jaccard]
+        self.factors = _mix(np.arange(1, max(self.bands) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        self.tables = []
+        for low, u, b in zip([0, *bounds], bounds, self.bands):
+            mine = np.flatnonzero((sizes > low) & (sizes <= u))
+            if len(mine):
+                keys = self._keys(signatures(flat[np.isin(holder, mine)], np.cumsum(sizes[mine]) - sizes[mine], self.factors[:b]))
+                part = np.broadcast_to(mine, keys.shape).ravel()
+                order = np.argsort(keys, axis=None, kind="stable")
+                self.tables.append((b, keys.ravel()[order], part[order]))
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.holders = flat[order], holder[order]
+
+    @staticmethod
+    def _keys(signature: np.ndarray) -> np.ndarray:
+        """Band and MinHash as one number."""
+        return _mix(signature + np.arange(len(signature), dtype=np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    @staticmethod
+    def _lookup(table: np.ndarray, values: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(wanted, asked) for every place of the sorted table that holds a value."""
+        low = np.searchsorted(table, asked, "left")
+        times = np.searchsorted(table, asked, "right") - low
+        hit = np.flatnonzero(times)
+        low, times = low[hit], times[hit]
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return values[at], np.repeat(wanted[hit], times)
+
+    def search(self, docs: list[list[str]]) -> list[dict[int, tuple[set[int], set[int]]]]:
+        """For each document, given as its cells: item number -> (starts of its passages, positions of its shingles) found in one of the cells."""
+        hits: list[dict[int, tuple[set[int], set[int]]]] = [{} for _ in docs]
         flat: list[str] = []
-        for p in parts:
-            flat += words(p)
-            flat.append("")
+        ends = []
+        for doc in docs:
+            for cell in doc:
+                flat += words(cell)
+                flat.append("")
+            ends.append(len(flat))
+        if not self.items or not flat:
+            return hits
         ids = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), np.int64, len(flat))
         gaps = np.flatnonzero(ids == 0)
         starts = np.concatenate([[0], gaps + 1])
         lengths = np.concatenate([gaps, [len(ids)]]) - starts
-        for a, n in zip(starts[lengths >= self.width], lengths[lengths >= self.width]):
-            stretch = ids[a : a + n]
-            rows = next(r for bound, r in PARTITIONS if n < bound)
-            keys, owner, start = self.sorted[rows]
-            mine = window_keys(stretch, self.width, rows)
-            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            for w in np.flatnonzero(high > low):
-                window = stretch[w : w + self.width]
-                for c in range(low[w], high[w]):
-                    item, at = int(owner[c]), int(start[c])
-                    if np.array_equal(self.items[item][1][at : at + self.width], window):
-                        hits.setdefault(item, set()).add(at)
+        long = lengths >= self.width
+        spans = [(s + a, s + b) for s, n in zip(starts[long].tolist(), lengths[long].tolist()) for a, b in cuts(n, self.piece + SHINGLE - 1, self.width - 1)]
+        owner = np.searchsorted(ends, [a for a, _ in spans], "right")
+        for low in range(0, len(spans), PIECES):
+            some = spans[low : low + PIECES]
+            sets = [_grams(ids[a:b], SHINGLE) for a, b in some]
+            for piece, part in self._candidates(sets):
+                self._verify(ids[slice(*some[piece])], sets[piece], part, hits[owner[low + piece]])
         return hits
 
+    def _candidates(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(piece, part) that agree in a band and have enough shingles in common."""
+        flat, owner = _numbered(sets)
+        sizes = np.bincount(owner)
+        signature = signatures(flat, np.cumsum(sizes) - sizes, self.factors)
+        n = len(self.parts)
+        agreed = []
+        for b, keys, part in self.tables:
+            asked = self._keys(signature[:b])
+            where = np.broadcast_to(np.arange(len(sets)), asked.shape)
+            found, piece = self._lookup(keys, part, asked.ravel(), where.ravel())
+            agreed.append(np.unique(piece * n + found))
+        agreed = np.concatenate([np.empty(0, np.int64), *agreed])
+        if not len(agreed):
+            return []
+        # shingles in common, counted for all candidates at once
+        asked = np.isin(owner, agreed // n)
+        found, piece = self._lookup(self.shingles, self.holders, flat[asked], owner[asked])
+        pair, count = np.unique(piece * n + found, return_counts=True)
+        good = np.intersect1d(agreed, pair[count >= self.common], assume_unique=True)
+        return [(int(x) // n, int(x) % n) for x in good]
+
+    def _verify(self, ids: np.ndarray, shingles: np.ndarray, part: int, hits: dict[int, tuple[set[int], set[int]]]) -> None:
+        item, first, mine = self.parts[part]
+        windows, here = _grams(mine, self.width), _grams(ids, self.width)
+        starts = [int(a) for a in np.flatnonzero(np.isin(windows, here)) if any(np.array_equal(mine[a : a + self.width], ids[b : b + self.width]) for b in np.flatnonzero(here == windows[a]))]
+        if starts:
+            passages, held = hits.setdefault(item, (set(), set()))
+            passages.update(first + a for a in starts)
+            held.update((first + np.flatnonzero(np.isin(_grams(mine, SHINGLE), shingles))).tolist())
+
 
 SCHEMA = "item_id long, doc_id long, n_windows int, containment double"
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, layout: str | None, items: DataFrame, item_id: str, item_text: str, width: int = 12, item_block: int = 20_000) -> DataFrame:
-    """item_id, doc_id, n_windows (item passages found), containment (their share of the item's passages)."""
+    """item_id, doc_id, n_windows (runs of ``width`` item words found), containment (share of the item's shingles in the pieces that hold them)."""
     if width < SHINGLE:
         raise ValueError(f"width must be at least {SHINGLE}")
     spark = docs.sparkSession
@@ -141,10 +218,19 @@ def leaked(docs: DataFrame, doc_id: str, text: str, layout: str | None, items: D
             known = index.value
             for batch in batches:
                 rows = []
-                for doc, body, kind in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["layout"].to_pylist()):
-                    for item, starts in known.search(cells(body, kind)).items():
-                        name, ids = known.items[item]
-                        rows.append((name, doc, len(starts), len(starts) / (len(ids) - known.width + 1)))
+                names, held, size = [], [], 0
+                for i in range(batch.num_rows + 1):
+                    if names and (i == batch.num_rows or size > CHARS):
+                        for doc, hits in zip(names, known.search(held)):
+                            for item, (starts, at) in hits.items():
+                                name, shingles = known.items[item]
+                                rows.append((name, doc, len(starts), len(at) / len(shingles)))
+                        names, held, size = [], [], 0
+                    if i < batch.num_rows:
+                        body = batch["text"][i].as_py()
+                        names.append(batch["doc_id"][i].as_py())
+                        held.append(cells(body, batch["layout"][i].as_py()))
+                        size += len(body)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["item_id", "doc_id", "n_windows", "containment"])
 

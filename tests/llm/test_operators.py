@@ -283,15 +283,20 @@ def test_consensus_beats_the_majority_and_finds_bad_annotators(spark):
     assert min(rel[f"w{w:02d}"] for w in range(8)) > max(rel[f"w{w:02d}"] for w in range(8, 12))
 
 
-def test_rounds_with_joins_equal_rounds_with_a_broadcast(spark):
+@pytest.mark.parametrize("rounds, hot, stop", [(3, 100_000, 1e-4), (12, 20, 0.02)])
+def test_rounds_with_joins_equal_rounds_with_a_broadcast(spark, monkeypatch, rounds, hot, stop):
+    monkeypatch.setattr(consensus, "HOT_VOTES", hot)
+    monkeypatch.setattr(consensus, "STOP", stop)
     truth, cast = reviews(2, n_items=150)
     items = spark.createDataFrame([(i, "gh"[i % 2], t if i % 9 == 0 else None) for i, t in truth.items()], "item long, grp string, known string")
     votes = spark.createDataFrame(cast, "item long, who string, label string")
-    a, _ = consensus.infer(items, votes, rounds=4)  # one more pass gives the result
-    b, people = consensus.infer(items, votes, rounds=5, max_annotators=0)
+    a, some = consensus.infer(items, votes, rounds=rounds)
+    b, people = consensus.infer(items, votes, rounds=rounds, max_annotators=0)
     x, y = ({r["item"]: r for r in df.collect()} for df in (a, b))
     assert all(x[i]["label"] == y[i]["label"] and abs(x[i]["confidence"] - y[i]["confidence"]) < 1e-6 and x[i]["agreement"] == y[i]["agreement"] for i in truth)
-    assert people.count() == 12
+    u, v = ({r["who"]: r for r in df.collect()} for df in (some, people))
+    assert len(u) == 12 and u.keys() == v.keys()
+    assert all(abs(u[w]["reliability"] - v[w]["reliability"]) < 1e-6 and (u[w]["n_votes"], u[w]["kind"]) == (v[w]["n_votes"], v[w]["kind"]) for w in u)
 
 
 def test_consensus_edge_cases(spark):
@@ -352,10 +357,22 @@ def test_leaks_against_brute_force(seed):
             doc += text.split()[a : a + rng.randrange(9, 16)] + rng.choices([*vocab, "lain"], k=rng.randrange(4))
         grams = {tuple(doc[i : i + 12]) for i in range(len(doc) - 11)}
         want = {i: {a for a in range(len(t.split()) - 11) if tuple(t.split()[a : a + 12]) in grams} for i, t in items}
-        got = {index.items[n][0]: s for n, s in index.search([" ".join(doc)]).items()}
+        got = {index.items[n][0]: s for n, (s, _) in index.search([[" ".join(doc)]])[0].items()}
         assert got == {i: s for i, s in want.items() if s}
 
 
+def test_leaks_of_long_and_repetitive_items():
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(400)}" for _ in range(500)]
+    items = [(1, " ".join(long)), (2, "a " * 60), (3, "satu dua " * 8), (4, "x y " * 5)]
+    index = containment.Index(items, 12)
+    assert [b for b, _, _ in index.tables] == [index.bands[0], index.bands[2]]
+    docs = [[" ".join(long[a : a + 12])] for a in range(0, 489, 7)] + [["lain " + "a " * 12], ["a " * 11], ["satu dua " * 6 + "tiga"], [" ".join(long[100:300]), " ".join(long[300:311])]]
+    got = [{index.items[n][0]: s for n, (s, _) in hits.items()} for hits in index.search(docs)]
+    assert got[:70] == [{1: {a}} for a in range(0, 489, 7)]
+    assert got[70:] == [{2: set(range(49))}, {}, {3: {0, 2, 4}}, {1: set(range(100, 289))}]
+
+
 def test_notebook_cells():
     assert notebook.cells(None, "json") == [] and notebook.cells("x", "apa") == ["x"]
     assert notebook.cells('{"cells": 3}', "json") == []
