@@ -106,30 +106,30 @@ def _keyed(side: DataFrame, near: DataFrame | None = None) -> DataFrame:
     return core.unionByName(bare).unionByName(facts)
 
 
-def _meet(left: DataFrame, right: DataFrame, *extra: str) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, heavy: bool, *extra: str) -> DataFrame:
     """Pairs l, r (and ``extra`` of the left rows) of equal key, where each key has few left rows.
 
-    The right rows of a key are cut to parts of about PART, each with its own copy of
-    the left rows, so a key with a third of all rows is spread over tasks.
+    Where keys are ``heavy``, with more than PART right rows (their number is nb),
+    these are cut to parts, each with its own copy of the left rows, so a key with a
+    third of all rows is spread over tasks.
     """
-    heavy = right.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).where(F.col("nb") > PART)
-    heavy = F.broadcast(heavy.select("key", F.ceil(F.col("nb") / PART).alias("parts")))  # at most right rows / PART keys
-    n = F.coalesce("parts", F.lit(1).cast("long"))
-    a = left.join(heavy, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), F.col("id").alias("l"), *extra)
-    b = right.join(heavy, "key", "left").select("key", F.pmod(F.xxhash64("id"), n).alias("part"), F.col("id").alias("r"))
-    return a.join(b, ["key", "part"]).select("l", "r", *extra)
+    parts = F.ceil(F.col("nb") / PART)
+    on = ["key", "part"] if heavy else ["key"]
+    a = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))) if heavy else left
+    b = right.withColumn("part", F.pmod(F.xxhash64("id"), parts)) if heavy else right
+    return a.select(*on, F.col("id").alias("l"), *extra).join(b.select(*on, F.col("id").alias("r")), on).select("l", "r", *extra)
 
 
 def _round(ka: DataFrame, kb: DataFrame, kind: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs l, r, times of the keys of one level, the crowded keys' rows on the left, on the right)."""
-    counts = ka.groupBy("key").agg(F.count(F.lit(1)).alias("na")).where(F.col("na") > FEW)
-    crowded = cut(counts.join(kb.select("key").distinct(), "key", "left_semi"))
-    la, lb = lookup(ka, crowded, ["key"], "na", "left"), lookup(kb, crowded, ["key"], "na", "left")
-    la, lb = cut(la), cut(lb)
-    hot_a, hot_b = la.where(F.col("na").isNotNull()).drop("na"), lb.where(F.col("na").isNotNull()).drop("na")
-    few = _meet(la.where(F.col("na").isNull()), lb.where(F.col("na").isNull())).withColumn("times", F.lit(1).cast("long"))
-    kinds = hot_a.where(~F.col("fact")).join(kind, "id").groupBy("key", "kind").agg(F.min("id").alias("id"), F.sum("m").alias("times"))
-    return few.unionByName(_meet(kinds, hot_b.where(~F.col("fact")), "times")), hot_a, hot_b
+    na, nb = (k.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for k, n in ((ka, "na"), (kb, "nb")))
+    met = cut(na.join(nb, "key"))  # keys of one side only are gone from here on
+    heavy = not met.where(F.col("nb") > PART).isEmpty()
+    la, lb = cut(lookup(ka, met, ["key"], "na")), cut(lookup(kb, met, ["key"], "nb"))
+    hot_a, hot_b = la.where(F.col("na") > FEW), lb.where(F.col("na") > FEW)
+    few = _meet(la.where(F.col("na") <= FEW), lb.where(F.col("na") <= FEW), heavy).withColumn("times", F.lit(1).cast("long"))
+    kinds = hot_a.where(~F.col("fact")).join(kind, "id").groupBy("key", "kind").agg(F.min("id").alias("id"), F.sum("m").alias("times"), F.first("nb").alias("nb"))
+    return few.unionByName(_meet(kinds, hot_b.where(~F.col("fact")), heavy, "times")), hot_a, hot_b
 
 
 def _twos(hot: DataFrame) -> DataFrame:
@@ -144,9 +144,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """l, r, times: pairs of ids that share a blocking key, each once; ``times`` > 1 stands for that many left records that only look alike."""
     alike = F.xxhash64(F.to_json(F.struct(F.array_sort("kind").alias("kind"), "subject", "klass", (F.size("facts") == 0).alias("silent"))))
     kind = left.select("id", F.col("n").alias("m") if "n" in left.columns else F.lit(1).cast("long").alias("m"), alike.alias("kind"))
-    ka, kb = cut(_keyed(left)), cut(_keyed(right, _near(left, right)))
-    first, hot_a, hot_b = _round(ka, kb, kind)
-    second, _, _ = _round(cut(_twos(hot_a)), cut(_twos(hot_b)), kind)
+    first, hot_a, hot_b = _round(_keyed(left), _keyed(right, cut(_near(left, right))), kind)
+    second, _, _ = _round(_twos(hot_a), _twos(hot_b), kind)
     # a record met in person no longer hides among its kind
     return first.unionByName(second).groupBy("l", "r").agg(F.min("times").alias("times"))
 
@@ -157,7 +156,7 @@ def _compare() -> list[Column]:
     bare = (F.size(lc) == 0) & (F.size(rc) == 0) & (F.array_sort("l.kind") == F.array_sort("r.kind"))
     core = F.when(F.arrays_overlap(lc, rc) | bare, 0).when(near, 1).otherwise(2)
     l_more, r_more = F.size(F.array_except("l.kind", "r.kind")), F.size(F.array_except("r.kind", "l.kind"))
-    spare = F.size(F.array_except("r.unknown", lc)) - F.when(core == 1, 1).otherwise(0)
+    spare = F.size(F.array_except("r.unknown", F.transform(lc, lambda t: F.hash(t)))) - F.when(core == 1, 1).otherwise(0)
     kind = F.when((l_more == 0) & (r_more == 0), 0).when((r_more == 0) & (l_more <= spare), 1).when(r_more == 0, 2).when(l_more == 0, 3).otherwise(4)
     shared, asked = F.size(F.array_intersect("l.facts", "r.facts")), F.size("r.facts")
     silent = (F.size("l.facts") + F.size("l.words") == 0) | (F.size("r.facts") + F.size("r.words") == 0)
@@ -223,7 +222,7 @@ def link(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str, str]
         return spark.createDataFrame([], schema)
     # every right record of a class gets the class's pair
     lone = best.where(F.col("n_right") == 1).drop("n_right")
-    members = lookup(fb.select(*_hash(), F.col("id").alias("other")), lb.where(F.col("n") > 1).select(*_hash(), F.col("id").alias("right_id"), "n"), ["h1", "h2"], "n").select("right_id", "other")
+    members = lookup(fb.select(*_hash(), F.col("id").alias("other")), lb.where(F.col("n") > 1).select("h1", "h2", F.col("id").alias("right_id"), "n"), ["h1", "h2"], "n").select("right_id", "other")
     several = best.where(F.col("n_right") > 1).drop("n_right").join(members, "right_id").drop("right_id").withColumnRenamed("other", "right_id")
     return lone.unionByName(several).select("left_id", "right_id", "confidence", *LEVELS)
 
@@ -235,14 +234,16 @@ def _hash() -> list[Column]:
 
 
 def _classes(side: DataFrame) -> DataFrame:
-    """One row, the smallest id, for all records of one side with equal features, and their number n."""
-    rest = ["core", "kind", "unknown", "facts", "words", "subject", "klass"]
-    return side.groupBy(*_hash()).agg(F.min_by(F.struct("id", *rest), "id").alias("v"), F.count(F.lit(1)).alias("n")).select("v.*", "n")
+    """One row, the smallest id, for all records of one side with equal features, and their number n; all tokens but the core's as hashes."""
+    codes = lambda c: F.transform(c, lambda t: F.hash(t)).alias(c)
+    coded = F.struct("id", "core", codes("kind"), codes("unknown"), F.transform("facts", lambda t: F.xxhash64(t)).alias("facts"), codes("words"), "subject", "klass")
+    return side.groupBy(*_hash()).agg(F.min_by(coded, "id").alias("v"), F.count(F.lit(1)).alias("n")).select("v.*", "n", "h1", "h2")
 
 
 def compare(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The levels of agreement of the pairs l, r, times that share a title key or two rare description tokens."""
-    joined = pairs.join(left.select(F.col("id").alias("l"), F.struct("*").alias("lf")), "l").join(right.select(F.col("id").alias("r"), F.struct("*").alias("rf")), "r")
+    read = ["core", "kind", "facts", "words", "subject", "klass", "n"]
+    joined = pairs.join(left.select(F.col("id").alias("l"), F.struct(*read).alias("lf")), "l").join(right.select(F.col("id").alias("r"), F.struct(*read, "unknown").alias("rf")), "r")
     return cut(joined.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.greatest("times", "lf.n").alias("times"), F.col("rf.n").alias("n_right"), F.col("lf").alias("l"), F.col("rf").alias("r")).select("left_id", "right_id", "times", "n_right", *_compare()).where((F.col("core") < 2) | (F.col("shared") > 1)).drop("shared"))
 
 
