@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rajut.functions.scalars import meaningful_tokens
@@ -46,66 +46,99 @@ def glossary_pages(pages: DataFrame) -> DataFrame:
     return ends.where((F.col("_open") == 1) & (F.col("_close") == 0)).drop("_open", "_close")
 
 
-def _cleaned(pairs: list[tuple[str, str]], longest: int) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for term, text in pairs:
-        term, text = " ".join(term.split()).rstrip(":").strip(), " ".join(text.split()).lstrip(":").strip()
-        if term and text and len(term) <= longest and term.lower() != "glosarium":
-            out.setdefault(term, text)
-    return out
+#: Text of this size or more is a heading. Longest terms of the three readings.
+HEADING, TERM_LENGTHS = 13, {"bold": 60, "block": 60, "stop": 45}
+#: Running headers of the books (fixed values).
+HEADERS = ("untuk SMA", "Kelas XII")
 
 
-def glossary_entries(spans: pd.DataFrame) -> dict[str, str]:
-    """Term -> definition by the one of three readings that finds most: bold terms, blocks, or lines up to a full stop.
+def _entries(rows: DataFrame, reading: str, opens: Column, in_term: Column) -> DataFrame:
+    """book, reading, at, term, definition of rows (book, at, text): each row where ``opens`` holds begins an entry.
 
-    spans in reading order: block, line, text, bold, size.
+    Rows of an entry where ``in_term`` holds make its term, the others its definition.
     """
-    spans = spans[spans["text"].str.strip() != ""]
-    bold: list[tuple[str, str]] = []
-    term, body = "", ""
-    for text, is_bold, size in zip(spans["text"], spans["bold"], spans["size"]):
-        if is_bold and size < 13:
-            if body:
-                bold.append((term, body))
-                term, body = text, ""
-            else:
-                term = f"{term} {text}"
-        elif term and not (size >= 13 and text.strip().lower() == "glosarium"):
-            body = f"{body} {text}"
-    bold.append((term, body))
-
-    lines = [(b, " ".join(g["text"]).strip()) for (b, _), g in spans.groupby(["block", "line"], sort=True)]
-    by_block: dict[int, list[str]] = {}
-    for b, text in lines:
-        by_block.setdefault(b, []).append(text)
-    blocks = [(x[0], " ".join(x[1:])) for x in by_block.values() if len(x) > 1 and not x[0].isdigit() and x[0].lower() not in ("glosarium", "daftar pustaka")]
-
-    stops: list[tuple[str, str]] = []
-    term, body = "", ""
-    for _, text in lines:
-        if text.isdigit() or text.lower() == "glosarium" or "untuk SMA" in text or "Kelas XII" in text:
-            continue
-        if not term:
-            term = text
-            continue
-        body = f"{body} {text}"
-        if text.endswith("."):
-            stops.append((term, body))
-            term, body = "", ""
-    stops.append((term, body))
-    return max((_cleaned(bold, 60), _cleaned(blocks, 60), _cleaned(stops, 45)), key=len)
-
-
-def glossaries(spans: DataFrame) -> DataFrame:
-    """Book, term, definition of glossary pages. spans: book, page, block, line, pos, text, bold, size; a glossary is a few pages of one book."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["page", "block", "line", "pos"], kind="stable")
-        part = part.assign(block=part["page"].astype("int64") * 100_000 + part["block"])
-        found = glossary_entries(part)
-        return pd.DataFrame({"book": [part["book"].iloc[0]] * len(found), "term": list(found), "definition": list(found.values())})
-
-    return spans.groupBy("book").applyInPandas(run, "book long, term string, definition string")
+    upto = Window.partitionBy("book").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_opens", opens.cast("int")).withColumn("_entry", F.sum("_opens").over(upto)).where(F.col("_entry") > 0)
+    first = Window.partitionBy("book", "_entry").orderBy("at")
+    placed = numbered.withColumn("_n", F.row_number().over(first)).withColumn("_term", in_term)
+    side = lambda of_term: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("_term") == of_term, F.struct("at", "text")))), lambda x: x["text"]))
+    one = placed.groupBy("book", "_entry").agg(F.min("at").alias("at"), side(True).alias("term"), side(False).alias("definition"))
+    neat = lambda c, edge: F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), edge, ""))
+    tidy = one.select("book", F.lit(reading).alias("reading"), "at", neat("term", r"\s*:+$").alias("term"), neat("definition", r"^:+\s*").alias("definition"))
+    return tidy.where((F.col("term") != "") & (F.col("definition") != "") & (F.length("term") <= TERM_LENGTHS[reading]) & ~F.lower("term").isin("glosarium", "daftar pustaka"))
+
+
+def glossaries(spans: DataFrame, headers: tuple[str, ...] = HEADERS) -> DataFrame:
+    """Book, term, definition of glossary pages, whose layout is not known.
+
+    spans: book, page, block, line, pos, text, bold, size. Three readings are tried as
+    segmentations of a book: an entry begins at a bold span after one that is not bold;
+    at each block of several lines, whose first line is the term; or after a line that
+    ends with a full stop. The reading with most terms is kept (ties: in that order); a
+    term given twice keeps its first definition. Windows are per book: a glossary is a
+    few pages of one.
+    """
+    heading = (F.col("size") >= HEADING) & (F.lower(F.trim("text")) == "glosarium")
+    given = spans.where((F.trim("text") != "") & ~heading).withColumn("at", F.struct("page", "block", "line", "pos"))
+    bold = given.select("book", "at", "text", (F.col("bold") & (F.col("size") < HEADING)).alias("_bold"))
+    fresh = F.col("_bold") & ~F.coalesce(F.lag("_bold").over(Window.partitionBy("book").orderBy("at")), F.lit(False))
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    lines = given.groupBy("book", "page", "block", "line").agg(F.trim(F.concat_ws(" ", parts)).alias("text")).select("book", F.struct("page", "block", "line").alias("at"), "text")
+    block = Window.partitionBy("book", "at.page", "at.block")
+    several = lines.withColumn("_lines", F.count(F.lit(1)).over(block)).withColumn("_head", F.row_number().over(block.orderBy("at")) == 1)
+    several = several.withColumn("_name", F.max(F.when(F.col("_head"), F.col("text"))).over(block)).where((F.col("_lines") > 1) & ~F.col("_name").rlike("^[0-9]+$"))
+
+    body = lines.where(~F.col("text").rlike("^[0-9]+$") & (F.lower("text") != "glosarium"))
+    for h in headers:
+        body = body.where(~F.col("text").contains(h))
+    after_stop = F.coalesce(F.lag("text").over(Window.partitionBy("book").orderBy("at")).endswith("."), F.lit(True))
+
+    found = [_entries(bold, "bold", fresh, F.col("_bold")), _entries(several, "block", F.col("_head"), F.col("_n") == 1), _entries(body, "stop", after_stop, F.col("_n") == 1)]
+    every = None
+    for order, f in enumerate(found):
+        once = f.groupBy("book", "term").agg(F.min_by("definition", "at").alias("definition"), F.lit(order).alias("order"))
+        every = once if every is None else every.unionByName(once)
+    sizes = every.groupBy("book", "order").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy("book").agg(F.max_by("order", F.struct("n", -F.col("order"))).alias("order"))
+    return every.join(best, ["book", "order"]).select("book", "term", "definition")
+
+
+def sentence_chunks(df: DataFrame, id_col: str, text_col: str, limit: int = 800, overlap: int = 200) -> DataFrame:
+    """text_id, chunk_no (from 0), n_words, chunk: whole sentences up to ``limit`` words, repeating up to ``overlap`` words.
+
+    A sentence ends at a full stop, question or exclamation mark before white space;
+    one of more than ``limit`` words is cut into parts of ``limit`` words first. Each
+    chunk takes as many sentences as fit; the next begins as far back as the overlap
+    and room for one more sentence allow. Only word counts go to Python. Texts that
+    are null or blank give nothing; an id given twice counts once.
+    """
+    base = df.select(F.col(f"`{id_col}`").alias("text_id"), F.col(f"`{text_col}`").alias("body")).where(F.col("text_id").isNotNull()).dropDuplicates(["text_id"])
+    sentences = F.split(F.regexp_replace(F.trim(F.regexp_replace("body", r"\s+", " ")), r"([.?!]) ", "$1\n"), "\n")
+    piece = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(s, " ")) - 1) / limit).cast("int")), lambda k: F.array_join(F.slice(F.split(s, " "), k * limit + 1, limit), " "))
+    cut_up = base.withColumn("s", F.filter(F.flatten(F.transform(sentences, piece)), lambda x: x != "")).where(F.size("s") > 0)
+    sized = cut_up.select("text_id", "s", F.transform("s", lambda x: F.size(F.split(x, " "))).alias("sizes"))
+    id_type = base.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, n, s[a:z], int(sum(sizes[a:z]))) for i, s, sizes in zip(b["text_id"], b["s"], b["sizes"]) for n, (a, z) in enumerate(packed(sizes, limit, overlap))]
+            yield pd.DataFrame(rows, columns=["text_id", "chunk_no", "held", "n_words"])
+
+    return sized.mapInPandas(run, f"text_id {id_type}, chunk_no int, held array<string>, n_words int").select("text_id", "chunk_no", "n_words", F.array_join("held", " ").alias("chunk"))
+
+
+def packed(sizes, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of items: each as long as fits in ``limit``, the next repeating at most ``overlap`` of the one before."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    n, a, out = len(sizes), 0, []
+    while True:
+        z = int(np.searchsorted(upto, upto[a] + limit, "right")) - 1
+        out.append((a, z))
+        if z == n:
+            return out
+        # as early as the overlap and the next item allow, but later than this start
+        a = max(a + 1, int(np.searchsorted(upto, max(upto[z] - overlap, upto[z + 1] - limit), "left")))
 
 
 def flat_context(books: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def with_retry(client: Callable, attempts: int = 5, least: float = 10.0, most: f
     return call
 
 
-def prompt_kind(types: tuple[str, ...]) -> str:
-    """Which prompt a vocabulary asks for."""
-    return "cross_book" if types and types[0].startswith(vocab.CROSS_PREFIX + "_") else "concept"
+def prompt_kind(types: Column) -> Column:
+    """Which prompt a vocabulary, an array of types, asks for: its first type says so."""
+    return F.when(F.get(types, F.lit(0)).startswith(vocab.CROSS_PREFIX + "_"), "cross_book").otherwise("concept")
 
 
 def pair_prompt(a: str = "a", b: str = "b") -> Column:

@@ -189,7 +189,14 @@ def _neighbourhood(s, d):
 
 
 _add("s17_subject_extract", _neighbourhood, GRAPH + ", b AS (SELECT src AS name, tgt AS neighbour FROM linked WHERE src_grade = 'Kimia Kelas X' AND tgt_grade = 'Kimia Kelas X' UNION SELECT tgt, src FROM linked WHERE src_grade = 'Kimia Kelas X' AND tgt_grade = 'Kimia Kelas X') SELECT n.name, b.neighbour FROM nodes n LEFT JOIN b ON b.name = n.name WHERE n.grade = 'Kimia Kelas X'")
-_add("s18_labels", lambda s, d: concept_nodes(s, d).select("label").distinct(), "SELECT 'Concept' AS label")
+def _labels(s, d):
+    """Nodes of every label with their number: concepts, and the documents and chapters they are in."""
+    c = concept_nodes(s, d)
+    shelf = c.select(F.explode(F.array(F.struct(F.lit("Document").alias("label"), F.col("grade").alias("a"), F.lit("").alias("b")), F.struct(F.lit("Bab").alias("label"), F.col("grade").alias("a"), F.col("chapter").alias("b")))).alias("v")).select("v.*").where(F.coalesce("b", F.lit("-")) != "-").distinct()
+    return c.select("label").unionByName(shelf.select("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("s18_labels", _labels, GRAPH + "SELECT 'Concept' AS label, count(*) AS n FROM nodes HAVING count(*) > 0 UNION ALL SELECT 'Document', count(DISTINCT grade) FROM nodes HAVING count(*) > 0 UNION ALL SELECT 'Bab', count(DISTINCT (grade, chapter)) FROM nodes WHERE chapter IS NOT NULL HAVING count(*) > 0")
 _add("u1_union_names", lambda s, d: table(s, d, "konsep").select(alike_key("name").alias("name")).union(table(s, d, "subkonsep").select(alike_key("name"))).distinct(), "SELECT lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) AS name FROM konsep UNION SELECT lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) FROM subkonsep")
 _add("u2_bucket_concat", lambda s, d: table(s, d, "triples").dropDuplicates(["triple_id"]).select("triple_id", "source").unionByName(relations(s, d).select(F.col("rel_id").alias("triple_id"), "provenance"), allowMissingColumns=True), "SELECT DISTINCT triple_id, source, NULL AS provenance, 't' AS z FROM triples UNION ALL SELECT DISTINCT rel_id, NULL, provenance, 'r' FROM relations")
 ORACLE["u2_bucket_concat"] = "SELECT triple_id, source, CAST(provenance AS VARCHAR) AS provenance FROM (" + ORACLE["u2_bucket_concat"] + ")"

@@ -125,7 +125,14 @@ _add("x17_pair_text", _rel(lambda: dict(pair=x.pair_text(F.coalesce("src_name",
 _add("x18_relation_key", _rel(lambda: dict(key=x.relation_key("src_grade", "src_name", "rel_type", "tgt_grade", "target"))), _rel_sql(key="coalesce(src_grade, '') || '|' || coalesce(src_name, '') || '|' || coalesce(rel_type, '') || '|' || coalesce(tgt_grade, '') || '|' || coalesce(target, '')"))
 _dims = "CASE " + " ".join(f"WHEN contains(lower(coalesce(embedding_model, '')), '{k}') THEN {v}" for k, v in vocab.EMBEDDING_DIMS.items()) + f" ELSE {vocab.DEFAULT_DIM} END"
 _add("x19_embedding_dims", lambda s, d: table(s, d, "concepts").groupBy("embedding_model").agg(F.first(x.embedding_dims("embedding_model")).alias("dims")), f"SELECT DISTINCT embedding_model, CAST({_dims} AS INTEGER) AS dims FROM concepts")
-_add("x20_unfenced_json", lambda s, d: table(s, d, "books").select("book_id", F.from_json(x.unfenced(F.concat(F.lit("```json\n"), F.to_json(F.struct("name")), F.lit("\n```"))), "name string")["name"].alias("name")), "SELECT book_id, name FROM books")
+def _unfenced(s, d):
+    """Records in fences with and without a language, or bare."""
+    fenced = F.when(F.col("sub_id") % 3 == 0, F.concat(F.lit("```json\n"), "record", F.lit("\n```"))).when(F.col("sub_id") % 3 == 1, F.concat(F.lit("```\n"), "record", F.lit("\n```  "))).otherwise(F.col("record"))
+    found = F.from_json(x.unfenced(fenced), "name string, description string, formula array<string>")
+    return table(s, d, "subkonsep").dropDuplicates(["sub_id"]).select("sub_id", found.alias("j")).select("sub_id", "j.name", "j.description", F.coalesce(F.size("j.formula"), F.lit(-1)).cast("bigint").alias("n_formula"))
+
+
+_add("x20_unfenced_json", _unfenced, """SELECT sub_id, j.name AS name, j.description AS description, coalesce(len(j.formula), -1) AS n_formula FROM (SELECT DISTINCT sub_id, from_json(record, '{"name":"VARCHAR","description":"VARCHAR","formula":["VARCHAR"]}') AS j FROM subkonsep)""")
 _add("x21_dates", _rel(lambda: dict(day=F.date_format("created_at", "yyyy-MM-dd"), ms=F.unix_millis("created_at"))), _rel_sql(day="strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d')", ms="epoch_us(created_at) // 1000"))
 _add("x22_ratio", lambda s, d: relations(s, d).groupBy("book_id").agg(x.ratio(F.sum(F.when(F.col("status") == "wrong", 1).otherwise(0)), F.count(F.lit(1)), 6).alias("wrong_rate")), "SELECT book_id, round(CAST(count(DISTINCT CASE WHEN status = 'wrong' THEN rel_id END) AS DOUBLE) / count(DISTINCT rel_id), 6) AS wrong_rate FROM relations GROUP BY book_id")
 _add("x23_list_filters", lambda s, d: table(s, d, "konsep").dropDuplicates(["konsep_id"]).select("konsep_id", F.greatest(F.coalesce(F.size(F.filter("relations", lambda r: r["rel_type"].startswith("ME"))), F.lit(0)), F.lit(0)).cast("bigint").alias("n_me"), F.coalesce(F.trim("sub_bab"), F.lit("-")).alias("subtopic")), "SELECT konsep_id, CAST(coalesce(len(list_filter(any_value(relations), lambda r: starts_with(r.rel_type, 'ME'))), 0) AS BIGINT) AS n_me, coalesce(trim(any_value(sub_bab)), '-') AS subtopic FROM konsep GROUP BY konsep_id")

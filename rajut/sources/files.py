@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,24 +58,41 @@ def survey_answers(doc: DataFrame) -> DataFrame:
     return doc.select(F.explode("answers").alias("id", "a")).select("id", "a.*")
 
 
-def discover_courses(names: list[str], experts: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """(slug, subject) of gold files without 'mock' or '(' in their name for which both expert files exist."""
-    out = []
-    for name in sorted(names):
-        if name.endswith("_gold_standard.json") and "mock" not in name and "(" not in name:
-            slug = name.removesuffix("_gold_standard.json")
-            if len(experts.get(slug, [])) >= 2:
-                out.append((slug, slug.replace("_", " ").replace("-", " ").title()))
-    return out
+def put(spark: SparkSession, path: str, text: str, changed_ms: int | None = None) -> None:
+    """One small text file, with a given time of change if wanted; parent folders are made."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if changed_ms is not None:
+        fs.setTimes(target, changed_ms, -1)
+
+
+def listed(spark: SparkSession, *globs: str) -> DataFrame:
+    """path, name and modificationTime of the files of some globs; their content is not read."""
+    every = None
+    for g in globs:
+        one = spark.read.format("binaryFile").load(g).select("path", "modificationTime")
+        every = one if every is None else every.unionByName(one)
+    return every.withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+GOLD = "_gold_standard.json"
+
+
+def discover_courses(files: DataFrame, experts: tuple[str, ...] = ("_expert_1.json", "_expert_2.json")) -> DataFrame:
+    """Slug, subject of gold files without 'mock' or '(' in their name for which the files of all experts exist. files: name."""
+    slug = lambda end: F.substring("name", F.lit(1), F.length("name") - len(end))
+    gold = files.where(F.col("name").endswith(GOLD) & ~F.col("name").contains("mock") & ~F.col("name").contains("(")).select(slug(GOLD).alias("slug")).distinct()
+    for e in experts:
+        gold = gold.join(files.where(F.col("name").endswith(e)).select(slug(e).alias("slug")), "slug", "left_semi")
+    return gold.select("slug", F.initcap(F.regexp_replace("slug", "[_-]", " ")).alias("subject"))
 
 
 def latest_file(spark: SparkSession, *globs: str) -> DataFrame:
-    """Path and time of the file changed last among some globs."""
-    files = [spark.read.format("binaryFile").load(g).select("path", "modificationTime") for g in globs]
-    every = files[0]
-    for f in files[1:]:
-        every = every.unionByName(f)
-    return every.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("changed_at"))
+    """Path and time of the file changed last among some globs; of files changed at once the last path."""
+    return listed(spark, *globs).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("changed_at"))
 
 
 def read_graphs(spark: SparkSession, path: str | list[str], suffix: str = ".consensus.json") -> DataFrame:
@@ -99,6 +118,19 @@ def write_documents(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def export_path(folder: str, grade: str, at: datetime) -> str:
+    """Where a book's graph made at a time is exported."""
+    slug = re.sub(r"[^a-z0-9]+", "_", grade.lower()).strip("_")
+    return f"{folder.rstrip('/')}/{slug}_{at:%Y%m%d_%H%M%S}.json"
+
+
+def export_book(books: DataFrame, folder: str, grade: str, at: datetime) -> str:
+    """The nested graph of one grade under its timestamped name, which must not exist yet; the path."""
+    path = export_path(folder, grade, at)
+    write_documents(books.where(F.col("grade") == grade), path)
+    return path
+
+
 def audit_dump(edges: DataFrame, path: str | None = None, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edge objects, type histogram by falling count) of classified edges; none and blank types are left out."""
     kept = edges.where(~F.coalesce("rel_type", F.lit("")).isin("", "none"))
