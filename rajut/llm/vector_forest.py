@@ -13,8 +13,10 @@ vectors against the queries that opened it; leaves of more than ``block`` vector
 holds an unbounded leaf and no candidate is lost. Equal vectors are collapsed to
 one representative before the search and expanded after it.
 
-Bounds: the fit reads at most ``sample_rows`` vectors; the forest has at most
-2 * trees * sample_rows / MIN_LEAF_SAMPLE nodes and is what is broadcast.
+Bounds: the fit reads a sample that grows with the collection, so that leaves keep
+their size, up to ``sample_bytes`` of vectors; the forest, which is broadcast, has at
+most trees / MIN_LEAF_SAMPLE times that. Beyond the bound (256 MB are a million
+vectors of 64 numbers, enough for 75 million) leaves grow instead.
 """
 
 from __future__ import annotations
@@ -134,8 +136,7 @@ def assign(f: Forest, x: np.ndarray) -> np.ndarray:
 def search_leaves(f: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) -> tuple[np.ndarray, np.ndarray]:
     """The leaves that each vector opens, best first through one queue: (row, leaf) pairs."""
     n, trees = len(x), len(f.roots)
-    margins = x @ f.planes.T + f.offsets if len(f.planes) else np.zeros((n, 0), np.float32)
-    width = 256
+    width = 64
     score = np.full((n, width), -np.inf, np.float32)
     node = np.zeros((n, width), np.int32)
     score[:, :trees] = np.inf
@@ -156,7 +157,8 @@ def search_leaves(f: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) ->
         got[hit] += sizes[leaf]
         score[hit, best[is_leaf]] = -np.inf
         go, where, split = live[~is_leaf], best[~is_leaf], at[~is_leaf]
-        m, d = margins[go, split], worth[~is_leaf]
+        # only the planes of opened nodes are looked at
+        m, d = np.einsum("ij,ij->i", x[go], f.planes[split]) + f.offsets[split], worth[~is_leaf]
         if len(go) and used[go].max() >= width:
             score = np.concatenate([score, np.full_like(score, -np.inf)], 1)
             node = np.concatenate([node, np.zeros_like(node)], 1)
@@ -224,11 +226,12 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
         yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 8, leaf_size: int = 400, search_k: int = 5_000, sample_rows: int = 40_000, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 6, leaf_size: int = 600, search_k: int = 5_000, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
-    finite and not all zero). An id given twice counts once. Vectors of equal
+    finite and not all zero). An id given twice counts once, with one of its vectors
+    if they differ. Vectors of equal
     direction are each other's nearest with similarity 1; ties rank by the smaller id. An empty
     table gives an empty result.
     """
@@ -239,16 +242,22 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
             if len(b):
                 yield pd.DataFrame({"id": b["id"], "vec": _pack(unit(np.stack(b["vec"].to_numpy())))})
 
-    # unit vectors in single precision; from here on equal vectors are those of equal direction
-    base = vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInPandas(packed, "id long, vec binary").dropDuplicates(["id"])
-    reps = cut(base.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    # unit vectors in single precision; from here on equal vectors are those of equal direction, told by 128 bits
+    hashes = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(seed), "vec").alias("h2")]
+    base = cut(vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInPandas(packed, "id long, vec binary").select("id", *hashes, "vec"))
+    ids = base.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*")
+    groups = cut(ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    # the vector of each representative: the only shuffle of all vectors before the search
+    reps = cut(base.join(groups.select("h1", "h2", F.col("rep").alias("id")), ["id", "h1", "h2"]).groupBy("id").agg(F.first("vec").alias("vec")).select(F.col("id").alias("rep"), "vec"))
     total = reps.count()
     schema = "id long, other long, sim double, rank int"
     if total == 0:
         return spark.createDataFrame([], schema)
-    # about sample_rows rows, the same ones whatever the partitioning
-    parts_of = 1 << 20
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(parts_of)) < int(parts_of * min(1.0, sample_rows / total))
+    # a fixed number of rows, or enough for leaves of leaf_size; the same ones whatever the partitioning
+    width = max(1, len(reps.first()["vec"]))
+    wanted = min(max(sample_rows, 2 * MIN_LEAF_SAMPLE * total // leaf_size), max(sample_rows, sample_bytes // width))
+    parts_of = 1 << 30
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(parts_of)) < int(parts_of * min(1.0, wanted / total))
     rows = reps.where(drawn).select(F.col("rep").alias("id"), "vec").toPandas().sort_values("id")["vec"]
     forest = fit_forest(_stack(rows).astype(np.float64) if len(rows) else np.empty((0, 1)), total, trees, leaf_size, seed)
     shared = spark.sparkContext.broadcast(forest)
@@ -297,10 +306,10 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.groupBy("id", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     top = cut(top.select("id", "other", "sim", F.col("rank").cast("int").alias("rank")))
-    several = reps.where(F.col("n") > 1)
+    several = groups.where(F.col("n") > 1)
     if several.isEmpty():
         return top
-    members = cut(lookup(base, several, ["vec"], "n").select("rep", "id", "n"))
+    members = cut(lookup(ids, several, ["h1", "h2"], "n").select("rep", "id", "n"))
     return _expand(members, top, k)
 
 
