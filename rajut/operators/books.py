@@ -155,7 +155,7 @@ def running_triples(konsep: DataFrame) -> DataFrame:
     return flat.select("book_id", (F.row_number().over(w) - 1).alias("triple_no"), "konsep_id", "pos", F.col("name").alias("subject"), F.col("r.rel_type").alias("relation"), F.col("r.target").alias("target"))
 
 
-def token_links(concepts: DataFrame, least: int = 2, most: int = 2, most_holders: int = 200) -> DataFrame:
+def token_links(concepts: DataFrame, least: int = 2, most: int = 2, most_holders: int = 200, asked: Column | None = None) -> DataFrame:
     """Links between concepts of different books that share at least ``least`` meaningful tokens, ``most`` per concept.
 
     concepts: id, book, text; one row an id. All tokens count. Pairs that share a
@@ -163,24 +163,25 @@ def token_links(concepts: DataFrame, least: int = 2, most: int = 2, most_holders
     full. Any other pair shares commoner tokens only, so it is among the links
     only if it is among the best by common tokens, which are found for each
     different set of them (``_common_links``). ``most_holders`` sets the cost, not
-    the result.
+    the result. ``asked`` states which concepts ask (all by default); all answer.
     """
+    asked = F.lit(True) if asked is None else asked
     toks = cut(concepts.select("id", "book", meaningful_tokens("text").alias("tokens")).where(F.col("book").isNotNull()))
     flat = toks.select("id", "book", F.explode("tokens").alias("t"))
     counts = cut(flat.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1))
     rare = flat.join(counts.where(F.col("c") <= most_holders), "t").drop("c")
-    a, b = rare.select("t", F.col("id").alias("a"), F.col("book").alias("ba")), rare.select("t", F.col("id").alias("b"), F.col("book").alias("bb"))
+    a, b = rare.where(asked).select("t", F.col("id").alias("a"), F.col("book").alias("ba")), rare.select("t", F.col("id").alias("b"), F.col("book").alias("bb"))
     met = a.join(b, "t").where((F.col("ba") != F.col("bb")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     full = met.join(toks.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(toks.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     scored = full.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n_shared"))
     common = flat.join(counts.where(F.col("c") > most_holders), "t").groupBy("id", "book").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
-    both = scored.unionByName(_common_links(common, least, most)).where(F.col("n_shared") >= least)
+    both = scored.unionByName(_common_links(common, least, most, asked)).where(F.col("n_shared") >= least)
     once = both.groupBy("a", "b").agg(F.max("n_shared").alias("n_shared"))
     w = Window.partitionBy("a").orderBy(F.desc("n_shared"), "b")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def _common_links(held: DataFrame, least: int, most: int) -> DataFrame:
+def _common_links(held: DataFrame, least: int, most: int, asked: Column) -> DataFrame:
     """a, b, n_shared: for each concept the ``most`` of other books that share the most of ``tokens``, ties to the smaller id.
 
     held: id, book, tokens. Concepts of one book with equal tokens are asked once,
@@ -188,16 +189,16 @@ def _common_links(held: DataFrame, least: int, most: int) -> DataFrame:
     book answer. Askers and answers are compared exactly, block by block.
     """
     same = Window.partitionBy("tokens", "book")
-    ranked = held.where(F.size("tokens") >= least).withColumn("asker", F.min("id").over(same)).withColumn("_n", F.row_number().over(same.orderBy("id")))
+    ranked = held.where(F.size("tokens") >= least).withColumn("asker", F.min("id").over(same)).withColumn("_n", F.row_number().over(same.orderBy("id"))).withColumn("_asks", F.max(asked).over(same))
     ranked = cut(ranked)
     answers = ranked.where(F.col("_n") <= most).withColumn("_n", F.row_number().over(Window.partitionBy("tokens").orderBy("id"))).where(F.col("_n") <= 2 * most)
-    asked, given = (_blocks(x) for x in (ranked.where(F.col("_n") == 1), answers))
-    pairs = asked.select(F.col("rows").alias("q")).crossJoin(given.select(F.col("rows").alias("r")))
+    askers, given = (_blocks(x) for x in (ranked.where((F.col("_n") == 1) & F.col("_asks")), answers))
+    pairs = askers.select(F.col("rows").alias("q")).crossJoin(given.select(F.col("rows").alias("r")))
     id_type = held.schema["id"].dataType.simpleString()
     best = pairs.mapInArrow(_best_of_blocks(least, most), f"asker {id_type}, b {id_type}, n_shared int")
     w = Window.partitionBy("asker").orderBy(F.desc("n_shared"), "b")
     top = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
-    return ranked.select(F.col("id").alias("a"), "asker").join(top, "asker").select("a", "b", "n_shared")
+    return ranked.where(asked).select(F.col("id").alias("a"), "asker").join(top, "asker").select("a", "b", "n_shared")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:

@@ -116,10 +116,9 @@ def _pages(s, d):
 
 
 _add("j16_page_chapter", lambda s, d: books.page_chapter(_pages(s, d), books.chapter_order(_chapters(s, d))), _CHAP + ", p AS (SELECT DISTINCT book_id AS book, text_id AS page_id, CAST(page_label AS INTEGER) AS page FROM book_texts WHERE regexp_full_match(page_label, '[0-9]+')) SELECT p.book, p.page_id, p.page, (SELECT arg_max(w.chapter, (w.page_start, w.chapter)) FROM w WHERE w.book = p.book AND w.page_start <= p.page) AS chapter FROM p")
-_add("j17_token_links", lambda s, d: books.token_links(table(s, d, "konsep").dropDuplicates(["konsep_id"]).select(F.col("konsep_id").alias("id"), F.col("book_id").alias("book"), F.concat_ws(" ", "name", "description").alias("text"))), f"""WITH k AS (SELECT konsep_id AS id, any_value(book_id) AS book, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', any_value(name), any_value(description))), '[a-z0-9]+'), lambda t: length(t) >= 4 AND t NOT IN ({sql_list(vocab.TOKEN_STOPWORDS)}))) AS toks FROM konsep GROUP BY 1),
-f AS (SELECT id, book, unnest(toks) AS t FROM k), c AS (SELECT t FROM f GROUP BY t HAVING count(*) <= 200),
-m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON a.t = b.t AND a.book <> b.book AND a.id <> b.id JOIN c ON c.t = a.t),
-s AS (SELECT m.a, m.b, len(list_intersect(x.toks, y.toks)) AS n_shared FROM m JOIN k x ON x.id = m.a JOIN k y ON y.id = m.b),
+_add("j17_token_links", lambda s, d: books.token_links(table(s, d, "konsep").dropDuplicates(["konsep_id"]).select(F.col("konsep_id").alias("id"), F.col("book_id").alias("book"), F.concat_ws(" ", "name", "description").alias("text")), asked=F.col("id") % 50 == 0), f"""WITH k AS (SELECT konsep_id AS id, any_value(book_id) AS book, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', any_value(name), any_value(description))), '[a-z0-9]+'), lambda t: length(t) >= 4 AND t NOT IN ({sql_list(vocab.TOKEN_STOPWORDS)}))) AS toks FROM konsep GROUP BY 1),
+f AS (SELECT id, book, unnest(toks) AS t FROM k),
+s AS (SELECT a.id AS a, b.id AS b, count(*) AS n_shared FROM f a JOIN f b ON a.t = b.t AND a.book <> b.book AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n_shared DESC, b) AS rank FROM s WHERE n_shared >= 2) SELECT a, b, n_shared, rank FROM r WHERE rank <= 2""")
 _add("j19_without_children", lambda s, d: joins.without_children(table(s, d, "konsep").select("konsep_id").distinct(), table(s, d, "subkonsep").where(F.col("konsep_id").isNotNull()), ["konsep_id"]), "SELECT DISTINCT konsep_id FROM konsep WHERE konsep_id NOT IN (SELECT konsep_id FROM subkonsep WHERE konsep_id IS NOT NULL)")
 _add("j20_shared_targets", lambda s, d: _shared(s, d))

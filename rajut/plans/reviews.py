@@ -149,10 +149,10 @@ def _added_by(s, d):
 def _review(s, d):
     sub = submissions(s, d)
     by = lambda odd: sub.where((F.regexp_extract("reviewer", "([0-9]+)", 1).cast("int") % 2 == 1) == odd).groupBy("batch_id").agg(F.min_by(F.struct("ratings", "comments"), "reviewer").alias("v")).select("batch_id", "v.*")
-    return upsert.review(by(F.lit(True)), by(F.lit(False)), "batch_id").select("batch_id", F.size("ratings").cast("bigint").alias("n_ratings"), F.col("n_reviewers").cast("bigint").alias("n_filled"))
+    return upsert.review(by(F.lit(True)), by(F.lit(False)), "batch_id").select("batch_id", F.explode("ratings").alias("triple", "rating"), "comments", F.col("n_reviewers").cast("bigint").alias("n_filled")).select("batch_id", "triple", "rating", F.try_element_at("comments", "triple").alias("comment"), "n_filled")
 
 
-_add("m8_review_writeback", _review, _SUBS + f", s AS (SELECT *, CAST(regexp_extract(reviewer, '([0-9]+)', 1) AS INTEGER) % 2 = 1 AS odd FROM subs), o AS (SELECT batch_id, odd, arg_min(ratings, reviewer) AS ratings FROM s GROUP BY ALL), e AS (SELECT batch_id, odd, x.key AS k, x.value AS v FROM (SELECT batch_id, odd, unnest(map_entries(ratings)) AS x FROM o)), m AS (SELECT batch_id, k, coalesce(max(CASE WHEN NOT odd THEN v END), max(CASE WHEN odd THEN v END)) AS v FROM e WHERE batch_id IN (SELECT batch_id FROM o WHERE odd) GROUP BY ALL) SELECT batch_id, count(*) AS n_ratings, count(CASE WHEN {sql_strip('coalesce(v, chr(32))')} <> '' THEN 1 END) AS n_filled FROM m GROUP BY batch_id")
+_add("m8_review_writeback", _review, _SUBS + f", s AS (SELECT *, CAST(regexp_extract(reviewer, '([0-9]+)', 1) AS INTEGER) % 2 = 1 AS odd FROM subs), o AS (SELECT batch_id, odd, v.r AS ratings, v.c AS comments FROM (SELECT batch_id, odd, arg_min({{'r': ratings, 'c': comments}}, reviewer) AS v FROM s GROUP BY ALL)), e AS (SELECT batch_id, odd, x.key AS k, x.value AS v FROM (SELECT batch_id, odd, unnest(map_entries(ratings)) AS x FROM o)), m AS (SELECT batch_id, k, coalesce(max(CASE WHEN NOT odd THEN v END), max(CASE WHEN odd THEN v END)) AS v FROM e WHERE batch_id IN (SELECT batch_id FROM o WHERE odd) GROUP BY ALL), d AS (SELECT batch_id, odd, x.key AS k, x.value AS v FROM (SELECT batch_id, odd, unnest(map_entries(comments)) AS x FROM o)), c AS (SELECT batch_id, k, max(CASE WHEN odd THEN v END) AS a, max(CASE WHEN NOT odd THEN v END) AS b FROM d GROUP BY ALL) SELECT m.batch_id, m.k AS triple, m.v AS rating, CASE WHEN {sql_strip('a')} <> '' THEN a ELSE coalesce(b, a) END AS comment, count(CASE WHEN {sql_strip('coalesce(v, chr(32))')} <> '' THEN 1 END) OVER (PARTITION BY m.batch_id) AS n_filled FROM m LEFT JOIN c ON c.batch_id = m.batch_id AND c.k = m.k")
 
 
 def _add_missing(s, d):

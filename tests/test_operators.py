@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -272,3 +273,31 @@ def test_glossary_takes_the_reading_with_most_terms():
     plain = pd.DataFrame([(0, i, t, False, 10.0) for i, t in enumerate(["atom", "bagian", "kecil.", "12", "gaya", "tarikan."])], columns=["block", "line", "text", "bold", "size"])
     assert glossary_entries(plain) == {"atom": "bagian kecil.", "gaya": "tarikan."}
     assert glossary_entries(plain.iloc[:0]) == {}
+
+
+def _cloud(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 20, dim))
+    return [(i, (centres[i % len(centres)] + 0.4 * rng.normal(size=dim)).tolist()) for i in range(n)]
+
+
+def test_index_recall_on_more_rows_than_it_searches(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 150)  # cells are searched in blocks too
+    rows = _cloud(4000, 24, 3)
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {(r["q"], r["id"]) for r in vector.indexed_knn(df, df, 5, search=900, cell_rows=200).collect()}
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(i, int(j)) for i, near in enumerate(np.argsort(-(u @ u.T), axis=1)[:, :5]) for j in near}
+    assert len(got & want) >= 0.98 * len(want) and len(got) == len(want)
+
+
+def test_index_with_a_third_of_equal_vectors(spark):
+    rows = _cloud(600, 8, 4) + [(1000 + i, [1.0] * 8) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = vector.indexed_knn(df, df, 3, search=200, cell_rows=50)
+    of = {(r["q"], r["rank"]): r["id"] for r in got.where("q >= 1000").collect()}
+    assert {k: v for k, v in of.items()} == {(1000 + i, n): 999 + n for i in range(300) for n in (1, 2, 3)}
+    exact = {tuple(r) for r in vector.block_knn(df, df, 3).select("q", "id", "rank").collect()}
+    assert {tuple(r) for r in vector.indexed_knn(df, df, 3, search=5000).select("q", "id", "rank").collect()} == exact
+    assert vector.indexed_knn(df, df.limit(0), 3).count() == 0
