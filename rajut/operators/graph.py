@@ -7,6 +7,7 @@ cut their lineage in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import pandas as pd
@@ -110,6 +111,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     root = e.groupBy("u").agg(F.min("v").alias("root"))
     keyed = nodes.select("grade", "name", key.alias("u"))
     return keyed.join(root, "u", "left").select("grade", "name", F.coalesce("root", "u").alias("component"))
@@ -193,25 +196,29 @@ def between_grades(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src_grade") != F.col("tgt_grade")).agg(F.count(F.lit(1)).alias("n_cross"))
 
 
-#: Up to this many edges communities are found by one task; beyond it by label propagation.
+#: Graphs are contracted by moves made in parallel until this many edges are left, which one task finishes.
 LOCAL_EDGES = 1_000_000
+#: Rounds of parallel moves of one level, and levels at most (each at least halves what a graph with communities holds).
+MOVE_ROUNDS, MOST_LEVELS = 8, 40
 
+Weighted = list[tuple[str, str, float]]
 
-def louvain_local(pairs: list[tuple[str, str]], most_levels: int = 20) -> dict[str, str]:
-    """Deterministic Louvain on an undirected simple graph: node -> least node of its community."""
-    names = sorted({x for p in pairs for x in p})
+
+def louvain_local(edges: Weighted, degrees: dict[str, float], most_levels: int = 20) -> dict[str, str]:
+    """Deterministic Louvain on an undirected graph without loops: node -> least node of its community.
+
+    ``degrees`` may exceed the sum of a node's edges by what a contracted node holds inside.
+    """
+    names = sorted(degrees)
     index = {x: i for i, x in enumerate(names)}
     near: list[dict[int, float]] = [{} for _ in names]
-    for a, b in pairs:
-        near[index[a]][index[b]] = near[index[b]][index[a]] = 1.0
+    for a, b, w in edges:
+        near[index[a]][index[b]] = near[index[b]][index[a]] = w
     member = list(range(len(names)))
-    loops = [0.0] * len(names)
-    for _ in range(most_levels):
+    degree = [degrees[x] for x in names]
+    two_m = sum(degree)
+    for _ in range(most_levels if two_m else 0):
         n = len(near)
-        degree = [sum(x.values()) + 2 * s for x, s in zip(near, loops)]
-        two_m = sum(degree)
-        if not two_m:
-            break
         com, total, moved = list(range(n)), degree[:], False
         for _ in range(50):
             changed = False
@@ -235,36 +242,30 @@ def louvain_local(pairs: list[tuple[str, str]], most_levels: int = 20) -> dict[s
             break
         label = {c: k for k, c in enumerate(sorted(set(com)))}
         merged: list[dict[int, float]] = [{} for _ in label]
-        inner = [0.0] * len(label)
+        sums = [0.0] * len(label)
         for i in range(n):
             a = label[com[i]]
-            inner[a] += loops[i]
+            sums[a] += degree[i]
             for j, w in near[i].items():
                 b = label[com[j]]
-                if a == b:
-                    inner[a] += w / 2
-                else:
+                if a != b:
                     merged[a][b] = merged[a].get(b, 0.0) + w
         member = [label[com[m]] for m in member]
-        near, loops = merged, inner
+        near, degree = merged, sums
     least: dict[int, str] = {}
     for x, m in zip(names, member):
         least[m] = min(least.get(m, x), x)
     return {x: least[m] for x, m in zip(names, member)}
 
 
-def greedy_local(pairs: list[tuple[str, str]]) -> dict[str, str]:
+def greedy_local(edges: Weighted, degrees: dict[str, float]) -> dict[str, str]:
     """Greedy agglomeration by modularity gain: node -> least node of its community."""
-    m = len(pairs)
-    degree: dict[str, int] = {}
-    link: dict[str, dict[str, int]] = {}
-    for a, b in pairs:
-        for x, y in ((a, b), (b, a)):
-            degree[x] = degree.get(x, 0) + 1
-            link.setdefault(x, {})[y] = 1
+    degree = dict(degrees)
+    m = sum(degree.values()) / 2
+    link: dict[str, dict[str, float]] = {x: {} for x in degree}
+    for a, b, w in edges:
+        link[a][b] = link[b][a] = w
     group = {x: [x] for x in degree}
-    import heapq
-
     gain = lambda a, b: link[a][b] / m - degree[a] * degree[b] / (2.0 * m * m)
     heap = [(-gain(a, b), a, b) for a in link for b in link[a] if a < b]
     heapq.heapify(heap)
@@ -289,41 +290,87 @@ def greedy_local(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return {x: min(g) for g in group.values() for x in g}
 
 
-def propagated(simple: DataFrame, rounds: int = 10) -> DataFrame:
-    """u, community by synchronous label propagation with ties to the least label; for graphs of any size."""
-    both = cut(simple.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(simple.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    labels = both.select("u").distinct().withColumn("community", F.col("u"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("u").alias("v"), "community"), "v").groupBy("u", "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best")).select("u", "best.community"))
-    return labels
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
+
+
+def _moves(nodes: DataFrame, edges: DataFrame, two_m: float) -> DataFrame:
+    """u, k, com: a level of Louvain in parallel: each round half of the nodes, by hash, may move to the best community next to them."""
+    both = _both_ways(edges)
+    state = nodes.withColumn("com", F.col("u"))
+    for r in range(MOVE_ROUNDS):
+        totals = state.groupBy("com").agg(F.sum("k").alias("total"))
+        links = both.join(state.select(F.col("u").alias("v"), F.col("com").alias("c")), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        offers = links.join(totals.select(F.col("com").alias("c"), F.col("total").alias("there")), "c").join(state.join(totals, "com"), "u")
+        without_me = F.col("there") - F.when(F.col("c") == F.col("com"), F.col("k")).otherwise(0.0)
+        offers = offers.withColumn("gain", F.col("w") - without_me * F.col("k") / two_m)
+        stay = F.coalesce(F.max(F.when(F.col("c") == F.col("com"), F.col("gain"))), F.max(-(F.col("total") - F.col("k")) * F.col("k") / two_m))
+        best = offers.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), stay.alias("stay"))
+        go = (-F.col("best.loss") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0)
+        state = cut(state.join(best, "u", "left").select("u", "k", F.when(go, F.col("best.c")).otherwise(F.col("com")).alias("com"), F.coalesce(go, F.lit(False)).alias("went")))
+        if r and state.where("went").isEmpty():
+            break
+        state = state.drop("went")
+    return state.select("u", "k", "com")
+
+
+def _matches(nodes: DataFrame, edges: DataFrame, two_m: float) -> DataFrame:
+    """u, k, com: a round of greedy agglomeration in parallel: nodes that are each other's best merge."""
+    both = _both_ways(edges)
+    k = lambda n: nodes.select(F.col("u").alias(n), F.col("k").alias(f"k{n}"))
+    gain = F.col("w") - F.col("ku") * F.col("kv") / two_m
+    best = both.join(k("u"), "u").join(k("v"), "v").where(gain > 1e-12).groupBy("u").agg(F.min(F.struct((-gain).alias("loss"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).alias("p")).select("u", "p.a", "p.b")
+    pair = best.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2).select(F.col("b").alias("u"), F.col("a").alias("com"))
+    return nodes.join(pair, "u", "left").select("u", "k", F.coalesce("com", "u").alias("com"))
 
 
 def communities(edges: DataFrame, method: str = "louvain", local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """U, community and the method used. Graphs of up to ``local_edges`` edges are solved in one task.
+    """U and community (its least node) by Louvain or greedy agglomeration of the simple graph.
 
-    Beyond it greedy agglomeration is refused, and for Louvain stands label
-    propagation, which ``method`` says.
+    Both work by moves and contraction. A graph of more than ``local_edges`` edges is
+    moved in parallel and contracted, level by level, until it has no more than that
+    or nothing gains; one task then finishes the contracted graph with the same
+    method's sequential moves.
     """
-    simple = cut(simple_edges(edges))
-    if (n := simple.count()) > local_edges:
-        if method != "louvain":
-            raise ValueError(f"{method}: {n} edges are more than the {local_edges} that one task may hold")
-        return propagated(simple).withColumn("method", F.lit("label propagation"))
-    solve = {"louvain": louvain_local, "greedy": greedy_local}[method]
+    step, finish = {"louvain": (_moves, louvain_local), "greedy": (_matches, greedy_local)}[method]
+    left = cut(simple_edges(edges).select("a", "b", F.lit(1.0).alias("w")))
+    nodes = cut(left.select(F.col("a").alias("u"), "w").unionByName(left.select(F.col("b").alias("u"), "w")).groupBy("u").agg(F.sum("w").alias("k")))
+    member = nodes.select("u", F.col("u").alias("top"))
+    n = two_m = left.count()
+    two_m = 2.0 * two_m
+    for _ in range(MOST_LEVELS):
+        if n <= local_edges:
+            break
+        placed = cut(step(nodes, left, two_m))
+        member = cut(member.join(placed.select(F.col("u").alias("top"), "com"), "top").select("u", F.col("com").alias("top")))
+        to = lambda c, n: placed.select(F.col("u").alias(c), F.col("com").alias(n))  # noqa: B023, E731
+        met = left.join(to("a", "x"), "a").join(to("b", "y"), "b").where(F.col("x") != F.col("y"))
+        left = cut(met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+        nodes = cut(placed.groupBy("com").agg(F.sum("k").alias("k")).withColumnRenamed("com", "u"))
+        before, n = n, left.count()
+        if n == before:
+            break
+
+    if n > local_edges:  # nothing gains any more
+        top = member.select("u", F.col("top").alias("community"))
+    else:
 
-    def run(batches):
-        pairs = sorted((a, b) for batch in batches for a, b in zip(batch["a"], batch["b"]))
-        found = solve(pairs) if pairs else {}
-        yield pd.DataFrame({"u": list(found), "community": list(found.values())}, dtype=object)
+        def run(batches):
+            rows = [r for b in batches for r in zip(b["a"], b["b"], b["w"])]
+            degrees = {a: w for a, b, w in rows if b is None}
+            found = finish(sorted(r for r in rows if r[1] is not None), degrees)
+            yield pd.DataFrame({"top": list(found), "community": list(found.values())}, dtype=object)
 
-    return simple.coalesce(1).mapInPandas(run, "u string, community string").withColumn("method", F.lit(method))
+        every = left.unionByName(nodes.select(F.col("u").alias("a"), F.lit(None).cast("string").alias("b"), F.col("k").alias("w")))
+        solved = every.coalesce(1).mapInPandas(run, "top string, community string")
+        top = member.join(solved, "top").select("u", "community")
+    least = top.groupBy("community").agg(F.min("u").alias("least"))
+    return top.join(least, "community").select("u", F.col("least").alias("community"))
 
 
 def community_quality(edges: DataFrame, method: str) -> DataFrame:
-    """Number and modularity of the communities and the method that found them."""
-    found = cut(communities(edges, method))
-    return _one_row(undirected_modularity(edges, found), found.agg(F.max("method").alias("method")))
+    """Number and modularity of the communities."""
+    return undirected_modularity(edges, cut(communities(edges, method)))
 
 
 def undirected_modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

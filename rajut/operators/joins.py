@@ -56,16 +56,6 @@ def sharing(uses: DataFrame) -> DataFrame:
     return chained.join(n, "variable")
 
 
-def sharing_pairs(uses: DataFrame, most: int = 1000) -> DataFrame:
-    """J11 with all pairs a < b for variables of at most ``most`` concepts; larger groups stay as the chain of :func:`sharing`."""
-    once = uses.where(F.col("variable").isNotNull() & F.col("concept").isNotNull()).select("variable", "concept").distinct()
-    n = once.groupBy("variable").agg(F.count(F.lit(1)).alias("n_users"))
-    small = once.join(n.where(F.col("n_users") <= most), "variable")
-    pairs = small.select("variable", "n_users", F.col("concept").alias("a")).join(small.select("variable", F.col("concept").alias("b")), "variable").where(F.col("a") < F.col("b"))
-    large = once.join(n.where(F.col("n_users") > most), "variable").select("variable", "concept")
-    return pairs.select("variable", "a", "b", "n_users").unionByName(sharing(large).select("variable", "a", "b", "n_users"))
-
-
 def optional_children(parents: DataFrame, children: DataFrame, key: str, item: str) -> DataFrame:
     """Parents with the number and the least of their different children, null where there are none."""
     got = children.groupBy(key).agg(F.countDistinct(item).alias("n_items"), F.min(item).alias("first_item"))

@@ -207,11 +207,9 @@ def test_retrieval_budget(spark):
     assert text.startswith("[Bab 1, p.3, score=5] energi kinetik") and text.endswith("...") and len(text) < 620
 
 
-def test_shared_variables_chain_and_pairs(spark):
+def test_shared_variables_chain(spark):
     uses = spark.createDataFrame([("a", "v"), ("b", "v"), ("c", "v"), ("c", "v"), ("d", "w"), (None, "v")], "concept string, variable string")
     assert sorted((r["a"], r["b"]) for r in joins.sharing(uses).collect()) == [("a", "b"), ("b", "c")]
-    assert sorted((r["a"], r["b"]) for r in joins.sharing_pairs(uses).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
-    assert sorted((r["a"], r["b"]) for r in joins.sharing_pairs(uses, most=2).collect()) == [("a", "b"), ("b", "c")]
 
 
 def test_hot_lookup_equals_a_plain_join(spark):
