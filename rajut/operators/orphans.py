@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rajut.operators.skew import lookup
 from rajut.session import cut
 
 FOREVER = (1 << 62)
@@ -60,31 +59,25 @@ def orphans(refs: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> D
     :func:`contiguous_runs` returns. References without ns or point are no
     references and are dropped. Repeated references stay repeated.
 
-    Namespaces with one run (the rule) need a plain lookup; for those with
-    several, references and runs are merged in the order of their points and
-    each reference takes the end of the last run before it. A namespace with
-    many references is cut into blocks that each get a copy of its few runs.
+    References and runs are merged in the order of their points, and each reference
+    takes the end of the last run that starts at or before it. A namespace of more
+    than ``block_rows`` references is cut into blocks, each with a copy of its runs.
+    ``refs`` is read twice: to count such namespaces, and to match.
     """
     others = [c for c in refs.columns if c not in ("ns", "point")]
     row = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_given")).alias("_row")
     whole = [F.col(c) if c in ("ns", "point") else F.col(f"_row.`{c}`").alias(c) for c in refs.columns]
     valid = refs.where(F.col("ns").isNotNull() & F.col("point").isNotNull()).select("ns", F.col("point").cast("long").alias("point"), row)
-    spans = runs.groupBy("ns").agg(F.count(F.lit(1)).alias("_runs"), F.min("start").alias("_start"), F.min("end").alias("_end"))
-    sized = cut(valid.groupBy("ns").agg(F.count(F.lit(1)).alias("_n")).join(spans, "ns", "left"))
-    met = cut(lookup(valid, sized, ["ns"], "_n"))
-    single = met.where(F.coalesce("_runs", F.lit(0)) <= 1)
-    out = single.where(F.col("_runs").isNull() | (F.col("point") < F.col("_start")) | (F.col("point") >= F.col("_end"))).select(*whole)
-
-    n_blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
-    own = F.pmod(F.xxhash64("point", F.to_json("_row")), n_blocks.cast("long")).cast("int")
-    ref_rows = met.where(F.col("_runs") > 1).select("ns", own.alias("_block"), "point", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), "_row")
-    several = sized.where(F.col("_runs") > 1).select("ns", n_blocks.alias("_blocks"))
+    counted = valid.groupBy("ns").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+    hot = F.broadcast(cut(counted.select("ns", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"))))  # at most references / block_rows rows
+    n_blocks = F.coalesce("_blocks", F.lit(1))
+    own = F.when(n_blocks == 1, 0).otherwise(F.pmod(F.xxhash64("point", F.to_json("_row")), n_blocks.cast("long")).cast("int"))
+    ref_rows = valid.join(hot, "ns", "left").select("ns", own.alias("_block"), "point", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), "_row")
     no_row = F.lit(None).cast(ref_rows.schema["_row"].dataType).alias("_row")
-    run_rows = runs.join(several, "ns").select("ns", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("start").alias("point"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), no_row)
+    run_rows = runs.join(hot, "ns", "left").select("ns", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_block"), F.col("start").alias("point"), F.lit(0).alias("_kind"), F.col("end").alias("_end"), no_row)
     asof = Window.partitionBy("ns", "_block").orderBy("point", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last = ref_rows.unionByName(run_rows).withColumn("_last", F.last("_end", ignorenulls=True).over(asof))
-    late = last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select(*whole)
-    return out.unionByName(late)
+    return last.where((F.col("_kind") == 1) & (F.col("_last").isNull() | (F.col("point") >= F.col("_last")))).select(*whole)
 
 
 def integer_orphans(children: DataFrame, child_key: str, parents: DataFrame, parent_key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rajut.functions.text import alike_key
 from rajut.operators.orphans import FOREVER, contiguous_runs, orphans
 from rajut.plans.data import table
+from rajut.session import cut
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +39,7 @@ def parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_references(spark: SparkSession, d: str) -> DataFrame:
-    return orphans(references(spark, d), contiguous_runs(parents(spark, d)))
+    return orphans(cut(references(spark, d)), contiguous_runs(parents(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
