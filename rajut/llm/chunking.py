@@ -136,12 +136,15 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
 def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = 800, overlap: int = 200) -> DataFrame:
     """One row per piece: text_id, piece_no (from 0), start_word, end_word (exclusive), n_words, overlap, cut, piece."""
     base = df.select(F.col(f"`{id_col}`").cast("long").alias("text_id"), F.col(f"`{text_col}`").alias("body")).where(F.col("text_id").isNotNull())
+    # one pass over the texts: those that fit are not looked at word by word
     sized = base.dropDuplicates(["text_id"]).withColumn("n_words", n_words("body").cast("int")).where(F.col("n_words") > 0)
-    whole = sized.where(F.col("n_words") <= limit).select("text_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_words", F.lit(0).alias("overlap"), F.lit("end").alias("cut"), F.regexp_replace("body", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("piece"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, no, *p) for i, body in zip(batch["text_id"], batch["body"]) for no, p in enumerate(pieces_of(body, limit, overlap))]
+            rows = []
+            for i, body, n in zip(batch["text_id"], batch["body"], batch["n_words"]):
+                found = [(0, n, n, 0, "end", body.strip(" \t\r\n"))] if n <= limit else pieces_of(body, limit, overlap)
+                rows += [(i, no, *p) for no, p in enumerate(found)]
             yield pd.DataFrame(rows, columns=["text_id", "piece_no", "start_word", "end_word", "n_words", "overlap", "cut", "piece"])
 
-    return whole.unionByName(sized.where(F.col("n_words") > limit).select("text_id", "body").mapInPandas(run, PIECES))
+    return sized.select("text_id", "body", "n_words").mapInPandas(run, PIECES)
