@@ -1,8 +1,10 @@
 """Duplicates hidden by formatting: byte-identical collapse, then canonical collapse.
 
-1. Byte-identical rows are collapsed with their counts (partial aggregation
-   runs before the shuffle, so a group of copies that holds a third of all
-   rows costs one row per task).
+1. Byte-identical rows are collapsed with their counts, told by 128 bits of a hash of
+   their bytes (two different texts among n rows meet with a chance of n^2 / 2^129).
+   One text of each is kept, picked by partial aggregation before the shuffle, so a
+   group of copies that holds a third of all rows costs one text per task; ids and
+   hashes travel without the text.
 2. Only the distinct survivors are canonicalised: letters and digits in order,
    lower-cased, field by field and list element by list element.
 3. Survivors are grouped again on the full canonical text, the counts summed.
@@ -30,6 +32,10 @@ def canonical(texts: list[Column], lists: list[Column]) -> Column:
     return F.to_json(F.array(*whole, *parts))
 
 
+def _hashes(text: Column, name: str) -> list[Column]:
+    return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit(1), text).alias(f"{name}2")]
+
+
 def collapse(df: DataFrame, id_col: str, raw: list[str], texts: list[Column], lists: list[Column] = ()) -> tuple[DataFrame, DataFrame]:
     """Returns (groups, members).
 
@@ -39,18 +45,20 @@ def collapse(df: DataFrame, id_col: str, raw: list[str], texts: list[Column], li
     ``lists`` are expressions over them.
     """
     given = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`") for c in raw])
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(raw)]))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(raw)]))  # nulls are left out, so they differ from ''
+    given = given.select("_id", *_hashes(whole, "h"), *[F.col(f"`{c}`") for c in raw])
     # a row delivered again has the same id and the same bytes
-    survivors = given.distinct().groupBy(*[f"`{c}`" for c in raw]).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # the bytes are kept only where rows share them
-    canon = cut(survivors.select(F.when(F.col("_n") > 1, whole).alias("_bytes"), "_first", "_n", canonical(texts, list(lists)).alias("canon")))
-    groups = canon.groupBy("canon").agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("n_copies"), F.count(F.lit(1)).alias("_forms"))
-    several = cut(groups.where(F.col("n_copies") > 1).select("canon", "keep_id", "_forms"))
-    placed = cut(lookup(canon, several, ["canon"], "_forms").select("_bytes", "_first", "_n", "keep_id"))
+    ids = cut(given.select("_id", "h1", "h2").distinct())
+    counted = ids.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    text = given.groupBy("h1", "h2").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in raw])).alias("_v")).select("h1", "h2", "_v.*")
+    canon = text.select("h1", "h2", canonical(texts, list(lists)).alias("canon"))
+    forms = cut(canon.join(counted, ["h1", "h2"]).select("h1", "h2", "_first", "_n", "canon", *_hashes(F.col("canon"), "c")))
+    groups = forms.groupBy("canon").agg(F.min("_first").alias("keep_id"), F.sum("_n").alias("n_copies"), F.count(F.lit(1)).alias("_forms"), F.first("c1").alias("c1"), F.first("c2").alias("c2"))
+    several = cut(groups.where(F.col("n_copies") > 1).select("c1", "c2", "keep_id", "_forms"))
+    placed = cut(lookup(forms.select("h1", "h2", "_first", "_n", "c1", "c2"), several, ["c1", "c2"], "_forms").select("h1", "h2", "_first", "_n", "keep_id"))
     alone = placed.where(F.col("_n") == 1).select("keep_id", F.col("_first").alias("copy_id"))
-    shared = placed.where(F.col("_n") > 1).select("_bytes", "_n", "keep_id")
-    copies = lookup(given.select(whole.alias("_bytes"), "_id"), shared, ["_bytes"], "_n").select("keep_id", F.col("_id").alias("copy_id")).where(F.col("copy_id") != F.col("keep_id")).distinct()
-    members = alone.where(F.col("copy_id") != F.col("keep_id")).unionByName(copies)
+    copies = lookup(ids, placed.where(F.col("_n") > 1).select("h1", "h2", "_n", "keep_id"), ["h1", "h2"], "_n").select("keep_id", F.col("_id").alias("copy_id"))
+    members = alone.unionByName(copies).where(F.col("copy_id") != F.col("keep_id"))
     return groups.select("keep_id", "n_copies", "canon"), members
 
 
