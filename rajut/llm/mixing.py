@@ -37,7 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation pattern that belongs to that vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNIT = 1 << 20
-BLOCKS = 64
+#: Blocks of a size class of a source: at least so many, and as many as it takes for one to hold at most BLOCK_DOCS documents of the source.
+BLOCKS, BLOCK_DOCS = 64, 1_000_000
 MAX_SOURCES = 10_000
 
 
@@ -90,9 +91,9 @@ def plan(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = None)
 def sample(sizes: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, n_tokens, copies (at least 1) of the drawn documents."""
     order = F.xxhash64(F.lit(seed), "doc_id")
-    rates = F.broadcast(planned.where(F.col("expected") > 0).select("source", "expected"))  # at most MAX_SOURCES rows
-    mine = sizes.join(rates, "source").select("source", "doc_id", "n_tokens", "expected", F.floor(4 * F.log2(F.col("n_tokens") + 1.0)).cast("int").alias("cls"), order.alias("h"))
-    mine = mine.withColumn("blk", F.pmod(F.shiftright(F.col("h"), 8), F.lit(BLOCKS)).cast("int"))
+    rates = F.broadcast(planned.where(F.col("expected") > 0).select("source", "expected", F.greatest(F.lit(BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).alias("blocks")))  # at most MAX_SOURCES rows
+    mine = sizes.join(rates, "source").select("source", "doc_id", "n_tokens", "expected", "blocks", F.floor(4 * F.log2(F.col("n_tokens") + 1.0)).cast("int").alias("cls"), order.alias("h"))
+    mine = mine.withColumn("blk", F.pmod(F.shiftright(F.col("h"), 8), F.col("blocks")))
     totals = mine.groupBy("source", "cls", "blk").agg(F.sum("expected").alias("all"))
     before = Window.partitionBy("source").orderBy("cls", "blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source", "cls", "blk", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
