@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rajut.functions.text import n_words
 
-WORD = re.compile(r"[^ \t\r\n]+")
+SPACES, CLOSING = [ord(c) for c in " \t\r\n"], [ord(c) for c in "?!….\"')]”»’"]
 PARAGRAPH, LINE, SENTENCE, WORD_END = 0, 1, 2, 3
 KINDS = ("paragraph", "line", "sentence", "word")
 COST = np.array([0.0, 0.15, 0.3, 4.0])
@@ -41,25 +41,23 @@ PIECES = "text_id long, piece_no int, start_word int, end_word int, n_words int,
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each word the kind of boundary after it."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    n = len(spans)
-    starts = np.fromiter((a for a, _ in spans), np.int64, n)
-    ends = np.fromiter((b for _, b in spans), np.int64, n)
-    kind = np.full(n, WORD_END, np.int8)
-    for i in range(n - 1):
-        a, b = spans[i]
-        gap = text[b : spans[i + 1][0]]
-        lines = gap.count("\n") or gap.count("\r")
-        if lines >= 2:
-            kind[i] = PARAGRAPH
-        elif lines:
-            kind[i] = LINE
-        else:
-            last = text[a:b].rstrip("\"')]”»’")
-            if last.endswith(("?", "!", "…")) or (last.endswith(".") and last.lower() not in ABBREVIATIONS and not re.fullmatch(r"[(]?(\d+|\w)\.", last) and not text[spans[i + 1][0]].islower()):
-                kind[i] = SENTENCE
-    if n:
-        kind[-1] = PARAGRAPH
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], np.isin(code, SPACES), [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    kind = np.full(len(starts), WORD_END, np.int8)
+    if not len(starts):
+        return starts, ends, kind
+    lf, cr = (np.concatenate([[0], np.cumsum(code == c)]) for c in (10, 13))
+    lines = lf[starts[1:]] - lf[ends[:-1]]
+    lines = np.where(lines > 0, lines, cr[starts[1:]] - cr[ends[:-1]])
+    kind[:-1][lines == 1] = LINE
+    kind[:-1][lines >= 2] = PARAGRAPH
+    # only words that end with a stop or what closes after it are looked at one by one
+    for i in np.flatnonzero(np.isin(code[ends[:-1] - 1], CLOSING) & (kind[:-1] == WORD_END)):
+        last = text[starts[i] : ends[i]].rstrip("\"')]”»’")
+        if last.endswith(("?", "!", "…")) or (last.endswith(".") and last.lower() not in ABBREVIATIONS and not re.fullmatch(r"[(]?(\d+|\w)\.", last) and not text[starts[i + 1]].islower()):
+            kind[i] = SENTENCE
+    kind[-1] = PARAGRAPH
     return starts, ends, kind
 
 
@@ -73,11 +71,11 @@ def split_positions(kind: np.ndarray, limit: int, overlap: int) -> list[tuple[in
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and under the limit")
     natural = np.flatnonzero(kind < WORD_END) + 1
-    # any word may end a piece only where natural ends are too far apart to keep pieces within reach
+    # words may end a piece only where natural ends are too far apart to keep pieces within reach; there a hundredth of the limit apart
     reach = max(1, (limit - overlap) // 2)
     marks = np.concatenate([[0], natural, [n]])
     wide = np.flatnonzero(np.diff(marks) > reach)
-    extra = [np.arange(marks[i] + 1, marks[i + 1]) for i in wide]
+    extra = [np.arange(marks[i] + 1, marks[i + 1], max(1, min(limit // 100, (limit - overlap) // 4))) for i in wide]
     ends = np.unique(np.concatenate([natural, [n], *extra])).astype(np.int64)
     ends = ends[ends > 0]
     cost_at = COST[kind[ends - 1]]
