@@ -4,7 +4,8 @@ A forest of binary trees is fitted on a bounded sample. Each node splits by the
 plane between two randomly chosen points of its sample, moved apart by two-means. Every vector is
 put into one leaf of each tree. To search, all trees share one priority queue:
 the node whose worst margin is best is opened next, whichever tree it is in,
-until the opened leaves hold ``search_k`` vectors. The candidates in the opened
+until the opened leaves hold ``search_k`` vectors (by default 20 log2(n)^2 of n, at
+least 5,000, as a fixed number finds less in larger collections). The candidates in the opened
 leaves are then ranked by their exact cosine.
 
 Only rows (leaf, vector) are shuffled. A leaf is processed as one block of
@@ -226,7 +227,7 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
         yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 6, leaf_size: int = 600, search_k: int = 5_000, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 6, leaf_size: int = 600, search_k: int | None = None, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
@@ -253,6 +254,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     schema = "id long, other long, sim double, rank int"
     if total == 0:
         return spark.createDataFrame([], schema)
+    search_k = search_k or max(5_000, int(20 * np.log2(total) ** 2))
     # a fixed number of rows, or enough for leaves of leaf_size; the same ones whatever the partitioning
     width = max(1, len(reps.first()["vec"]))
     wanted = min(max(sample_rows, 2 * MIN_LEAF_SAMPLE * total // leaf_size), max(sample_rows, sample_bytes // width))
