@@ -105,7 +105,6 @@ QUERIES = {
 }
 
 
-
 def _k(x: str) -> str:
     return f"coalesce(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')"
 
@@ -134,6 +133,29 @@ SELECT DISTINCT least(a, b) AS concept_id_a, greatest(a, b) AS concept_id_b FROM
     "p4_found": "SELECT DISTINCT text_id FROM book_texts WHERE len(regexp_extract_all(body, '[^ \\t\\r\\n]+')) > 800",
 }
 
+ORACLE["p7_found"] = r"""WITH d AS (SELECT doc_id, any_value(text) AS t, any_value(layout) AS l FROM documents WHERE text IS NOT NULL GROUP BY 1),
+j AS (SELECT doc_id, unnest(json_extract(t, '$.cells[*]')) AS c FROM d WHERE l = 'json' AND json_valid(t)),
+o AS (SELECT doc_id, unnest(json_extract(c, '$.outputs[*]')) AS o FROM j),
+v AS (SELECT doc_id, unnest(json_keys(o, '$.data')) AS k, o FROM o),
+x AS (
+  SELECT doc_id, json_extract(c, '$.source') AS s, '' AS glue FROM j
+  UNION ALL SELECT doc_id, json_extract(o, '$.text'), '' FROM o
+  UNION ALL SELECT doc_id, json_extract(o, '$.data."' || k || '"'), '' FROM v WHERE NOT starts_with(k, 'image/')
+  UNION ALL SELECT doc_id, json_extract(o, '$.traceback'), ' ' FROM o
+  UNION ALL SELECT doc_id, json_extract(o, '$.evalue'), '' FROM o
+),
+cells AS (
+  SELECT doc_id, unnest(regexp_split_to_array(t, '(?m)^# %%[^\n]*$')) AS c FROM d WHERE l = 'percent'
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '(?m)^```[^\n]*$')) FROM d WHERE l = 'fenced'
+  UNION ALL SELECT doc_id, t FROM d WHERE coalesce(l, '') NOT IN ('percent', 'fenced', 'json') OR (l = 'json' AND NOT json_valid(t))
+  UNION ALL SELECT doc_id, CASE json_type(s) WHEN 'ARRAY' THEN CASE WHEN glue = '' THEN array_to_string(from_json(s, '["VARCHAR"]'), '') ELSE array_to_string(from_json(s, '["VARCHAR"]'), ' ') END WHEN 'VARCHAR' THEN s ->> '$' END FROM x
+),
+dw AS (SELECT doc_id, regexp_extract_all(lower(c), '[\p{L}\p{N}]+') AS w FROM cells WHERE c IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+iw AS (SELECT item_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') AS w FROM eval_items GROUP BY 1),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)
+SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)"""
+
 
 # 5: matching entities without keys --------------------------------------------
 
