@@ -177,8 +177,9 @@ QUERIES |= {"p5_found": p5_found, "p5_links": p5_links}
 def _consensus(spark, d):
     triples = _table(spark, d, "triples").where(F.col("triple_id").isNotNull()).dropDuplicates(["triple_id"])
     items = triples.select(F.col("triple_id").alias("item"), F.col("source").alias("grp"), consensus.label_of(F.col("final_consensus_label")).alias("known"))
-    cast = consensus.votes(_table(spark, d, "expert_validation"), triples).join(triples.select("triple_id"), "triple_id", "left_semi")
-    return consensus.infer(items, cast.select(F.col("triple_id").alias("item"), F.col("reviewer").alias("who"), "label"))
+    given = _table(spark, d, "expert_validation")
+    cast = consensus.votes(given, triples).select(F.col("triple_id").alias("item"), F.col("reviewer").alias("who"), "label")
+    return consensus.infer(items, cast, people=given.select(F.col("reviewer").alias("who")))
 
 
 def p6_consensus(spark: SparkSession, d: str) -> DataFrame:

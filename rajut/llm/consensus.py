@@ -17,7 +17,7 @@ Annotators or items with a large share of the votes are joined by broadcast ther
 Defined results: labels outside the label set and votes for unknown items are
 ignored; of several votes of one annotator for an item the latest counts; an item
 without votes gets the likeliest label of its group, agreement null; a known label
-is kept; ties go to the earlier label of the set; without any item the result is
+is kept; annotators without a vote for an item are left out; ties go to the earlier label of the set; without any item the result is
 empty; a proposal without any content is no vote. Extra columns are ignored.
 """
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,14 @@ def label_of(c: Column) -> Column:
     """One of LABELS or null: trimmed, lower case, spellings of abaikan unified."""
     t = F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     t = F.when(t.isin(*IGNORE), "abaikan").otherwise(t)
-    return F.when(t.isin(*LABELS), t)
+    return F.when(c.isin(*LABELS), c).otherwise(F.when(t.isin(*LABELS), t))  # most are plain
 
 
 def id_of(c: Column) -> Column:
     """An item id from text: white space, leading zeros and a final .0 dropped; null unless it is a number."""
     t = F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"\.0$", "")
-    return F.when(t.rlike(r"^[0-9]{1,40}$"), F.regexp_replace(t, r"^0+(?=[0-9])", "").try_cast("long"))
+    plain = (F.length(c) <= 18) & (c != "") & (F.translate(c, "0123456789", "") == "")
+    return F.when(plain, c.try_cast("long")).otherwise(F.when(t.rlike(r"^[0-9]{1,40}$"), F.regexp_replace(t, r"^0+(?=[0-9])", "").try_cast("long")))
 
 
 def content(*cols: str) -> Column:
@@ -66,7 +68,7 @@ NO_CONTENT = '["","","",""]'
 
 
 def votes(validations: DataFrame, triples: DataFrame) -> DataFrame:
-    """triple_id, reviewer, label, at: ratings of each reviewer's latest submission per batch, and proposals as votes for missing."""
+    """triple_id, reviewer, label: ratings of each reviewer's latest submission per batch, and proposals as votes for missing."""
     once = validations.select("validation_id", "reviewer", "batch_id", "ratings", "missing_triples", "updated_at").where(F.col("reviewer").isNotNull()).dropDuplicates(["validation_id"])
     newest = Window.partitionBy("reviewer", "batch_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("validation_id"))
     latest = once.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1)
@@ -75,7 +77,10 @@ def votes(validations: DataFrame, triples: DataFrame) -> DataFrame:
     keyed = triples.select("triple_id", content("chapter", "subject", "relation", "target").alias("key"))
     found = proposed.select("reviewer", "at", content("chapter", "subject", "relation", "target").alias("key")).where(F.col("key") != NO_CONTENT).join(keyed, "key").select("triple_id", "reviewer", F.lit("missing").alias("label"), "at")
     every = rated.unionByName(found).where(F.col("triple_id").isNotNull() & F.col("label").isNotNull())
-    return every.groupBy("triple_id", "reviewer").agg(F.max_by("label", F.struct("at", "label")).alias("label"), F.max("at").alias("at"))
+    # time and label in one number, which an aggregation by hash can hold
+    code = F.coalesce(F.unix_micros("at"), F.lit(-(1 << 59))) * 8 + _index("label")
+    last = every.groupBy("triple_id", "reviewer").agg(F.max(code).alias("c"))
+    return last.select("triple_id", "reviewer", F.get(F.array(*[F.lit(x) for x in LABELS]), F.pmod("c", F.lit(8)).cast("int")).alias("label"))
 
 
 class Model:
@@ -144,10 +149,11 @@ def _index(c: Column | str) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col(c) if isinstance(c, str) else c), F.lit(0)).cast("int") - 1
 
 
-def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotators: int = MAX_ANNOTATORS) -> tuple[DataFrame, DataFrame]:
+def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotators: int = MAX_ANNOTATORS, people: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(consensus, annotators).
 
     ``items``: item, grp, known (label or null). ``cast``: item, who, label.
+    ``people``: who, all that may occur in ``cast``, where that is cheaper to list.
     consensus: item, label, confidence, n_votes, agreement (share of agreeing
     pairs of votes). annotators: who, n_votes, reliability (expected share of
     right labels), kind (likeliest type).
@@ -155,46 +161,53 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
     spark = items.sparkSession
     its = items.select("item", F.coalesce("grp", F.lit("")).alias("grp"), _index(F.coalesce("known", F.lit(""))).alias("known")).where(F.col("item").isNotNull()).dropDuplicates(["item"])
     valid = cast.select("item", "who", _index("label").alias("lab")).where((F.col("lab") >= 0) & F.col("who").isNotNull()).dropDuplicates(["item", "who"])
-    names = cut(valid.groupBy("who").agg(F.count(F.lit(1)).alias("n")))
+    names = cut((valid if people is None else people).select("who").where(F.col("who").isNotNull()).distinct())
     groups = [r["grp"] for r in its.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(MAX_GROUPS + 1).collect()]
     many = len(groups) > MAX_GROUPS
     model = Model(groups or [""])
     n_who = names.count()
-    most = (valid.groupBy("item").count().agg(F.max("count")).first()[0] or 0) if n_who else 0
+    # an item has one vote of an annotator at most, so few annotators bound its votes
+    most = valid.groupBy("item").count().agg(F.max("count")).first()[0] or 0 if MAX_VOTES < n_who <= max_annotators else 0
     if many or n_who > max_annotators or most > MAX_VOTES:
         return _infer_joined(its, valid, names, model, rounds, many)
 
     who = {r["who"]: i for i, r in enumerate(names.orderBy("who").collect())}
     table = spark.createDataFrame(list(who.items()) or [("", -1)], "who string, w int")
     packed = valid.join(F.broadcast(table), "who").groupBy("item").agg(F.collect_list(F.col("w") * F.lit(K) + F.col("lab")).alias("cast"))
-    grp = {g: i for i, g in enumerate(model.groups)}
-    data = cut(its.join(packed, "item", "left").withColumn("cast", F.coalesce("cast", F.array().cast("array<int>"))))
-
-    def posteriors(b: pd.DataFrame, logs: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = b["cast"].map(len).to_numpy()
-        flat = np.concatenate([*b["cast"], np.empty(0)]).astype(np.int64)
-        row = np.repeat(np.arange(len(b)), lengths)
-        total = np.log(shares)[[grp.get(g, 0) for g in b["grp"]]]
-        np.add.at(total, row, logs[flat // K, :, flat % K])
-        return _posterior(total, b["known"].to_numpy()), flat, row
+    grp = spark.createDataFrame(list(zip(model.groups, range(len(model.groups)))), "grp string, g int")  # at most MAX_GROUPS rows
+    data = cut(its.join(F.broadcast(grp), "grp").join(packed, "item", "left").select("item", "g", "known", F.coalesce("cast", F.array().cast("array<int>")).alias("cast")))
+    n_groups = len(model.groups)
+
+    def posteriors(b: pa.RecordBatch, logs: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(posteriors, votes, the row of each vote, the group of each row) of a batch."""
+        held = b["cast"]
+        flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+        of = b["g"].to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.log(shares)[of]
+        for k in range(K):
+            total[:, k] += np.bincount(row, logs[flat // K, k, flat % K], len(held))
+        return _posterior(total, b["known"].to_numpy(zero_copy_only=False)), flat, row, of
 
     counts = np.zeros((max(1, n_who), K, K))
     logs, member = model.annotators(counts)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((logs, model.shares))
 
-        def add(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             logs, shares = state.value
-            votes_by, items_by = np.zeros((len(logs) * K, K)), np.zeros((len(grp), K))
+            votes_by, items_by = np.zeros((len(logs) * K, K)), np.zeros((n_groups, K))
             for b in batches:
-                if len(b):
-                    q, flat, row = posteriors(b, logs, shares)
-                    np.add.at(votes_by, flat, q[row])
-                    np.add.at(items_by, [grp.get(g, 0) for g in b["grp"]], q)
+                if b.num_rows:
+                    q, flat, row, of = posteriors(b, logs, shares)
+                    for k in range(K):
+                        votes_by[:, k] += np.bincount(flat, q[row, k], len(votes_by))
+                        items_by[:, k] += np.bincount(of, q[:, k], n_groups)
             used = np.flatnonzero(votes_by.any(1))
-            yield pd.DataFrame({"k": np.concatenate([used, -1 - np.arange(len(grp))]), **{f"q{j}": np.concatenate([votes_by[used, j], items_by[:, j]]) for j in range(K)}})
+            keys = np.concatenate([used, -1 - np.arange(n_groups)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.concatenate([votes_by[used, j], items_by[:, j]])) for j in range(K)]], names=["k", *[f"q{j}" for j in range(K)]])
 
-        sums = data.mapInPandas(add, "k long, " + ", ".join(f"q{j} double" for j in range(K))).groupBy("k").agg(*[F.sum(f"q{j}").alias(f"q{j}") for j in range(K)]).toPandas()
+        sums = data.mapInArrow(add, "k long, " + ", ".join(f"q{j} double" for j in range(K))).groupBy("k").agg(*[F.sum(f"q{j}").alias(f"q{j}") for j in range(K)]).toPandas()
         k, q = sums["k"].to_numpy(), sums[[f"q{j}" for j in range(K)]].to_numpy()
         counts = np.zeros((max(1, n_who), K, K))
         at = k >= 0
@@ -208,24 +221,23 @@ def infer(items: DataFrame, cast: DataFrame, rounds: int = ROUNDS, max_annotator
             break
     final = spark.sparkContext.broadcast((logs, model.shares))
 
-    def say(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, shares = final.value
         for b in batches:
-            if len(b):
-                q, flat, row = posteriors(b, logs, shares)
-                seen = np.zeros((len(b), K))
-                np.add.at(seen, (row, flat % K), 1)
+            if b.num_rows:
+                q, flat, row, _ = posteriors(b, logs, shares)
+                seen = np.bincount(row * K + flat % K, minlength=len(q) * K).reshape(-1, K).astype(float)
                 n = seen.sum(1)
-                pairs = np.where(n > 1, (seen * (seen - 1)).sum(1) / np.maximum(1, n * (n - 1)), np.nan)
-                yield pd.DataFrame({"item": b["item"], "label": np.array(LABELS)[q.argmax(1)], "confidence": q.max(1), "n_votes": n.astype(np.int32), "agreement": [None if np.isnan(x) else x for x in pairs]})
+                pairs = (seen * (seen - 1)).sum(1) / np.maximum(1, n * (n - 1))
+                yield pa.RecordBatch.from_arrays([b["item"], pa.array(np.array(LABELS)[q.argmax(1)].tolist()), pa.array(q.max(1)), pa.array(n.astype(np.int32)), pa.array(pairs, mask=n < 2)], names=["item", "label", "confidence", "n_votes", "agreement"])
 
-    out = data.mapInPandas(say, f"item {items.schema['item'].dataType.simpleString()}, label string, confidence double, n_votes int, agreement double")
+    out = data.mapInArrow(say, f"item {items.schema['item'].dataType.simpleString()}, label string, confidence double, n_votes int, agreement double")
     overall = counts.sum((0, 2)) / max(1e-9, counts.sum())
     matrix = np.exp(logs)
     matrix /= matrix.sum(2, keepdims=True)
     right = np.einsum("k,rkk->r", overall, matrix)
-    people = spark.createDataFrame([(w, int(counts[i].sum().round()), float(right[i]), int(member[i].argmax())) for w, i in who.items()], "who string, n_votes int, reliability double, kind int")
-    return out, people
+    found = [(w, int(counts[i].sum().round()), float(right[i]), int(member[i].argmax())) for w, i in who.items()]
+    return out, spark.createDataFrame([f for f in found if f[1]], "who string, n_votes int, reliability double, kind int")
 
 
 HOT_VOTES = 100_000
@@ -318,4 +330,4 @@ def _infer_joined(its: DataFrame, valid: DataFrame, names: DataFrame, model: Mod
     top = F.greatest(*[f"m{i}" for i in types])
     kind = F.coalesce(*[F.when(F.col(f"m{i}") == top, F.lit(i)) for i in types])
     n_votes = F.round(sum((F.col(c) for c in cells), F.lit(0.0))).cast("int")
-    return out, known.select("who", n_votes.alias("n_votes"), right.alias("reliability"), kind.alias("kind"))
+    return out, known.select("who", n_votes.alias("n_votes"), right.alias("reliability"), kind.alias("kind")).where(F.col("n_votes") > 0)
