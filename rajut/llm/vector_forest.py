@@ -227,7 +227,7 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
         yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 6, leaf_size: int = 600, search_k: int | None = None, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 10, leaf_size: int = 600, search_k: int | None = None, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, sim, rank: up to ``k`` most similar others of every id with cosine >= least.
 
     ``vectors`` has id (long) and vec (array<double> of one length, usable:
