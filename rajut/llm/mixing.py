@@ -24,10 +24,12 @@ of zeros.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,20 @@ def _encoding(path: str, pattern: str):
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, keep: dict[str, str], vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens and the columns of ``keep`` (new name -> column)."""
+    """doc_id, n_tokens and the columns of ``keep`` (new name -> column).
+
+    The vocabulary file is read where the driver has it and sent to the workers by
+    Spark; a driver without it leaves the path to the workers.
+    """
+    name = os.path.basename(vocabulary)
+    sent = os.path.isfile(vocabulary)
+    if sent:
+        docs.sparkSession.sparkContext.addFile(vocabulary)
     picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in keep.items()])
     fields = ", ".join(["doc_id long", "n_tokens long", *(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary, pattern).encode_ordinary
+        encode = _encoding(SparkFiles.get(name) if sent else vocabulary, pattern).encode_ordinary
         for batch in batches:
             sizes = pa.array([len(encode(t)) if t else 0 for t in batch["text"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, *[batch[n] for n in keep]], names=["doc_id", "n_tokens", *keep])
