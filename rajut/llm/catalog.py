@@ -62,6 +62,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where(F.col("piece_no") == 1).select("text_id")
 
 
+def p4_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its pieces without their overlaps, and whether all pieces keep the limits."""
+    words = F.filter(F.split("piece", "[ \t\r\n]+"), lambda w: w != "")
+    own = p4_pieces(spark, d).select("text_id", "piece_no", "n_words", "overlap", (F.col("end_word") - F.col("start_word") == F.size(words)).alias("exact"), F.slice(words, F.col("overlap") + 1, F.lit(1_000)).alias("w"))
+    again = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "w"))), lambda x: x["w"]))
+    fits = F.every((F.col("n_words") <= 800) & (F.col("overlap") <= 200) & F.col("exact"))
+    return own.groupBy("text_id").agg(again.alias("w"), fits.alias("fits")).select("text_id", F.size("w").cast("bigint").alias("n_words"), F.md5(F.array_join("w", " ")).alias("digest"), "fits")
+
+
 # 7: evaluation text in training text ------------------------------------------
 
 
@@ -98,6 +107,7 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_round_trip": p4_round_trip,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_sample": p8_sample,
@@ -130,6 +140,7 @@ r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n
 SELECT DISTINCT least(a, b) AS concept_id_a, greatest(a, b) AS concept_id_b FROM r WHERE n <= 5""",
     "p3_found": _COPIES + "SELECT src_table, keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p3_groups": _COPIES + "SELECT src_table, keep_id, count(*) AS n_copies FROM g GROUP BY ALL",
+    "p4_round_trip": "SELECT text_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest, true AS fits FROM (SELECT text_id, regexp_extract_all(any_value(body), '[^ \\t\\r\\n]+') AS w FROM book_texts GROUP BY 1) WHERE len(w) > 0",
     "p4_found": "SELECT DISTINCT text_id FROM book_texts WHERE len(regexp_extract_all(body, '[^ \\t\\r\\n]+')) > 800",
 }
 
