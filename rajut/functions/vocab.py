@@ -74,8 +74,14 @@ AGREED_RATINGS = "Auto-agreed: both reviewers gave the same label."
 AGREED_MISSING = "Auto-agreed: both reviewers added the same missing triple."
 
 # fixed values: words without meaning for retrieval and for token links
-CONTEXT_STOPWORDS = "yang dan atau dengan untuk pada dari dalam adalah kelas xii chapter subject relation target description memiliki sifat diformulasikan sebagai mengatur".split()
-TOKEN_STOPWORDS = "dan atau yang di ke dari untuk pada dengan dalam suatu adalah merupakan sebagai oleh itu ini bab materi konsep proses sistem bagian jenis teori hukum kelas xii".split()
+CONTEXT_STOPWORDS = (
+    "yang", "dan", "atau", "dengan", "untuk", "pada", "dari", "dalam", "adalah", "kelas", "xii", "chapter", "subject", "relation", "target",
+    "description", "memiliki", "sifat", "diformulasikan", "sebagai", "mengatur",
+)
+TOKEN_STOPWORDS = (
+    "dan", "atau", "yang", "di", "ke", "dari", "untuk", "pada", "dengan", "dalam", "suatu", "adalah", "merupakan", "sebagai", "oleh", "itu", "ini", "bab",
+    "materi", "konsep", "proses", "sistem", "bagian", "jenis", "teori", "hukum", "kelas", "xii",
+)
 
 # fixed values: embedding dimensions by part of the model's name, first match wins
 EMBEDDING_DIMS = {

@@ -61,8 +61,10 @@ def grade_modularity(edges: DataFrame) -> DataFrame:
 
 def robustness(nodes: DataFrame, edges: DataFrame, wrong: Column) -> DataFrame:
     """Average degree, density, modularity, nodes and edges, with and without wrong edges, one metric a row."""
+    # every metric reads both, so they are made once
+    nodes, edges = cut(nodes.select("grade", "name")), cut(edges.select(*ENDS, wrong.alias("_wrong")))
     rows = []
-    for variant, e in (("all", edges), ("without_wrong", edges.where(~wrong))):
+    for variant, e in (("all", edges), ("without_wrong", edges.where(~F.col("_wrong")))):
         one = _one_row(average_degree(nodes, e).select("average_degree"), density(nodes, e), grade_modularity(e).select("modularity"))
         rows.append(one.select(F.lit(variant).alias("variant"), F.expr("stack(5, 'average_degree', average_degree, 'density', density, 'modularity', modularity, 'nodes', cast(n_nodes as double), 'edges', cast(n_edges as double)) as (metric, value)")))
     return rows[0].unionByName(rows[1])
