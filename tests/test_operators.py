@@ -261,18 +261,6 @@ def test_answers_by_index_or_in_order():
     assert models.aligned(["a"], 2) == ["a", None] and models.aligned([], 1) == [None]
 
 
-def test_glossary_takes_the_reading_with_most_terms():
-    import pandas as pd
-
-    from rajut.operators.books import glossary_entries
-
-    bold = pd.DataFrame([(0, 0, "Glosarium", True, 14.0), (0, 1, "atom", True, 10.0), (0, 1, ": bagian kecil", False, 10.0), (0, 2, "gaya", True, 10.0), (0, 2, " tarikan atau", False, 10.0), (0, 3, "dorongan", False, 10.0)], columns=["block", "line", "text", "bold", "size"])
-    assert glossary_entries(bold) == {"atom": "bagian kecil", "gaya": "tarikan atau dorongan"}
-    plain = pd.DataFrame([(0, i, t, False, 10.0) for i, t in enumerate(["atom", "bagian", "kecil.", "12", "gaya", "tarikan."])], columns=["block", "line", "text", "bold", "size"])
-    assert glossary_entries(plain) == {"atom": "bagian kecil.", "gaya": "tarikan."}
-    assert glossary_entries(plain.iloc[:0]) == {}
-
-
 def _cloud(n, dim, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 20, dim))
