@@ -11,14 +11,15 @@ HOT_SHARE = 0.001
 HOT_ROWS = 100_000
 
 
-def split_hot(keyed: DataFrame, weight: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, int]:
+def split_hot(keyed: DataFrame, weight: str, share: float = HOT_SHARE, least: int = HOT_ROWS, total: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Split a table with one row per key into hot and ordinary keys.
 
     ``weight`` is the number of rows the key holds on the other side of a later
-    join. Returns (hot, rest, number of hot keys at most). One number comes to
-    the driver.
+    join, ``total`` their sum if it is known. Returns (hot, rest, number of hot keys at
+    most). One number comes to the driver.
     """
-    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
     floor = max(least, int(total * share))
     if total <= floor:
         return keyed.limit(0), keyed, 0

@@ -105,6 +105,8 @@ def indexed_knn(queries: DataFrame, rows: DataFrame, k: int, search: int = 5_000
     those are indexed.
     """
     v = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    if rows.count() <= search:
+        return block_knn(queries, rows, k, round_to)
     same = Window.partitionBy("_h1", "_h2").orderBy("id")
     hashed = v(rows).withColumn("_h1", F.xxhash64("vec")).withColumn("_h2", F.xxhash64(F.lit(1), "vec"))
     kept = cut(hashed.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).select("id", "vec"))
