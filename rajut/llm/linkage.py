@@ -63,10 +63,16 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _common(df: DataFrame, column: str, n: int, share: float, least: int) -> list[str]:
-    """Tokens of more than ``share`` of n rows: at most mean tokens a row / share of them."""
-    counts = df.select(F.explode(F.array_distinct(column)).alias("t")).groupBy("t").count()
-    return [r["t"] for r in counts.where(F.col("count") > max(least, int(n * share))).collect()]
+def _frequent(df: DataFrame, n: int) -> tuple[dict[str, int], set[str]]:
+    """(counts of title tokens of more than a share COMMON_TITLE of n rows, description tokens of more than COMMON_TEXT).
+
+    At most the mean number of tokens of a row / share of them.
+    """
+    each = lambda c, title: df.select(F.lit(title).alias("title"), F.explode(F.array_distinct(c)).alias("t"))
+    counts = each("title", True).unionByName(each("body", False)).groupBy("title", "t").count()
+    least = F.when(F.col("title"), max(2, int(n * COMMON_TITLE))).otherwise(max(3, int(n * COMMON_TEXT)))
+    found = counts.where(F.col("count") > least).collect()
+    return {r["t"]: r["count"] for r in found if r["title"]}, {r["t"] for r in found if not r["title"]}
 
 
 def _among(c: Column | str, known: list[str]) -> Column:
@@ -124,8 +130,9 @@ def _round(ka: DataFrame, kb: DataFrame, kind: DataFrame) -> tuple[DataFrame, Da
     """(pairs l, r, times of the keys of one level, the crowded keys' rows on the left, on the right)."""
     na, nb = (k.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for k, n in ((ka, "na"), (kb, "nb")))
     met = cut(na.join(nb, "key"))  # keys of one side only are gone from here on
-    heavy = not met.where(F.col("nb") > PART).isEmpty()
-    la, lb = cut(lookup(ka, met, ["key"], "na")), cut(lookup(kb, met, ["key"], "nb"))
+    size = met.agg(F.coalesce(F.max("nb"), F.lit(0)).alias("widest"), F.coalesce(F.sum("na"), F.lit(0)).alias("a"), F.coalesce(F.sum("nb"), F.lit(0)).alias("b")).first()
+    heavy = size["widest"] > PART
+    la, lb = cut(lookup(ka, met, ["key"], "na", total=size["a"])), cut(lookup(kb, met, ["key"], "nb", total=size["b"]))
     hot_a, hot_b = la.where(F.col("na") > FEW), lb.where(F.col("na") > FEW)
     few = _meet(la.where(F.col("na") <= FEW), lb.where(F.col("na") <= FEW), heavy).withColumn("times", F.lit(1).cast("long"))
     kinds = hot_a.where(~F.col("fact")).join(kind, "id").groupBy("key", "kind").agg(F.min("id").alias("id"), F.sum("m").alias("times"), F.first("nb").alias("nb"))
@@ -204,17 +211,16 @@ def link(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str, str]
     n_a, n_b = a.count(), b.count()
     if not n_a or not n_b:
         return spark.createDataFrame([], schema)
-    title_a, title_b = _common(a, "title", n_a, COMMON_TITLE, 2), _common(b, "title", n_b, COMMON_TITLE, 2)
-    noise = _common(b, "title", n_b, DECORATION, 2)
-    text_a, text_b = _common(a, "body", n_a, COMMON_TEXT, 3), _common(b, "body", n_b, COMMON_TEXT, 3)
-    text_any, text_both = sorted({*text_a, *text_b}), sorted({*text_a} & {*text_b})
+    (title_a, text_a), (title_b, text_b) = _frequent(a, n_a), _frequent(b, n_b)
+    noise = [t for t, n in title_b.items() if n > max(2, int(n_b * DECORATION))]
+    text_any, text_both = sorted(text_a | text_b), sorted(text_a & text_b)
 
     def features(s: DataFrame) -> DataFrame:
         core = _without("title", sorted({*title_a, *title_b}))
         unknown = _without("title", sorted({*title_a, *noise}))
-        return s.select("id", core.alias("core"), _among("title", title_a).alias("kind"), unknown.alias("unknown"), _without("body", text_any).alias("facts"), _among("body", text_both).alias("words"), "subject", "klass")
+        return s.select("id", core.alias("core"), _among("title", sorted(title_a)).alias("kind"), unknown.alias("unknown"), _without("body", text_any).alias("facts"), _among("body", text_both).alias("words"), "subject", "klass")
 
-    fa, fb = cut(features(a)), cut(features(b))
+    fa, fb = features(a), features(b)
     la, lb = cut(_classes(fa)), cut(_classes(fb))
     pairs = candidates(la, lb)
     best = decide(compare(pairs, la, lb), least)
