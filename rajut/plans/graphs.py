@@ -45,6 +45,16 @@ _CC = ", both_ AS (SELECT a AS u, b AS v FROM simple UNION SELECT b, a FROM simp
 _add("g5_simple_stats", _g(graph.simple_graph_stats), GRAPH.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLE + _CC + "SELECT n AS n_nodes, m AS n_edges, c AS n_components, round(2 * m / (CAST(n AS DOUBLE) * (n - 1)), 3) AS degree_centrality, round(2 * m / (CAST(n AS DOUBLE) * (n - 1)), 3) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM simple) AS m, (SELECT count(DISTINCT component) FROM comp) AS c)")
 _add("g5_greedy_communities", lambda s, d: graph.community_quality(linked_edges(s, d), "greedy"))
 _add("g6_louvain_communities", lambda s, d: graph.community_quality(linked_edges(s, d), "louvain"))
+
+
+def _grade_partition(s, d):
+    """The undirected modularity that G5 and G6 maximise, of the given partition by grade."""
+    member = concept_nodes(s, d).select(F.concat_ws("\x1f", "grade", "name").alias("u"), F.col("grade").alias("community"))
+    return graph.undirected_modularity(linked_edges(s, d), member).select("n_communities", F.round("modularity", 9).alias("modularity"))
+
+
+_add("g6_partition_modularity", _grade_partition, GRAPH + _SIMPLE + """, p AS (SELECT split_part(a, chr(31), 1) AS ca, split_part(b, chr(31), 1) AS cb FROM simple), k AS (SELECT c, count(*) AS k FROM (SELECT ca AS c FROM p UNION ALL SELECT cb FROM p) GROUP BY 1)
+SELECT count(*) AS n_communities, round(coalesce((SELECT count(*) FROM p WHERE ca = cb) * 2.0 / sum(k) - sum(CAST(k AS DOUBLE) * k) / (sum(k) * CAST(sum(k) AS DOUBLE)), 0.0), 9) AS modularity FROM k""")
 _add("g7_completeness", lambda s, d: graph.completeness(concept_nodes(s, d), "description").withColumn("completeness", F.round("completeness", 6)), GRAPH + f"SELECT count(*) AS n, count(CASE WHEN {sql_strip('coalesce(description, chr(32))')} <> '' THEN 1 END) AS n_described, round(avg(CASE WHEN {sql_strip('coalesce(description, chr(32))')} <> '' THEN 1 ELSE 0 END), 6) AS completeness FROM nodes")
 _add("g8_components", lambda s, d: graph.components(concept_nodes(s, d), linked_edges(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")), GRAPH.replace("WITH", "WITH RECURSIVE", 1) + _SIMPLE + _CC + "SELECT component, count(*) AS n_nodes FROM comp GROUP BY component")
 

@@ -179,6 +179,33 @@ def _judged(s, d):
 _add("l7_judge", _judged, "WITH t AS (SELECT *, row_number() OVER (ORDER BY book_id, triple_id) - 1 AS o, length(concat_ws(' ', subject, relation, target)) % 4 AS m FROM (SELECT DISTINCT triple_id, book_id, subject, relation, target, final_consensus_label AS l FROM triples)) SELECT CAST(triple_id AS VARCHAR) AS key, CASE WHEN l IS NOT NULL THEN l WHEN o >= 300 THEN 'unknown' WHEN m = 0 THEN 'correct' WHEN m = 1 THEN 'partial' WHEN m = 2 THEN 'wrong' ELSE 'abaikan' END AS label FROM t")
 
 
+class _Flaky:
+    """A judge that fails with a passing error on two of three calls."""
+
+    calls = 0
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        self.calls += 1
+        if self.calls % 3:
+            raise RuntimeError("429 rate limit")
+        return _judge_client(prompts)
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+def _retried(s, d):
+    """All triples judged, none from a checkpoint, by a client that has to be asked again."""
+    t = table(s, d, "triples").dropDuplicates(["triple_id"])
+    rows = t.select(F.col("triple_id").cast("string").alias("key"), F.lit(0).alias("ordinal"), F.concat_ws(" ", "subject", "relation", "target").alias("prompt"))
+    none = rows.select("key", F.lit("").alias("reasoning"), F.lit("").alias("final_consensus_label")).limit(0)
+    return models.judge(rows, none, models.with_retry(_Flaky(), sleep=_no_wait)).select("key", "reasoning", "label")
+
+
+_add("l8_retried_judge", _retried, "SELECT DISTINCT CAST(triple_id AS VARCHAR) AS key, p[1:20] AS reasoning, CASE length(p) % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'wrong' ELSE 'abaikan' END AS label FROM (SELECT triple_id, concat_ws(' ', subject, relation, target) AS p FROM triples)")
+
+
 def _retrieved(s, d):
     t = table(s, d, "triples").dropDuplicates(["triple_id"]).select(F.col("triple_id").alias("key"), F.col("book_id").alias("book"), "chapter", "subject", "target")
     k = table(s, d, "konsep").dropDuplicates(["konsep_id"])
