@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,28 +172,42 @@ def search_leaves(f: Forest, sizes: np.ndarray, x: np.ndarray, search_k: int) ->
     return np.concatenate(rows) if rows else np.empty(0, int), np.concatenate(leaves) if leaves else np.empty(0, int)
 
 
-def _pack(x: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(x, np.float32)]
+def _pack(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as a binary column, without a Python object a row."""
+    x = np.ascontiguousarray(x, np.float32)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 4)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+def _stack(column: pa.Array | pd.Series) -> np.ndarray:
+    if isinstance(column, pd.Series):
+        return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(column), -1)
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, block_ids: np.ndarray, block: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+def _nearest(q_ids: np.ndarray, q: np.ndarray, block_ids: np.ndarray, block: np.ndarray, k: int, least: float) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(q), BATCH):
         sim = q[a : a + BATCH] @ block.T
         sim[q_ids[a : a + BATCH, None] == block_ids[None, :]] = -2.0
-        take = min(k, sim.shape[1])
-        top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-        r, c = np.nonzero(np.take_along_axis(sim, top, 1) >= least - 1e-5)
-        c = top[r, c]
+        r, c = np.nonzero(sim >= least - 1e-5)
+        if len(r) > 4 * k * len(sim):  # many are near enough: the best k of each row first
+            take = min(k, sim.shape[1])
+            top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
+            r, c = np.nonzero(np.take_along_axis(sim, top, 1) >= least - 1e-5)
+            c = top[r, c]
+        elif len(r):
+            order = np.lexsort((-sim[r, c], r))
+            r, c = r[order], c[order]
+            first = np.searchsorted(r, r, "left")
+            keep = np.arange(len(r)) - first < k
+            r, c = r[keep], c[keep]
         exact = np.einsum("ij,ij->i", q[a : a + BATCH][r].astype(np.float64), block[c].astype(np.float64))
         keep = (exact >= least) & (q_ids[a : a + BATCH][r] != block_ids[c])
-        yield pd.DataFrame({"id": q_ids[a : a + BATCH][r][keep], "other": block_ids[c][keep], "sim": np.minimum(exact[keep], 1.0)})
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[a : a + BATCH][r][keep]), pa.array(block_ids[c][keep]), pa.array(np.minimum(exact[keep], 1.0))], names=["id", "other", "sim"])
 
 
-def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Iterator[pd.DataFrame]:
+def _rank_blocks(batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
     """Sorted by (leaf, part, kind): first the vectors of a block (kind 0, or 1 if they ask it too), then queries from elsewhere (kind 2)."""
     key, held, block = None, [], None
 
@@ -201,30 +216,30 @@ def _rank_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Itera
         return ids, vecs, asks
 
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        where = batch["leaf"].to_numpy(np.int64) * (1 << 24) + batch["part"].to_numpy(np.int64)
-        for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(where)) + 1):
+        leaf, part, kinds, ids = (batch[c].to_numpy(zero_copy_only=False) for c in ("leaf", "part", "kind", "id"))
+        vecs = _stack(batch["vec"])
+        where = leaf.astype(np.int64) * (1 << 24) + part
+        for rows in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1):
             if where[rows[0]] != key:
                 if held and block is None:
-                    ids, vecs, asks = complete()
-                    yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
+                    i, v, asks = complete()
+                    yield from _nearest(i[asks], v[asks], i, v, k, least)
                 key, held, block = where[rows[0]], [], None
-            chunk = batch.iloc[rows]
-            kind = chunk["kind"].to_numpy()
-            if (kind < 2).any():
-                own = chunk[kind < 2]
-                held.append((own["id"].to_numpy(), _stack(own["vec"]), kind[kind < 2] == 1))
-            away = chunk[kind == 2]
+            kind = kinds[rows]
+            own, away = rows[kind < 2], rows[kind == 2]
+            if len(own):
+                held.append((ids[own], vecs[own], kinds[own] == 1))
             if not len(away) or not held:
                 continue
             if block is None:
                 block = complete()
                 yield from _nearest(block[0][block[2]], block[1][block[2]], block[0], block[1], k, least)
-            yield from _nearest(away["id"].to_numpy(), _stack(away["vec"]), block[0], block[1], k, least)
+            yield from _nearest(ids[away], vecs[away], block[0], block[1], k, least)
     if held and block is None:
-        ids, vecs, asks = complete()
-        yield from _nearest(ids[asks], vecs[asks], ids, vecs, k, least)
+        i, v, asks = complete()
+        yield from _nearest(i[asks], v[asks], i, v, k, least)
 
 
 def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int = 10, leaf_size: int = 600, search_k: int | None = None, sample_rows: int = 40_000, sample_bytes: int = 1 << 28, block: int = 4096, seed: int = 7) -> DataFrame:
@@ -241,7 +256,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     def packed(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"id": b["id"], "vec": _pack(unit(np.stack(b["vec"].to_numpy())))})
+                yield pd.DataFrame({"id": b["id"], "vec": [r.tobytes() for r in unit(np.stack(b["vec"].to_numpy())).astype(np.float32)]})
 
     # unit vectors in single precision; from here on equal vectors are those of equal direction, told by 128 bits
     hashes = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(seed), "vec").alias("h2")]
@@ -276,13 +291,15 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
     parts = np.maximum(1, -(-sizes // block))
     known = spark.sparkContext.broadcast((sizes, parts))
 
-    def spread(batches):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector once per tree in its own leaf (kind 0, or 1 if it also asks there), and as a query in the other leaves it opens (kind 2)."""
         sizes, parts = known.value
         for b in batches:
-            for a in range(0, len(b), BATCH):
-                ids, vecs = b["id"].to_numpy()[a : a + BATCH], b["vec"].to_numpy()[a : a + BATCH]
-                x = _stack(pd.Series(vecs))
+            if not b.num_rows:
+                continue
+            every, vecs = b["id"].to_numpy(zero_copy_only=False), _stack(b["vec"])
+            for a in range(0, len(every), BATCH):
+                ids, x = every[a : a + BATCH], vecs[a : a + BATCH]
                 own = assign(shared.value, x)
                 t = own.shape[1]
                 own_row, own_leaf = np.repeat(np.arange(len(x)), t), own.ravel().astype(np.int64)
@@ -294,17 +311,14 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, trees: int =
                 code = lambda r, f, p: (r * len(sizes) + f) * (parts.max() + 1) + p
                 mine, asks = code(own_row, own_leaf, own_part), code(row, leaf, part)
                 away = ~np.isin(asks, mine)
-                yield pd.DataFrame({
-                    "leaf": np.concatenate([own_leaf, leaf[away]]).astype(np.int32),
-                    "part": np.concatenate([own_part, part[away]]).astype(np.int32),
-                    "kind": np.concatenate([np.isin(mine, asks).astype(np.int8), np.full(away.sum(), 2, np.int8)]),
-                    "id": ids[np.concatenate([own_row, row[away]])],
-                    "vec": vecs[np.concatenate([own_row, row[away]])],
-                })
-
-    rows_of = reps.select(F.col("rep").alias("id"), "vec").mapInPandas(spread, "leaf int, part int, kind byte, id long, vec binary")
+                rows = np.concatenate([own_row, row[away]])
+                kind = np.concatenate([np.isin(mine, asks).astype(np.int8), np.full(away.sum(), 2, np.int8)])
+                columns = [np.concatenate([own_leaf, leaf[away]]).astype(np.int32), np.concatenate([own_part, part[away]]).astype(np.int32), kind, ids[rows]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _pack(x[rows])], names=["leaf", "part", "kind", "id", "vec"])
+
+    rows_of = reps.select(F.col("rep").alias("id"), "vec").mapInArrow(spread, "leaf int, part int, kind byte, id long, vec binary")
     blocks = rows_of.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
-    found = blocks.mapInPandas(lambda it: _rank_blocks(it, k, least), "id long, other long, sim double")
+    found = blocks.mapInArrow(lambda it: _rank_blocks(it, k, least), "id long, other long, sim double")
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     top = found.groupBy("id", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     top = cut(top.select("id", "other", "sim", F.col("rank").cast("int").alias("rank")))
