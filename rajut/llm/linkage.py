@@ -95,9 +95,9 @@ def _side(df: DataFrame, id_col: str, title: str, text: str, level: str) -> Data
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """tl, tr: different core tokens of the two sides that share a one-deletion variant; found on the distinct tokens."""
+    """tl, tr: different core tokens of the two sides that share (the hash of) a one-deletion variant; found on the distinct tokens."""
     deleted = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t"))))
-    variants = lambda s, n: s.select(F.explode("core").alias("t")).distinct().where(F.length("t").between(5, 64)).select(F.col("t").alias(n), F.explode(F.array_distinct(F.concat(F.array("t"), deleted))).alias("v"))
+    variants = lambda s, n: s.select(F.explode("core").alias("t")).distinct().where(F.length("t").between(5, 64)).select(F.col("t").alias(n), F.explode(F.array_distinct(F.transform(F.concat(F.array("t"), deleted), lambda x: F.xxhash64(x)))).alias("v"))
     return variants(left, "tl").join(variants(right, "tr"), "v").where(F.col("tl") != F.col("tr")).select("tl", "tr").distinct()
 
 
